@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -41,6 +43,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_rows(df: DataFrame, kept: list[str], reads: list[str], makes: str, kernel: Callable, rows: int = 256) -> DataFrame:
+    """Keep columns kept of df as they are and add those of the schema makes, computed from columns reads.
+
+    kernel takes a list of values for each column read, for at most rows rows, and returns the number of the row that
+    each result belongs to (None: one result a row, in order) and a list for each column made. Kept columns stay in Arrow,
+    so that nulls and large integers pass unchanged.
+    """
+    spark = df.sparkSession
+    made = spark.createDataFrame([], makes).schema
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*df.select(*kept).schema, *made]]
+    names = [f.name for f in made]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in made]
+    aliases = [f"__in{k}" for k in range(len(reads))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                some = batch.slice(first, rows)
+                index, *values = kernel(*(some.column(len(kept) + k).to_pylist() for k in range(len(reads))))
+                old = [some.column(k) for k in range(len(kept))]
+                if index is not None:
+                    old = [c.take(pa.array(index, type=pa.int64())) for c in old]
+                yield pa.RecordBatch.from_arrays([*old, *(pa.array(v, type=t) for v, t in zip(values, kinds, strict=True))], names=[*kept, *names])
+
+    return df.select(*kept, *(df[c].alias(a) for c, a in zip(reads, aliases, strict=True))).mapInArrow(run, ", ".join(fields))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, for arrays of uint64."""
     x = x + GOLDEN

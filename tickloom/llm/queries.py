@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from tickloom.llm.mixing import OP4_SQL, op4_mix_sources
+from tickloom.llm.sentencepiece_io import op5_sentencepiece
+from tickloom.llm.tiff import op8_tiff_pages
+from tickloom.llm.tokencount import op6_token_counts
 
 LLM_QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_token_counts": op6_token_counts,
+    "op8_tiff_pages": op8_tiff_pages,
 }
 
 LLM_ORACLE_SQL = {
