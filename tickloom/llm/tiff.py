@@ -249,8 +249,8 @@ def _feature(pixels: np.ndarray) -> str:
     columns = np.array_split(np.arange(grey.shape[1]), 9) if grey.shape[1] >= 9 else [np.array([k * grey.shape[1] // 9]) for k in range(9)]
     lines = np.stack([grey[r].mean(axis=0) for r in rows])
     grid = np.stack([lines[:, c].mean(axis=1) for c in columns], axis=1)
-    bits = (grid[:, 1:] > grid[:, :-1]).ravel()
-    return f"{pixels.shape[0]}x{pixels.shape[1]}x{pixels.shape[2]} {grey.mean():.6f} {grey.std():.6f} {int(''.join('01'[b] for b in bits), 2):016x}"
+    bits = (grid[:, 1:] > grid[:, :-1]).ravel().astype(int)
+    return f"{pixels.shape[0]}x{pixels.shape[1]}x{pixels.shape[2]} {grey.mean():.6f} {grey.std():.6f} {int(''.join(map(str, bits)), 2):016x}"
 
 
 def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
