@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tickloom.llm.embedding_dedup import op7_embedding_dedup
 from tickloom.llm.license_scan import OP1_SQL, op1_license_scan
 from tickloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tickloom.llm.mixing import OP4_SQL, op4_mix_sources
@@ -17,6 +18,7 @@ LLM_QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_tiff_pages": op8_tiff_pages,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
