@@ -6,6 +6,7 @@ from tickloom.llm.embedding_dedup import op7_embedding_dedup
 from tickloom.llm.license_scan import OP1_SQL, op1_license_scan
 from tickloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tickloom.llm.mixing import OP4_SQL, op4_mix_sources
+from tickloom.llm.ngram_join import op3_ngram_join
 from tickloom.llm.quality import op2_quality
 from tickloom.llm.sentencepiece_io import op5_sentencepiece
 from tickloom.llm.tiff import op8_tiff_pages
@@ -15,6 +16,7 @@ from tickloom.llm.toxicity import op9_toxicity
 LLM_QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
