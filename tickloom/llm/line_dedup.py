@@ -15,8 +15,6 @@ from tickloom.llm.common import shared_checkpoint, table
 MIN_SITES, MIN_CHARS = 6, 20
 #: Logarithm of the sketch's registers; estimates within this factor of the threshold are counted exactly (over 8 standard errors).
 LG_K, BAND = 10, 1.3
-#: Documents to rewrite are broadcast up to this many rows (some 10 MB of row keys and line numbers), and joined by a shuffle beyond.
-BROADCAST_ROWS = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -64,8 +62,7 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
         .agg(F.collect_set("pos").alias("gone"))
     )
     gone = shared_checkpoint(gone.select(F.col("row").alias("gone_row"), "gone"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    joined = docs.withColumn("row", row).join(gone, F.col("row.id").eqNullSafe(F.col("gone_row.id")) & (F.col("row.hash") == F.col("gone_row.hash")), "left")
+    joined = docs.withColumn("row", row).join(gone.hint("merge"), F.col("row.id").eqNullSafe(F.col("gone_row.id")) & (F.col("row.hash") == F.col("gone_row.hash")), "left")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda line, pos: ~F.array_contains("gone", pos))
     return joined.select(
