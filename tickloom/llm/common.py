@@ -20,13 +20,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK_BYTES = 1 << 20
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, set as the session's checkpoint folder.
 
     Where that is unset, a local session gets a temporary folder; any other session must set it,
     since a folder of one machine is not seen by the others.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +34,12 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tickloom-checkpoints-")
         sc.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
