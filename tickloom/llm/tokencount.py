@@ -7,6 +7,8 @@ encoded once by the worker that meets them and kept in its cache. No pre-token i
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,17 +16,25 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table
 
-#: The byte-level pre-tokenizer's pattern (fixed value of the tokenizer's format).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of whose classes every Unicode version and both pattern engines think alike; texts with others are encoded whole by the library.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ȳΑ-ΡΣ-ώА-я‐-‧‰-⁞₠-€]*+")
+PLAIN_SPANS = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA0, 0x233), (0x391, 0x3A1), (0x3A3, 0x3CE), (0x410, 0x44F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20AC))
+
+
+def _class(*majors: str) -> str:
+    """Plain characters whose Unicode category begins with one of majors, for a character class."""
+    return "".join(re.escape(chr(k)) for first, last in PLAIN_SPANS for k in range(first, last + 1) if unicodedata.category(chr(k))[0] in majors)
+
+
+ODD = re.compile(f"[^{''.join(f'{chr(a)}-{chr(b)}' for a, b in PLAIN_SPANS)}]")
+#: The byte-level pre-tokenizer's pattern (fixed value of the tokenizer's format), with its letter and number classes spelled out for plain characters.
+_L, _N = _class("L"), _class("N")
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 #: Entries of the broadcast table; entries that a task adds to the summary; distinct pre-tokens a task counts before it drops the rarest.
 FREQUENT, SUMMARY, COUNTED = 32_768, 4_096, 100_000
 #: Entries of a worker's cache, and characters of the longest pre-token kept in it.
@@ -42,16 +52,15 @@ class Counting:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
         self.cache: dict[str, int] = {}
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts by the library alone."""
-        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def plain(self, text: str) -> bool:
         """Whether text can be cut by the pattern: plain characters and no added token."""
-        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+        return ODD.search(text) is None and not any(s in text for s in self.special)
 
 
 @lru_cache(maxsize=4)
@@ -90,7 +99,7 @@ def frequent_pretokens(df: DataFrame, path: str, text: str = "text", limit: int
         for batch in batches:
             for x in batch["text"]:
                 if x and c.plain(x):
-                    seen.update(c.pattern.findall(x))
+                    seen.update(PATTERN.findall(x))
                     if len(seen) > COUNTED:
                         seen = Counter(dict(seen.most_common(COUNTED // 2)))
         top = [(w, n) for w, n in seen.most_common(SUMMARY) if len(w) <= LONGEST]
@@ -125,8 +134,8 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
                 odd = [k for k, x in enumerate(some) if not c.plain(x)]
                 for k, n in zip(odd, c.whole([some[k] for k in odd]), strict=True):
                     counts[first + k] = n
-                cut = [[] if k in set(odd) else c.pattern.findall(x) for k, x in enumerate(some)]
-                fresh = list({w for words in cut for w in words} - cache.keys())
+                cut = [[] if k in set(odd) else PATTERN.findall(x) for k, x in enumerate(some)]
+                fresh = [w for w in {w for words in cut for w in words} if w not in cache]
                 for lo in range(0, len(fresh), 8192):
                     new = fresh[lo : lo + 8192]
                     sizes = frequent.get(new)
