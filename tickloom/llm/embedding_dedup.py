@@ -7,11 +7,12 @@ product of the two suffix norms, so a pair is given up as soon as its cosine can
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from tickloom.llm.common import shared_checkpoint, table
 from tickloom.llm.graph import components
 
 THRESHOLD = 0.9
-#: Vectors of a tile's side, coordinates of a step, and leading axes of the grid that keeps far tiles apart.
-TILE_ROWS, STEP_DIMS, GRID_AXES = 1024, 8, 2
+#: Vectors of a tile's side, sides of the blocks in which a tile is worked, coordinates of a step, and leading axes of the grid that keeps far tiles apart.
+TILE_ROWS, BLOCK_ROWS, BLOCK_COLUMNS, STEP_DIMS, GRID_AXES = 4096, 512, 512, 8, 2
 #: Products this near to the threshold are computed again from the vectors as they came.
 NEAR = 1e-9
 
@@ -70,40 +71,52 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and of b (rotated unit vectors) whose cosine is at least threshold.
+def block_links(a: np.ndarray, b: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b (rotated unit vectors) whose cosine is at least threshold, or so near below that it must be recomputed.
 
     Steps of STEP_DIMS coordinates are added for all pairs while many are open, and for the open pairs alone once they are
-    few; a pair closes when its sum and the suffix norms cannot reach the threshold.
+    few; a pair closes when its sum and the suffix norms (rest_a, rest_b: a column a step) cannot reach the threshold.
     """
-    dims = a.shape[1]
-    rest = lambda x, k: np.sqrt(np.maximum((x[:, k:] ** 2).sum(axis=1), 0.0))
-    total, rows, columns = np.zeros((len(a), len(b))), None, None
-    for k in range(0, dims, STEP_DIMS):
-        end = min(dims, k + STEP_DIMS)
-        ra, rb = rest(a, end), rest(b, end)
-        if rows is None:
-            total += a[:, k:end] @ b[:, k:end].T
-            rows, columns = np.nonzero(total + ra[:, None] * rb[None, :] >= threshold - NEAR)
-            if len(rows) * 8 > total.size:  # still many: go on with whole tiles
-                rows = columns = None
-                continue
-            total = total[rows, columns]
-        else:
-            total = total + np.einsum("ij,ij->i", a[rows, k:end], b[columns, k:end])
-            open_ = total + ra[rows] * rb[columns] >= threshold - NEAR
-            rows, columns, total = rows[open_], columns[open_], total[open_]
+    dims, floor = a.shape[1], threshold - NEAR
+    total = np.zeros((len(a), len(b)))
+    for step, k in enumerate(range(0, dims, STEP_DIMS)):
+        total += a[:, k : k + STEP_DIMS] @ b[:, k : k + STEP_DIMS].T
+        open_ = total >= floor - np.outer(rest_a[:, step], rest_b[:, step])
+        if np.count_nonzero(open_) * 16 <= open_.size:
+            break
+    rows, columns = np.nonzero(open_)
+    total = total[rows, columns]
+    for later in range(step + 1, rest_a.shape[1]):
         if not len(rows):
-            return rows, columns
-    if rows is None:
-        rows, columns = np.nonzero(total >= threshold - NEAR)
-        total = total[rows, columns]
-    close = np.flatnonzero(np.abs(total - threshold) < NEAR)
-    if len(close):
-        x, y = raw_a[rows[close]], raw_b[columns[close]]
-        total[close] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-    linked = total >= threshold
-    return rows[linked], columns[linked]
+            break
+        k = later * STEP_DIMS
+        total = total + np.einsum("ij,ij->i", a[rows, k : k + STEP_DIMS], b[columns, k : k + STEP_DIMS])
+        held = total >= floor - rest_a[rows, later] * rest_b[columns, later]
+        rows, columns, total = rows[held], columns[held], total[held]
+    return rows, columns
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two tiles of rotated unit vectors whose cosine is at least threshold, block by block.
+
+    The rotation is orthogonal, so that cosines are the same as before it up to rounding; those near the threshold
+    are summed again, exactly rounded.
+    """
+    ends = [min(a.shape[1], k + STEP_DIMS) for k in range(0, a.shape[1], STEP_DIMS)]
+    rest = lambda x: np.stack([np.sqrt((x[:, end:] ** 2).sum(axis=1)) for end in ends], axis=1)
+    rest_a, rest_b = rest(a), rest(b)
+    for p in range(0, len(a), BLOCK_ROWS):
+        for q in range(0, len(b), BLOCK_COLUMNS):
+            x, y = a[p : p + BLOCK_ROWS], b[q : q + BLOCK_COLUMNS]
+            i, j = block_links(x, y, rest_a[p : p + BLOCK_ROWS], rest_b[q : q + BLOCK_COLUMNS], threshold)
+            if not len(i):
+                continue
+            total = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
+            for k in np.flatnonzero(np.abs(total - threshold) < NEAR):
+                u, v = x[i[k]], y[j[k]]
+                total[k] = math.fsum(u * v) / math.sqrt(math.fsum(u * u) * math.fsum(v * v))
+            linked = total >= threshold
+            yield i[linked] + p, j[linked] + q
 
 
 def _forest(rows: np.ndarray, columns: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,32 +183,33 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     there = [F.col("o0"), F.col("o1"), F.col("u")]
     second = F.when(same, F.col("t") > F.col("u")).otherwise(F.col("step.s") < 0)
     names = ["a0", "a1", "at", "b0", "b1", "bt"]
-    pairs = sides.select("dim", *(F.when(second, y).otherwise(x).alias(n) for x, y, n in zip([*me, *there], [*there, *me], names, strict=True)), second.cast("int").alias("side"), "key", "key2", "copies", "v", "r")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        first, later = part[part["side"] == 0], part[part["side"] == 1]
-        alone = bool((part[["a0", "a1", "at"]].to_numpy()[0] == part[["b0", "b1", "bt"]].to_numpy()[0]).all())
-        later = first if alone else later
-        if not len(first) or not len(later):
-            return pd.DataFrame({"key": [], "key2": [], "links": [], "to": [], "to2": []})
-        a, b = np.stack(first["r"].to_list()), np.stack(later["r"].to_list())
-        i, j = tile_links(a, b, np.stack(first["v"].to_list()), np.stack(later["v"].to_list()), threshold)
-        if alone:
-            i, j = i[i < j], j[i < j]
-        n = len(first)
-        everyone = first if alone else pd.concat([first, later])
-        j = j if alone else j + n
-        copies = everyone["copies"].to_numpy(dtype=np.float64)
-        links = np.bincount(i, copies[j], minlength=len(everyone)) + np.bincount(j, copies[i], minlength=len(everyone))
-        node, root = _forest(i, j, len(everyone))
-        to = np.full(len(everyone), -1)
+    pairs = sides.select("dim", *(F.when(second, y).otherwise(x).alias(n) for x, y, n in zip([*me, *there], [*there, *me], names, strict=True)), second.cast("int").alias("side"), "key", "key2", "copies", "r")
+
+    def compare(part: pa.Table) -> pa.Table:
+        head = part.slice(0, 1).to_pylist()[0]
+        alone = (head["a0"], head["a1"], head["at"]) == (head["b0"], head["b1"], head["bt"])
+        first, later = part.filter(pc.equal(part["side"], 0)), part.filter(pc.equal(part["side"], 1))
+        everyone = first if alone else pa.concat_tables([first, later])
+        if not len(first) or not (alone or len(later)):
+            return schema.empty_table()
+        a, n = _arrays(first["r"]), len(everyone)
+        copies, links, trees = everyone["copies"].to_numpy().astype(np.float64), np.zeros(n), []
+        for i, j in tile_links(a, a if alone else _arrays(later["r"]), threshold):
+            if alone:
+                i, j = i[i < j], j[i < j]
+            else:
+                j = j + len(first)
+            links += np.bincount(i, copies[j], minlength=n) + np.bincount(j, copies[i], minlength=n)
+            trees.append(_forest(i, j, n))  # at most one edge a row of the block
+        node, root = _forest(*(np.concatenate(x) for x in zip(*trees, strict=True)), n) if trees else (np.empty(0, int), np.empty(0, int))
+        to = np.arange(n)
         to[node] = root
         some = np.flatnonzero(links > 0)
         key, key2 = everyone["key"].to_numpy(), everyone["key2"].to_numpy()
-        roots = np.where(to[some] >= 0, to[some], some)
-        return pd.DataFrame({"key": key[some], "key2": key2[some], "links": links[some].astype(np.int64), "to": key[roots], "to2": key2[roots]})
+        return pa.table([key[some], key2[some], links[some].astype(np.int64), key[to[some]], key2[to[some]]], schema=schema)
 
-    found = shared_checkpoint(pairs.groupBy("dim", *names).applyInPandas(compare, "key long, key2 long, links long, to long, to2 long"))
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "key2", "links", "to", "to2")])
+    found = shared_checkpoint(pairs.groupBy("dim", *names).applyInArrow(compare, "key long, key2 long, links long, to long, to2 long"))
     node = lambda a, b: F.concat(F.hex(F.col(a)), F.lit("-"), F.hex(F.col(b)))
     comps = components(found.select(node("key", "key2").alias("a"), node("to", "to2").alias("b")))
     named = classes.withColumn("node", node("key", "key2")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
