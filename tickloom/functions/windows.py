@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.schema import KEYS
 
-series = Window.partitionBy(*KEYS).orderBy("ts")
-whole = Window.partitionBy(*KEYS).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
+def series() -> WindowSpec:
+    """A series in order of time. Windows need a session, so they are made where they are used."""
+    return Window.partitionBy(*KEYS).orderBy("ts")
 
-def rows(first: int, last: int):
+
+def rows(first: int, last: int) -> WindowSpec:
     """Frame from first to last rows from the current one."""
-    return series.rowsBetween(first, last)
+    return series().rowsBetween(first, last)
 
 
-def trailing(n: int):
+def trailing(n: int) -> WindowSpec:
     """The last n rows, the current one included."""
     return rows(-(n - 1), 0)
 
 
-upto = series.rowsBetween(Window.unboundedPreceding, 0)
+def upto() -> WindowSpec:
+    """Frame from the first row to the current one."""
+    return rows(Window.unboundedPreceding, 0)
 
 
 def col(x: Column | str) -> Column:
@@ -31,7 +35,7 @@ def col(x: Column | str) -> Column:
 
 
 def prev(x: Column | str, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(series)
+    return F.lag(col(x), n).over(series())
 
 
 def diff(x: Column | str) -> Column:
@@ -49,17 +53,17 @@ def sma(x: Column | str, n: int, least: int | None = None) -> Column:
 
 
 def running_sum(x: Column | str) -> Column:
-    return F.sum(col(x)).over(upto)
+    return F.sum(col(x)).over(upto())
 
 
 def last_known(x: Column | str) -> Column:
     """Forward fill: the last value that is not null."""
-    return F.last(col(x), ignorenulls=True).over(upto)
+    return F.last(col(x), ignorenulls=True).over(upto())
 
 
 def bar_idx() -> Column:
     """Position of a bar in its series, from 0."""
-    return (F.row_number().over(series) - 1).cast("long")
+    return (F.row_number().over(series()) - 1).cast("long")
 
 
 def true_range() -> Column:

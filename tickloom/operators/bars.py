@@ -98,7 +98,7 @@ def scaled_by_last_close(bars: DataFrame) -> DataFrame:
 
 def log_return(bars: DataFrame) -> DataFrame:
     """Logarithm of the close over the close before."""
-    before = F.lag("close").over(series)
+    before = F.lag("close").over(series())
     return bars.withColumn("log_return", F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close") / before)))
 
 

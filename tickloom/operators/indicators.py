@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.schema import KEYS, require_columns
-from tickloom.functions.windows import bar_idx, diff, prev, roll, rows, running_sum, series, sma, strict_extreme, true_range, upto
+from tickloom.functions.windows import diff, prev, roll, rows, running_sum, sma, strict_extreme, true_range, upto
 from tickloom.plans.kernels import EwmPlan, Spacing, Step, SuperTrend
 from tickloom.plans.scan import scan
 
@@ -260,7 +260,7 @@ def detect_divergences_extrema(bars: DataFrame, indicator_columns: list[str], pr
         value = F.col(name)
         out = out.withColumns({f"{TEMP}imin": strict_extreme(name, order, True), f"{TEMP}imax": strict_extreme(name, order, False)})
         point = F.struct(price.alias("p"), value.alias("i"))
-        out = out.withColumns({f"{TEMP}{k}": F.last(F.when(F.col(f"{TEMP}{k}"), point), ignorenulls=True).over(upto) for k in ("imin", "imax")})
+        out = out.withColumns({f"{TEMP}{k}": F.last(F.when(F.col(f"{TEMP}{k}"), point), ignorenulls=True).over(upto()) for k in ("imin", "imax")})
         low, high = F.col(f"{TEMP}imin"), F.col(f"{TEMP}imax")
         bullish = (F.try_divide(low["p"] - price, low["p"]) > 0) & (F.try_divide(value - low["i"], low["i"]) > min_diff_ratio)
         bearish = (F.try_divide(price - high["p"], high["p"]) > 0) & (F.try_divide(high["i"] - value, high["i"]) > min_diff_ratio)
@@ -430,5 +430,3 @@ def require_bars(bars: DataFrame) -> None:
     """Raise ValueError unless the frame holds bars."""
     require_columns(bars, *KEYS, "ts", "open", "high", "low", "close")
 
-
-__all__ = [n for n, v in list(globals().items()) if callable(v) and not n.startswith("_") and getattr(v, "__module__", "") == __name__] + ["bar_idx", "series"]

@@ -141,3 +141,68 @@ class RunningMeanClusters(Kernel):
                 self.total, self.n, self.cluster = price, 1, self.cluster + (1 if self.n else 0)
             out[k] = self.cluster
         return {"cluster": out}
+
+
+def _touch(low_a: float, high_a: float, low_b: float, high_b: float, gap: float) -> bool:
+    """Whether two bands overlap, or lie apart by no more than gap times the middle of the first."""
+    return max(low_a, low_b) - min(high_a, high_b) <= abs(high_a + low_a) / 2.0 * gap
+
+
+class FirstFitZones(Kernel):
+    """Zone of each band of an ascending sweep: the first made zone that it touches, which grows to hold it, else a new one.
+
+    A zone that the current band is too far above is out of reach of all later ones and is let go.
+    """
+
+    def __init__(self, gap: float) -> None:
+        self.gap, self.made, self.zones = gap, 0, []
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        lows, highs = columns["__low"].tolist(), columns["__high"].tolist()
+        out = np.zeros(len(lows))
+        for k, (low, high) in enumerate(zip(lows, highs, strict=True)):
+            self.zones = [z for z in self.zones if _touch(low, high, z[1], z[2], self.gap)]
+            if self.zones:
+                zone = self.zones[0]
+                zone[1], zone[2] = min(zone[1], low), max(zone[2], high)
+            else:
+                zone = [self.made, low, high]
+                self.zones.append(zone)
+                self.made += 1
+            out[k] = zone[0]
+        return {"__zone": out}
+
+
+class MergedZones(Kernel):
+    """Number of the merged zone of each zone in order of its lower end: a zone joins the last one while they touch."""
+
+    def __init__(self, gap: float) -> None:
+        self.gap, self.number, self.low, self.high = gap, -1, 0.0, 0.0
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        lows, highs = columns["__zlow"].tolist(), columns["__zhigh"].tolist()
+        out = np.zeros(len(lows))
+        for k, (low, high) in enumerate(zip(lows, highs, strict=True)):
+            if self.number >= 0 and _touch(self.low, self.high, low, high, self.gap):
+                self.low, self.high = min(self.low, low), max(self.high, high)
+            else:
+                self.number, self.low, self.high = self.number + 1, low, high
+            out[k] = self.number
+        return {"__merged": out}
+
+
+class LowSince(Kernel):
+    """For each value the least value since the last one that is larger, itself included (a stack of falling values)."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[float, float]] = []
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = np.zeros(len(columns["x"]))
+        for k, x in enumerate(columns["x"].tolist()):
+            low = x
+            while self.stack and self.stack[-1][0] <= x:
+                low = min(low, self.stack.pop()[1])
+            self.stack.append((x, low))
+            out[k] = low
+        return {"low_since": out}

@@ -9,7 +9,7 @@ from tickloom.functions.windows import bar_idx, last_known
 from tickloom.operators import bars as bar_ops
 from tickloom.operators import indicators as ind
 from tickloom.plans.pipeline import build_features, default_specs
-from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, events, ewm_sql, indexed_sql, orders, q6, r6, roll_sql, rounded
+from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, ewm_sql, indexed_sql, orders, q6, r6, roll_sql, rounded
 
 KEYS = ["symbol", "ts"]
 B = "WITH RECURSIVE " + bars_sql("H1") + ", " + indexed_sql()
@@ -300,5 +300,3 @@ def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_features(bars(spark, sf_dir), include_supertrend=True)
 
-
-__all__ = ["ORACLE_SQL", "QUERIES", "events"]

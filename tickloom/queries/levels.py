@@ -1 +1,293 @@
+"""Queries of support and resistance, Fibonacci levels, clusters and zones."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.operators import engine as eng
+from tickloom.operators import fibonacci as fib
+from tickloom.operators import support as sup
+from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, indexed_sql, q6, r6, rounded
+
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+B = "WITH RECURSIVE " + bars_sql("H1") + ", " + indexed_sql()
+SER = ["symbol", "tf"]
+ALL_TF = "allbars AS (SELECT * FROM h1 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM d1)"
+MULTI = f"WITH RECURSIVE {bars_sql('H1', 'h1')}, {bars_sql('H4', 'h4')}, {bars_sql('D1', 'd1')}, {ALL_TF}"
+
+
+def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of three timeframes in one frame."""
+    return bars(spark, sf_dir, "H1").unionByName(bars(spark, sf_dir, "H4")).unionByName(bars(spark, sf_dir, "D1"))
+
+
+def _fractal_sql(k: int, source: str = "bars", tf: str = "symbol") -> str:
+    w = f"(PARTITION BY {tf} ORDER BY ts ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+    return f"""e AS (SELECT *, row_number() OVER (PARTITION BY {tf} ORDER BY ts) - 1 AS bar_idx, count(*) OVER {w} = {2 * k + 1} AND high = max(high) OVER {w} AS fh, count(*) OVER {w} = {2 * k + 1} AND low = min(low) OVER {w} AS fl,
+  coalesce(high > lag(high) OVER v AND high > lead(high) OVER v, false) AS sh, coalesce(low < lag(low) OVER v AND low < lead(low) OVER v, false) AS sl FROM {source} WINDOW v AS (PARTITION BY {tf} ORDER BY ts))"""
+
+
+@query(f"WITH {bars_sql('H1')}, {_fractal_sql(5)} SELECT symbol, tf, ts, bar_idx, 'high' AS kind, high AS price FROM e WHERE fh UNION ALL SELECT symbol, tf, ts, bar_idx, 'low', low FROM e WHERE fl")
+def fractals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sup.fractals(bars(spark, sf_dir), 5)
+
+
+@query(f"WITH {bars_sql('H1')}, {_fractal_sql(3)} SELECT symbol, tf, ts, bar_idx, 'high' AS kind, high AS price FROM e WHERE fh UNION ALL SELECT symbol, tf, ts, bar_idx, 'low', low FROM e WHERE fl")
+def swing_highs_lows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fib.detect_swings(bars(spark, sf_dir), 3)
+
+
+@query(f"WITH {bars_sql('H1')}, {_fractal_sql(5)} SELECT symbol, tf, ts, bar_idx, 'high' AS kind, high AS price FROM e WHERE sh UNION ALL SELECT symbol, tf, ts, bar_idx, 'low', low FROM e WHERE sl")
+def swing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sup.swing_points(bars(spark, sf_dir))
+
+
+@query(f"""WITH {bars_sql('D1')}, p AS (SELECT *, (high + low + close) / 3 AS p FROM bars)
+SELECT symbol, ts, {q6('p', 'pivot')}, {q6('2 * p - low', 'r1')}, {q6('2 * p - high', 's1')}, {q6('p + (high - low)', 'r2')}, {q6('p - (high - low)', 's2')} FROM p""")
+def pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sup.pivots(bars(spark, sf_dir, "D1"), last_only=False), ["symbol", "ts"], ["pivot", "r1", "s1", "r2", "s2"])
+
+
+def _dbscan_sql(source: str, keys: str, eps: float, least: int, out: str) -> str:
+    return f"""{out}_g AS (SELECT *, CASE WHEN price - lag(price) OVER (PARTITION BY {keys} ORDER BY price) <= {eps} THEN 0 ELSE 1 END AS brk, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
+{out}_i AS (SELECT *, sum(brk) OVER (PARTITION BY {keys} ORDER BY price) AS isl FROM {out}_g),
+{out} AS (SELECT {keys}, avg(price) AS price FROM {out}_i GROUP BY {keys}, isl HAVING count(*) >= {least} OR any_value(n) < 2)"""
+
+
+_RAW = f"""{MULTI}, {_fractal_sql(5, 'allbars', 'symbol, tf')}, raw AS (SELECT symbol, tf, high AS price FROM e WHERE fh UNION ALL SELECT symbol, tf, low FROM e WHERE fl UNION ALL SELECT symbol, tf, high FROM e WHERE sh UNION ALL SELECT symbol, tf, low FROM e WHERE sl)"""
+
+
+@query(f"""{_RAW}, {_dbscan_sql('raw', 'symbol, tf', 0.05, 2, 'own')}, {_dbscan_sql('own', 'symbol', 0.05, 2, 'joint')}
+SELECT symbol, tf, {q6('price')} FROM own UNION ALL SELECT symbol, NULL, {q6('price')} FROM joint""")
+def sr_levels_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sup.levels_multi_tf(multi(spark, sf_dir), method="dbscan", prominence=0.05), SER, ["price"])
+
+
+@query()
+def sr_levels_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sup.levels_multi_tf(multi(spark, sf_dir), method="kmeans")
+
+
+@query()
+def sr_levels_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sup.levels_multi_tf(multi(spark, sf_dir), method="gmm")
+
+
+_LEGS = f"{MULTI}, legs AS (SELECT symbol, tf, max(high) AS hi, min(low) AS lo FROM allbars GROUP BY symbol, tf)"
+
+
+def _marks(prefix: str, ratios: tuple[float, ...]) -> str:
+    return ", ".join(f"('{prefix}_{r}', {r}::DOUBLE)" for r in ratios)
+
+
+@query(f"{_LEGS} SELECT symbol, tf, m.n AS level_name, m.r AS ratio, {q6('hi - m.r * (hi - lo)', 'price')}, 'retracement' AS type FROM legs, (VALUES {_marks('R', fib.RETRACE_RATIOS)}) AS m(n, r)")
+def fib_retracement_multi_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fib.retracement(fib.extreme_legs(multi(spark, sf_dir))), SER, ["level_name", "ratio", "price", "type"])
+
+
+@query(f"{_LEGS} SELECT symbol, tf, m.n AS level_name, m.r AS ratio, {q6('hi + (m.r - 1) * (hi - lo)', 'price')}, 'extension' AS type FROM legs, (VALUES {_marks('E', fib.EXTEND_RATIOS)}) AS m(n, r)")
+def fib_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fib.extension(fib.extreme_legs(multi(spark, sf_dir))), SER, ["level_name", "ratio", "price", "type"])
+
+
+@query(f"{_LEGS}, c AS (SELECT symbol, tf, last(close ORDER BY ts) AS c FROM allbars GROUP BY symbol, tf) SELECT symbol, tf, m.n AS level_name, m.r AS ratio, {q6('c + m.r * (hi - lo)', 'price')}, 'projection' AS type FROM legs JOIN c USING (symbol, tf), (VALUES {_marks('P', fib.PROJECT_RATIOS)}) AS m(n, r)")
+def fib_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = multi(spark, sf_dir)
+    points = b.groupBy(*SER).agg(F.min("low").alias("a"), F.max("high").alias("b"), F.max_by("close", "ts").alias("c"))
+    return rounded(fib.projection(points), SER, ["level_name", "ratio", "price", "type"])
+
+
+_SWINGS = f"{_LEGS}, lv AS (SELECT symbol, tf, 'retracement' AS method, r::DOUBLE AS ratio, hi - r * (hi - lo) AS price, 'max' AS leg_id FROM legs, unnest([0.236, 0.382, 0.5, 0.618, 0.786]) AS u(r) UNION ALL SELECT symbol, tf, 'extension', r::DOUBLE, hi + r * (hi - lo), 'max' FROM legs, unnest([1.272, 1.618, 2.0, 2.618]) AS u(r))"
+
+
+def swing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = fib.extreme_legs(multi(spark, sf_dir)).withColumn("leg_id", F.lit("max"))
+    return fib.levels_from_swings(legs).unionByName(fib.levels_from_swings(legs, "extension"))
+
+
+@query(f"{_SWINGS} SELECT symbol, tf, method, ratio, {q6('price')}, leg_id FROM lv")
+def levels_from_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(swing_levels(spark, sf_dir), SER, ["method", "ratio", "price", "leg_id"])
+
+
+_CHAIN = f"""{_SWINGS}, g AS (SELECT *, CASE WHEN abs(price - lag(price) OVER w) / lag(price) OVER w <= 0.002 THEN 0 ELSE 1 END AS brk FROM lv WINDOW w AS (PARTITION BY symbol ORDER BY price)),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY price) AS isl FROM g),
+z AS (SELECT symbol, isl, min(price) AS lo, max(price) AS hi, avg(price) AS center, count(*) AS n, count(DISTINCT tf) AS tfs, min(abs(ratio - 0.618)) AS far FROM i GROUP BY symbol, isl HAVING count(*) >= 2),
+x AS (SELECT z.*, EXISTS (SELECT 1 FROM sig WHERE sig.symbol = z.symbol AND sig.price BETWEEN z.lo AND z.hi)::INT AS extra FROM z)"""
+
+
+@query(f"""{_CHAIN.replace(', g AS', ", sig AS (SELECT symbol, close AS price FROM d1), g AS", 1)}
+SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY lo) AS cluster_id, {q6('lo', 'cluster_low')}, {q6('hi', 'cluster_high')}, {q6('center')}, n AS count, tfs AS unique_timeframes, {q6('hi - lo', 'width')},
+  round((0.25 * least(n / 10, 1.0) + 0.25 * least(tfs / 5, 1.0) + 0.25 * (1 - far) + 0.15 / (1 + (hi - lo) / center) + 0.1 * extra)::DOUBLE * 100, 2) AS score, 'cluster' AS type FROM x""")
+def cluster_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = bars(spark, sf_dir, "D1").select("symbol", F.col("close").alias("price"))
+    out = fib.cluster_zones(swing_levels(spark, sf_dir), ["symbol"], 0.002, signals)
+    return rounded(out, ["symbol"], ["cluster_id", "cluster_low", "cluster_high", "center", "count", "unique_timeframes", "width", "score", "type"])
+
+
+_GOLD = f"""{_LEGS}, z AS (SELECT b.symbol, b.ts, b.close AS price, hi - 0.786 * (hi - lo) AS g0, hi - 0.618 * (hi - lo) AS g1 FROM h1 b JOIN legs ON legs.symbol = b.symbol AND legs.tf = 'H1'),
+y AS (SELECT *, least(g0, g1) AS gl, greatest(g0, g1) AS gh FROM z), x AS (SELECT *, (gl + gh) / 2 AS c, CASE WHEN price < gl THEN gl - price WHEN price > gh THEN price - gh ELSE 0 END AS d, abs(g1 - price) <= abs(g0 - price) AS one FROM y)"""
+
+
+@query(f"""{_GOLD} SELECT symbol, ts, {q6('gl', 'g_low')}, {q6('gh', 'g_high')}, {q6('c', 'center')}, {q6('d', 'distance_abs')}, {q6('d / c', 'distance_rel')}, price BETWEEN gl AND gh AS in_zone,
+ {q6('CASE WHEN one THEN g1 ELSE g0 END', 'nearest_level')}, (CASE WHEN one THEN 0.618 ELSE 0.786 END)::DOUBLE AS nearest_ratio, {q6('least(abs(g1 - price), abs(g0 - price))', 'nearest_dist_abs')} FROM x""")
+def golden_zone_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    legs = fib.extreme_legs(b).select("symbol", F.col("high").alias("swing_high"), F.col("low").alias("swing_low"))
+    out = fib.golden_zone_distance(b.select("symbol", "ts", F.col("close").alias("price")).join(legs, "symbol"))
+    return rounded(out, ["symbol", "ts"], ["g_low", "g_high", "center", "distance_abs", "distance_rel", "in_zone", "nearest_level", "nearest_ratio", "nearest_dist_abs"])
+
+
+@query(f"""{_LEGS}, p AS (SELECT symbol, tf, hi - 0.618 * (hi - lo) AS entry, lo AS stop, hi AS target FROM legs)
+SELECT symbol, tf, {q6('entry')}, stop, target, CASE WHEN entry = stop THEN 'inf'::DOUBLE ELSE round((abs(target - entry) / abs(entry - stop))::DOUBLE, 4) END AS rr FROM p""")
+def risk_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = fib.extreme_legs(multi(spark, sf_dir))
+    plans = legs.select(*SER, (F.col("high") - 0.618 * (F.col("high") - F.col("low"))).alias("entry"), F.col("low").alias("stop"), F.col("high").alias("target"))
+    return fib.risk_reward(plans).withColumn("entry", r6("entry"))
+
+
+@query(f"""WITH {bars_sql('M5', 'm5')}, h1 AS (SELECT symbol, 'H1' AS tf, date_trunc('hour', ts) AS b, max(high) AS high, min(low) AS low FROM m5 GROUP BY ALL), h4 AS (SELECT symbol, 'H4' AS tf, time_bucket(INTERVAL 4 HOUR, ts) AS b, max(high) AS high, min(low) AS low FROM m5 GROUP BY ALL),
+d1 AS (SELECT symbol, 'D1' AS tf, date_trunc('day', ts) AS b, max(high) AS high, min(low) AS low FROM m5 GROUP BY ALL), u AS (SELECT * FROM h1 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM d1),
+f AS (SELECT *, count(*) OVER w = 11 AND high = max(high) OVER w AS fh, count(*) OVER w = 11 AND low = min(low) OVER w AS fl FROM u WINDOW w AS (PARTITION BY symbol, tf ORDER BY b ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+s AS (SELECT symbol, tf, max(CASE WHEN fh THEN high END) AS hi0, min(CASE WHEN NOT fh THEN low END) AS lo0, count(*) AS n FROM f WHERE fh OR fl GROUP BY symbol, tf),
+t AS (SELECT symbol, tf, greatest(hi0, lo0) AS hi, least(hi0, lo0) AS lo FROM s WHERE n >= 2 AND hi0 IS NOT NULL AND lo0 IS NOT NULL)
+SELECT symbol, tf, m.n AS level_name, m.r AS ratio, {q6('hi - m.r * (hi - lo)', 'price')}, 'retracement' AS type FROM t, (VALUES {_marks('R', fib.RETRACE_RATIOS)}) AS m(n, r)""")
+def auto_fibonacci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fib.auto_fibonacci(bars(spark, sf_dir, "M5")), SER, ["level_name", "ratio", "price", "type"])
+
+
+@query(f"""{_SWINGS}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY price, tf, ratio) AS rn FROM lv),
+s AS (SELECT symbol, rn, price AS total, 1::BIGINT AS n, 0::BIGINT AS cid FROM o WHERE rn = 1 UNION ALL
+ SELECT o.symbol, o.rn, CASE WHEN abs(s.total / s.n - o.price) <= greatest(abs(s.total / s.n), abs(o.price)) * 0.001 THEN s.total + o.price ELSE o.price END,
+  CASE WHEN abs(s.total / s.n - o.price) <= greatest(abs(s.total / s.n), abs(o.price)) * 0.001 THEN s.n + 1 ELSE 1 END,
+  CASE WHEN abs(s.total / s.n - o.price) <= greatest(abs(s.total / s.n), abs(o.price)) * 0.001 THEN s.cid ELSE s.cid + 1 END
+ FROM s JOIN o ON o.symbol = s.symbol AND o.rn = s.rn + 1),
+c AS (SELECT o.symbol, cid, min(price) AS lo, max(price) AS hi, avg(price) AS center, count(*) AS hits, list_sort(list(DISTINCT tf)) AS tfs, list_sort(list(DISTINCT method)) AS ms, list_sort(list(DISTINCT ratio)) AS rs,
+  sum(CASE method WHEN 'retracement' THEN 1.0 WHEN 'extension' THEN 0.9 ELSE 0.8 END * CASE ratio WHEN 0.236 THEN 0.7 WHEN 0.382 THEN 0.9 WHEN 0.618 THEN 1.2 WHEN 0.786 THEN 1.1 WHEN 1.618 THEN 1.2 WHEN 2.0 THEN 0.9 WHEN 2.618 THEN 0.8 ELSE 1.0 END)::DOUBLE AS sc
+  FROM o JOIN s USING (symbol, rn) GROUP BY o.symbol, cid HAVING count(*) >= 2),
+d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY lo) - 1 AS cluster_id, round((sc * (1 + 0.1 * greatest(len(tfs) - 1, 0)))::DOUBLE, 4) AS score FROM c)
+SELECT symbol, cluster_id, {q6('lo', 'price_min')}, {q6('hi', 'price_max')}, {q6('center')}, {q6('hi - lo', 'width')}, hits, array_to_string(tfs, ',') AS timeframes, array_to_string(ms, ',') AS methods, len(rs)::BIGINT AS n_ratios, score,
+ row_number() OVER (PARTITION BY symbol ORDER BY score DESC, cluster_id) AS rank FROM d""")
+def fib_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fib.cluster_levels(swing_levels(spark, sf_dir), ["symbol"])
+    out = out.withColumns({"timeframes": F.array_join("timeframes", ","), "methods": F.array_join("methods", ","), "n_ratios": F.size("ratios").cast("long")}).drop("ratios")
+    return rounded(out, ["symbol"], ["cluster_id", "price_min", "price_max", "center", "width", "hits", "timeframes", "methods", "n_ratios", "score", "rank"])
+
+
+@query()
+def golden_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fib.golden_zones(swing_levels(spark, sf_dir), ["symbol"])
+
+
+@query()
+def golden_zones_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fib.top_zones(fib.zones_from_retracement(fib.extreme_legs(multi(spark, sf_dir)), ["symbol"]), 3)
+
+
+# --- percent ratios ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""{B} , t AS (SELECT *, {TRUE_RANGE} AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, {q6('avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)', 'atr_simple_14')} FROM t""")
+def atr_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eng.simple_atr(bars(spark, sf_dir)), ["symbol", "ts"], ["atr_simple_14"])
+
+
+_PCT = "unnest([23.6, 38.2, 50.0, 61.8, 78.6, 100.0, 127.2, 161.8]) AS u(r)"
+
+
+@query(f"""{_LEGS} SELECT symbol, tf, r::DOUBLE AS ratio, {q6('hi + (lo - hi) * (1 - r / 100)', 'price')}, 'retracement' AS type FROM legs, {_PCT}
+UNION ALL SELECT symbol, tf, r::DOUBLE, {q6('hi + (hi - lo) * r / 100', 'price')}, 'extension' FROM legs, {_PCT}
+UNION ALL SELECT symbol, tf, r::DOUBLE, {q6('lo + (lo - hi) * r / 100', 'price')}, 'projection' FROM legs, {_PCT}""")
+def percent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = fib.extreme_legs(multi(spark, sf_dir))
+    moves = legs.select(*SER, F.col("low").alias("start"), F.col("high").alias("end"))
+    points = legs.select(*SER, F.col("low").alias("a"), F.col("high").alias("b"), F.col("low").alias("c"))
+    out = eng.percent_retracement(moves).drop("pos").unionByName(eng.percent_extension(moves).drop("pos")).unionByName(eng.percent_projection(points))
+    return rounded(out, SER, ["ratio", "price", "type"])
+
+
+@query()
+def swings_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eng.swings(bars(spark, sf_dir))
+
+
+@query()
+def raw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eng.raw_levels(bars(spark, sf_dir))
+
+
+_LEVELS = f"{B}, lv AS (SELECT DISTINCT b.symbol, 'H1' AS tf, d.close AS price FROM bars b JOIN (SELECT symbol, last(close ORDER BY ts) AS close FROM bars GROUP BY symbol, date_trunc('day', ts)) d USING (symbol))"
+
+
+def daily_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir, "D1").select("symbol", F.lit("H1").alias("tf"), F.col("close").alias("price"))
+
+
+@query(f"""{_LEVELS}, f AS (SELECT symbol, rn, min(close) OVER v AS lo, max(close) OVER v AS hi, count(*) OVER (PARTITION BY symbol) AS n FROM n WINDOW v AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+h AS (SELECT lv.symbol, lv.price, f.lo, f.hi, f.lo - 0.5 <= price AND price <= f.hi + 0.5 AS t, price BETWEEN f.lo AND f.hi AS hit FROM lv LEFT JOIN f ON f.symbol = lv.symbol AND f.rn - 1 < f.n - 50)
+SELECT symbol, 'H1' AS tf, price, count(*) FILTER (t) AS touch_count, count(*) FILTER (hit) AS hit_count, {q6('coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (t), 0), 0)', 'hit_rate')}, {q6('coalesce(avg(greatest(hi - price, price - lo, 0)) FILTER (t), 0)', 'avg_bounce', 4)} FROM h GROUP BY symbol, price""")
+def level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = eng.level_stats(daily_closes(spark, sf_dir), bars(spark, sf_dir), 50, 0.5)
+    return out.withColumns({"hit_rate": r6("hit_rate"), "avg_bounce": r6("avg_bounce", 4)})
+
+
+_CLUSTERS = f"""{_LEVELS}, tr AS (SELECT symbol, ts, close, {TRUE_RANGE} AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+atrs AS (SELECT symbol, ts, close, avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr FROM tr),
+ep AS (SELECT symbol, greatest(1e-8, 0.05 * avg(atr)) AS eps, last(close ORDER BY ts) AS price_now, last(atr ORDER BY ts) AS atr FROM atrs GROUP BY symbol),
+gp AS (SELECT lv.*, CASE WHEN price - lag(price) OVER (PARTITION BY lv.symbol ORDER BY price) <= eps THEN 0 ELSE 1 END AS brk, ep.price_now, ep.atr FROM lv JOIN ep USING (symbol)),
+im AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY price) AS isl FROM gp),
+cl AS (SELECT symbol, tf, isl, avg(price) AS price, count(*) AS n, max(price) - min(price) AS width, any_value(price_now) AS price_now, any_value(atr) AS atr FROM im GROUP BY symbol, tf, isl)"""
+
+
+def level_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eng.cluster_levels(daily_closes(spark, sf_dir).withColumnRenamed("price", "level_price"), bars(spark, sf_dir), 0.05)
+
+
+@query(f"{_CLUSTERS} SELECT symbol, tf, row_number() OVER (PARTITION BY symbol ORDER BY isl) - 1 AS cluster_id, {q6('price')}, n::DOUBLE AS strength, n AS members FROM cl")
+def percent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = level_clusters(spark, sf_dir).withColumn("members", F.size("members").cast("long"))
+    return rounded(out, SER, ["cluster_id", "price", "strength", "members"])
+
+
+@query(f"""{_CLUSTERS} SELECT symbol, tf, {q6('price')}, CASE WHEN price > price_now THEN 'sell' ELSE 'buy' END AS side, {q6('price - CASE WHEN price > price_now THEN -1 ELSE 1 END * atr', 'stop_price')},
+ {q6('price + CASE WHEN price > price_now THEN -1 ELSE 1 END * atr * 2', 'take_profit')}, {q6('greatest(0.01, 50 / (atr * 10))', 'lot_size')} FROM cl""")
+def entry_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = eng.entry_plans(level_clusters(spark, sf_dir), bars(spark, sf_dir), eng.OrderPlanner(pip_value=10.0))
+    return rounded(out, SER, ["price", "side", "stop_price", "take_profit", "lot_size"])
+
+
+@query(f"""{_CLUSTERS} SELECT symbol, tf, {q6('price')}, {q6('price - price_now', 'abs_dist')}, {q6('(price - price_now) / price_now', 'pct_dist')}, {q6('CASE WHEN atr <> 0 THEN (price - price_now) / atr ELSE price - price_now END', 'atr_norm_dist')}, n::DOUBLE AS members_count, 1.0::DOUBLE AS tf_count, {q6('width')}, {q6('CASE WHEN atr <> 0 THEN width / atr ELSE width END', 'width_norm')} FROM cl""")
+def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = level_clusters(spark, sf_dir).withColumns({"hit_rate": F.lit(0.0), "avg_bounce": F.lit(0.0)})
+    return rounded(eng.cluster_features(clusters, bars(spark, sf_dir)), SER, ["price", "abs_dist", "pct_dist", "atr_norm_dist", "members_count", "tf_count", "width", "width_norm"])
+
+
+@query(f"{_CLUSTERS} SELECT symbol, tf, {q6('price')}, {q6('price - 0.5 * atr', 'low')}, {q6('price + 0.5 * atr', 'high')}, n::DOUBLE AS strength, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, price) AS rank FROM cl")
+def atr_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eng.atr_zones(level_clusters(spark, sf_dir), bars(spark, sf_dir)), SER, ["price", "low", "high", "strength", "rank"])
+
+
+@query()
+def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eng.FibonacciEngine(bars(spark, sf_dir)).clusters()
+
+
+@query()
+def engine_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eng.FibonacciEngine(bars(spark, sf_dir)).vector()
