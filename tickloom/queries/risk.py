@@ -1 +1,133 @@
+"""Queries of risk, orders, stops, the simulator and streaming twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.functions.windows import bar_idx, prev
+from tickloom.operators import indicators as ind
+from tickloom.operators import risk
+from tickloom.operators import simulator as sim
+from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, ewm_sql, indexed_sql, q6, r6, rounded
+
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+B = "WITH RECURSIVE " + bars_sql("H1") + ", " + indexed_sql()
+#: Symbols that order lines are read as. Fixed values of these queries.
+SYMBOLS = ["EURUSD", "GBPUSD", "USDJPY", "XAUUSD", "AUDUSDm", "GOLD", "usdchf"]
+RATES = [("USDJPY", 149.0, 151.0), ("USDCHF", 0.88, 0.9), ("EURUSD", 1.0845, 1.0855)]
+
+_SYM = "['EURUSD', 'GBPUSD', 'USDJPY', 'XAUUSD', 'AUDUSDm', 'GOLD', 'usdchf'][1 + l_orderkey % 7]"
+LINES = f"""ln AS (SELECT l_orderkey, l_linenumber, {_SYM} AS symbol, l_quantity / 100 AS volume, l_extendedprice / l_quantity AS price, l_quantity AS sl_pips, upper(regexp_extract({_SYM}, '^([A-Za-z]+)', 1)) AS s FROM lineitem),
+i0 AS (SELECT *, CASE WHEN length(s) >= 6 THEN substr(s, 1, 3) WHEN length(s) = 5 THEN substr(s, 1, 2) END AS base, CASE WHEN length(s) >= 6 THEN substr(s, 4, 3) WHEN length(s) = 5 THEN substr(s, 3, 3) END AS quote, s LIKE '%XAU%' OR s LIKE 'GOLD%' AS metal FROM ln),
+i1 AS (SELECT *, CASE WHEN coalesce(quote = 'JPY', false) OR metal THEN 0.01::DOUBLE ELSE 0.0001::DOUBLE END AS point, CASE WHEN metal THEN 100.0::DOUBLE ELSE 100000.0::DOUBLE END AS contract_size FROM i0),
+i AS (SELECT *, CASE WHEN point < 0.001 THEN point * 10 ELSE point END AS pip FROM i1)"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as positions: symbol by order key, volume, price, a stop distance in pips."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    symbol = F.element_at(F.array(*map(F.lit, SYMBOLS)), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    return table.select("l_orderkey", "l_linenumber", symbol.alias("symbol"), (F.col("l_quantity") / 100).cast("double").alias("volume"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.col("l_quantity").cast("double").alias("sl_pips"))
+
+
+@query(f"WITH {LINES} SELECT l_orderkey, l_linenumber, symbol, base, quote, point, contract_size, {q6('pip', 'pip', 8)} FROM i")
+def symbol_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = risk.with_symbol_info(lines(spark, sf_dir))
+    return out.select("l_orderkey", "l_linenumber", "symbol", "base", "quote", "point", "contract_size", r6("pip", 8).alias("pip"))
+
+
+_LOT = "CASE WHEN raw <= 0 THEN 0 WHEN raw < 0.005 THEN 0 WHEN raw < 0.01 THEN 0.01 ELSE least(round(floor(raw / 0.01) * 0.01, 8), 50.0) END"
+
+
+@query(f"""WITH {LINES}, r(p, mid) AS (VALUES ('USDJPY', 150.0::DOUBLE), ('USDCHF', 0.89::DOUBLE), ('EURUSD', 1.085::DOUBLE)),
+v AS (SELECT i.*, pip * contract_size * CASE WHEN quote = 'USD' THEN 1.0 ELSE coalesce(d.mid, 1 / n.mid, 1.0) END AS pip_value FROM i LEFT JOIN r d ON d.p = quote || 'USD' LEFT JOIN r n ON n.p = 'USD' || quote),
+l AS (SELECT *, 10000.0 * 1 / 100 / (sl_pips * pip_value) AS raw FROM v), z AS (SELECT *, ({_LOT})::DOUBLE AS lot FROM l)
+SELECT l_orderkey, l_linenumber, {q6('pip_value')}, {q6('lot')}, {q6('lot * sl_pips * pip_value', 'risk_amount')} FROM z""")
+def lot_by_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = spark.createDataFrame(RATES, "symbol string, bid double, ask double")
+    out = risk.RiskManager(max_lot=50.0).size(lines(spark, sf_dir).withColumn("equity", F.lit(10_000.0)), rates=rates)
+    return rounded(out, ["l_orderkey", "l_linenumber"], ["pip_value", "lot", "risk_amount"])
+
+
+@query(f"""WITH {LINES}, m AS (SELECT l_orderkey, sum(volume * contract_size * price / 100) AS used FROM i GROUP BY l_orderkey)
+SELECT o_orderkey AS l_orderkey, {q6('o_totalprice * 10', 'balance', 4)}, {q6('coalesce(used, 0)', 'used_margin', 4)}, {q6('greatest(0, o_totalprice * 10 - coalesce(used, 0))', 'free_margin', 4)} FROM orders LEFT JOIN m ON o_orderkey = l_orderkey""")
+def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") * 10).alias("balance"))
+    out = risk.margins(risk.with_symbol_info(lines(spark, sf_dir)), accounts, ["l_orderkey"])
+    return rounded(out, ["l_orderkey"], ["balance", "used_margin", "free_margin"], 4)
+
+
+@query(f"""WITH {LINES}, o AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS way, price * 0.999 AS bid, price * 1.001 AS ask FROM i WHERE volume > 0)
+SELECT l_orderkey, l_linenumber, CASE WHEN way = 1 THEN 'BUY' ELSE 'SELL' END AS order_type, {q6('CASE WHEN way = 1 THEN ask ELSE bid END', 'price', 9)}, {q6('CASE WHEN way = 1 THEN ask ELSE bid END - way * sl_pips * pip', 'sl', 9)}, {q6('CASE WHEN way = 1 THEN ask ELSE bid END + way * sl_pips * 2 * pip', 'tp', 9)}, 20 AS deviation, 123456 AS magic FROM o""")
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = risk.with_symbol_info(lines(spark, sf_dir)).withColumns(
+        {"side": F.when(F.col("l_linenumber") % 2 == 0, "buy").otherwise("sell"), "bid": F.col("price") * 0.999, "ask": F.col("price") * 1.001, "tp_pips": F.col("sl_pips") * 2, "lot": F.col("volume")}
+    )
+    return rounded(risk.order_requests(orders), ["l_orderkey", "l_linenumber"], ["order_type", "price", "sl", "tp", "deviation", "magic"], 9)
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey * 10 + l_linenumber AS ticket, symbol, volume, CASE WHEN l_linenumber % 2 = 0 THEN 'SELL' ELSE 'BUY' END AS order_type, {q6('CASE WHEN l_linenumber % 2 = 0 THEN price * 0.999 ELSE price * 1.001 END', 'price', 9)}, 'deal' AS action, 20 AS deviation, 123456 AS magic FROM i""")
+def close_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lines(spark, sf_dir).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ticket"), "symbol", "volume", (F.col("l_linenumber") % 2).alias("type"), (F.col("price") * 0.999).alias("bid"), (F.col("price") * 1.001).alias("ask"))
+    return risk.close_requests(held).withColumn("price", r6("price", 9))
+
+
+@query(f"""WITH {bars_sql('M30', 'b')}, h AS (SELECT symbol, ts, hour(ts) AS h, isodow(ts) - 1 AS d, minute(ts) AS m, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx FROM b)
+SELECT symbol, ts, {q6('h / 23', 'hour_norm')}, {q6('sin(2 * pi() * h / 24)', 'hour_sin')}, {q6('cos(2 * pi() * h / 24)', 'hour_cos')}, {q6('d / 6', 'dow_norm')}, {q6('sin(2 * pi() * d / 7)', 'dow_sin')}, {q6('cos(2 * pi() * d / 7)', 'dow_cos')}, {q6('m / 59', 'min_norm')},
+ (h >= 7 AND h < 16)::INT::DOUBLE AS is_london, (h >= 12 AND h < 20)::INT::DOUBLE AS is_newyork, (h < 7 OR h >= 16)::INT::DOUBLE AS is_asia,
+ coalesce(date_trunc('day', ts) <> date_trunc('day', nx), true) AS is_eod, coalesce(date_trunc('week', ts) <> date_trunc('week', nx), true) AS is_eow, coalesce(date_trunc('month', ts) <> date_trunc('month', nx), true) AS is_eom FROM h""")
+def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = risk.calendar_flags(risk.time_features(bars(spark, sf_dir, "M30")))
+    return rounded(out, ["symbol", "ts"], ["hour_norm", "hour_sin", "hour_cos", "dow_norm", "dow_sin", "dow_cos", "min_norm", "is_london", "is_newyork", "is_asia", "is_eod", "is_eow", "is_eom"])
+
+
+@query(f"""{B}, m AS MATERIALIZED (SELECT *, {TRUE_RANGE} AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)), {ewm_sql('t', 'm', 'tr', 1 / 14, 1)}
+SELECT symbol, ts, {q6('max(high) OVER f - 3 * t.y', 'stop_long')}, {q6('min(low) OVER f + 3 * t.y', 'stop_short')}, {q6('close - 1.5 * t.y', 'atr_stop_long')}, {q6('close + 1.5 * t.y', 'atr_stop_short')} FROM m JOIN t USING (symbol, rn)
+WINDOW f AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)""")
+def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = risk.TrailingStop().add_to_bars(bars(spark, sf_dir))
+    other = risk.TrailingStop(mode="atr").add_to_bars(out.withColumnsRenamed({"stop_long": "l", "stop_short": "s"}))
+    other = other.withColumnsRenamed({"stop_long": "atr_stop_long", "stop_short": "atr_stop_short", "l": "stop_long", "s": "stop_short"})
+    return rounded(other, ["symbol", "ts"], ["stop_long", "stop_short", "atr_stop_long", "atr_stop_short"])
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions from crossings: buy and sell with stops and targets, close the last position 12 bars after a crossing."""
+    crossed = ind.ma_cross(bars(spark, sf_dir))
+    crossed = risk.TrailingStop().add_to_bars(crossed)
+    signal = F.col("ma_cross_signal")
+    action = F.when(signal > 0, 1).when(signal < 0, 2).when(F.coalesce(prev("ma_cross_signal", 12), F.lit(0.0)) != 0, 3).otherwise(0)
+    return crossed.select("symbol", "tf", "ts", F.col("close").alias("price"), action.alias("action"), F.lit(0.5).alias("volume"), F.lit(2000.0).alias("sl"), F.lit(4000.0).alias("tp"), (bar_idx() % 2).cast("int").alias("trailing"), (bar_idx() % 3 == 0).cast("int").alias("riskfree"), "stop_long", "stop_short")
+
+
+@query()
+def simulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sim.simulate(steps(spark, sf_dir)), ["symbol", "tf", "ts"], ["price", "action", "balance", "equity", "n_positions", "net_volume", "realized", "opened", "closed", "reward", "done"])
+
+
+@query()
+def simulator_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim.mixed_reward(sim.performance(sim.simulate(steps(spark, sf_dir))))
+
+
+@query(f"""WITH {bars_sql('D1', 'd1')}, s AS (SELECT symbol, ts, close, row_number() OVER w AS n, greatest(10000.0, max(close * 100) OVER w) - close * 100 AS dd, close * 100 / coalesce(lag(close * 100) OVER w, 10000.0) - 1 AS r FROM d1 WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, count(*) AS steps, {q6('last(close ORDER BY ts) * 100 - 10000', 'net_profit')}, {q6('max(dd)', 'max_drawdown')}, {q6('avg(r) / stddev_samp(r) * sqrt(252)', 'sharpe')}, {q6('pow(last(close ORDER BY ts) * 100 / 10000, 252 / count(*)) - 1', 'cagr', 4)} FROM s GROUP BY symbol""")
+def performance_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    equity = bars(spark, sf_dir, "D1").select("symbol", "tf", "ts", (F.col("close") * 100).alias("equity"), F.lit(0).alias("closed"), F.lit(0.0).alias("realized"), F.lit(0.0).alias("reward"))
+    out = sim.performance(equity)
+    return out.select("symbol", "steps", r6("net_profit").alias("net_profit"), r6("max_drawdown").alias("max_drawdown"), r6("sharpe").alias("sharpe"), r6("cagr", 4).alias("cagr"))
