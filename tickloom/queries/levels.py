@@ -241,10 +241,10 @@ def daily_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_LEVELS}, f AS (SELECT symbol, rn, min(close) OVER v AS lo, max(close) OVER v AS hi, count(*) OVER (PARTITION BY symbol) AS n FROM n WINDOW v AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
 h AS (SELECT lv.symbol, lv.price, f.lo, f.hi, f.lo - 0.5 <= price AND price <= f.hi + 0.5 AS t, price BETWEEN f.lo AND f.hi AS hit FROM lv LEFT JOIN f ON f.symbol = lv.symbol AND f.rn - 1 < f.n - 50)
-SELECT symbol, 'H1' AS tf, price, count(*) FILTER (t) AS touch_count, count(*) FILTER (hit) AS hit_count, {q6('coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (t), 0), 0)', 'hit_rate')}, {q6('coalesce(avg(greatest(hi - price, price - lo, 0)) FILTER (t), 0)', 'avg_bounce', 4)} FROM h GROUP BY symbol, price""")
+SELECT symbol, 'H1' AS tf, price, count(*) FILTER (t) AS touch_count, count(*) FILTER (hit) AS hit_count, {q6('coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (t), 0), 0)', 'hit_rate')}, {q6('coalesce(avg(greatest(hi - price, price - lo, 0)) FILTER (t), 0)', 'avg_bounce')} FROM h GROUP BY symbol, price""")
 def level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = eng.level_stats(daily_closes(spark, sf_dir), bars(spark, sf_dir), 50, 0.5)
-    return out.withColumns({"hit_rate": r6("hit_rate"), "avg_bounce": r6("avg_bounce", 4)})
+    return out.withColumns({"hit_rate": r6("hit_rate"), "avg_bounce": r6("avg_bounce")})
 
 
 _CLUSTERS = f"""{_LEVELS}, tr AS (SELECT symbol, ts, close, {TRUE_RANGE} AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
