@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,8 +19,8 @@ POLY = U64(0xD6E8FEB86659FD93)
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes of text handled at once by the array kernels.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at once by the array kernels: their arrays then fit in a core's cache.
+CHUNK_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system; workers are reused, and executors count all they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, kept: list[str], reads: list[str], makes: str, kernel: Callable, rows: int = 256) -> DataFrame:
     """Keep columns kept of df as they are and add those of the schema makes, computed from columns reads.
 
@@ -73,6 +84,7 @@ def map_rows(df: DataFrame, kept: list[str], reads: list[str], makes: str, kerne
                 if index is not None:
                     old = [c.take(pa.array(index, type=pa.int64())) for c in old]
                 yield pa.RecordBatch.from_arrays([*old, *(pa.array(v, type=t) for v, t in zip(values, kinds, strict=True))], names=[*kept, *names])
+        release_memory()
 
     return df.select(*kept, *(df[c].alias(a) for c, a in zip(reads, aliases, strict=True))).mapInArrow(run, ", ".join(fields))
 
@@ -116,8 +128,8 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64((total[ends] - total[starts]) * down[starts]), starts, ends
 
 
-def chunks(texts: list[str | None], lower: bool = True):
-    """Yield (first, raw bytes as uint8, offsets) for runs of texts of about CHUNK_BYTES; a text is never cut.
+def chunks(texts: list[str | None], lower: bool = True, size_of: int = CHUNK_BYTES):
+    """Yield (first, raw bytes as uint8, offsets) for runs of texts of about size_of bytes; a text is never cut.
 
     Null counts as empty. One line feed follows each text, so that words never span two texts.
     """
@@ -129,7 +141,7 @@ def chunks(texts: list[str | None], lower: bool = True):
         parts.append(part)
         size += len(part)
         offsets.append(size)
-        if size >= CHUNK_BYTES:
+        if size >= size_of:
             yield first, np.frombuffer(b"".join(parts), dtype=np.uint8), np.array(offsets)
             parts, offsets, first, size = [], [0], k + 1, 0
     if parts:

@@ -228,7 +228,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     comes after all others, and class_id is null only where a group has no other. An empty table gives an empty table.
     Classes at the threshold meet with a chance of at least recall, those above it more often; no link below it is returned.
     """
-    rows = map_rows(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), ["doc_id", "text_hash"], ["text"], "set_id binary, n int, low binary", lambda t: (None, *sketches(t, words)), rows=4096)
+    rows = map_rows(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), ["doc_id", "text_hash"], ["text"], "set_id binary, n int, low binary", lambda t: (None, *sketches(t, words)), rows=512)
     rows = shared_checkpoint(rows)
     head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = rows.groupBy("set_id").agg(F.count("*").alias("copies"), F.min(head).alias("head"), F.first("n").alias("n"), F.first("low").alias("low"))
@@ -264,7 +264,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
             lists += np.split(value.view(np.int64), np.cumsum(size)[:-1])
         return None, lists
 
-    sets = map_rows(found, ["set_id", "n", "copies"], ["text"], "shingles array<long>", whole, rows=512)
+    sets = map_rows(found, ["set_id", "n", "copies"], ["text"], "shingles array<long>", whole, rows=128)
     sets = shared_checkpoint(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("shingles").alias("shingles")))
 
     # exact similarity of the candidates

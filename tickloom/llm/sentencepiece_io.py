@@ -13,10 +13,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import table
+from tickloom.llm.common import map_rows, table
 
 #: Output columns of encode() and their types.
 COLUMNS = {
@@ -125,13 +124,24 @@ class Codec:
             return b"", np.array([len(raw)])
         if self.prefix:
             data = np.append(data, np.uint8(32)) if self.suffix else np.insert(data, 0, 32)
-            at = np.insert(at, len(at) - 1, at[-1]) if self.suffix else np.insert(at, 0, at[0] if self.squeeze else 0)
+            at = np.insert(at, len(at) - 1, at[-1]) if self.suffix else np.insert(at, 0, self._leading(raw) if self.squeeze else 0)
         if self.escape:
             wide = np.where(data == 32, len(META), 1)
             out = data.tobytes().replace(b" ", META)
             return out, np.append(np.repeat(at[:-1], wide), at[-1])
         return data.tobytes(), at
 
+    def _leading(self, raw: bytes) -> int:
+        """Bytes at the beginning of raw that become spaces and go."""
+        at = 0
+        while at < len(raw):
+            hit = self.map.longest(raw, at) if self.map.units else None
+            size, new = hit or (1, raw[at : at + 1])
+            if new != b" ":
+                break
+            at += size
+        return at
+
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Source byte spans of the pieces of text. Control pieces are empty spans at their place.
 
@@ -161,23 +171,22 @@ def codec(path: str) -> Codec:
 
 
 def _rows(c: Codec, texts: list[str], wanted: list[str], bos: bool, eos: bool) -> Iterator[tuple]:
+    """Wanted columns of each text."""
     spans = bool({"begins", "ends", "spans_sha256"} & set(wanted))
     decode = bool({"decoded", "decoded_sha256"} & set(wanted))
-    for first in range(0, len(texts), TEXTS_A_CALL):
-        some = texts[first : first + TEXTS_A_CALL]
-        coded = c.encode(some, bos, eos)
-        back = c.processor.decode(coded, num_threads=1) if decode else [""] * len(some)
-        for text, ids, decoded in zip(some, coded, back, strict=True):
-            ids = np.array(ids, dtype=np.int32)
-            begin, end = c.spans(text, ids) if spans else (None, None)
-            made = {"n_tokens": len(ids), "ids": ids, "begins": begin, "ends": end, "decoded": decoded}
-            if "ids_sha256" in wanted:
-                made["ids_sha256"] = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
-            if "spans_sha256" in wanted:
-                made["spans_sha256"] = hashlib.sha256(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()
-            if "decoded_sha256" in wanted:
-                made["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
-            yield tuple(made[k] for k in wanted)
+    coded = c.encode(texts, bos, eos)
+    back = c.processor.decode(coded, num_threads=1) if decode else [""] * len(texts)
+    for text, ids, decoded in zip(texts, coded, back, strict=True):
+        ids = np.array(ids, dtype=np.int32)
+        begin, end = c.spans(text, ids) if spans else (None, None)
+        made = {"n_tokens": len(ids), "ids": ids, "begins": begin, "ends": end, "decoded": decoded}
+        if "ids_sha256" in wanted:
+            made["ids_sha256"] = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+        if "spans_sha256" in wanted:
+            made["spans_sha256"] = hashlib.sha256(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()
+        if "decoded_sha256" in wanted:
+            made["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
+        yield tuple(made[k] for k in wanted)
 
 
 def encode(df: DataFrame, model: str, text: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends"), bos: bool = True, eos: bool = True) -> DataFrame:
@@ -188,39 +197,22 @@ def encode(df: DataFrame, model: str, text: str = "text", columns: tuple[str, ..
     give repeated results, and an empty table an empty one. Columns of df with a wanted name are replaced.
     model is a path that every executor has.
     """
-    kept = [c for c in df.columns if c not in columns]
-    source = df.select(*kept, df[text].alias("__text")) if text in columns else df.select(*kept)
-    read = "__text" if text in columns else text
-    wanted = list(columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema), *(f"{c} {COLUMNS[c]}" for c in wanted)])
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    kept, wanted = [c for c in df.columns if c not in columns], list(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(batch.schema.names.index(read)).to_pylist()]
-            made = list(zip(*_rows(c, texts, wanted, bos, eos), strict=True)) or [()] * len(wanted)
-            arrays = [pa.array(list(v), type=kinds[COLUMNS[k]]) for k, v in zip(wanted, made, strict=True)]
-            rest = [batch.column(batch.schema.names.index(k)) for k in kept]
-            yield pa.RecordBatch.from_arrays([*rest, *arrays], names=[*kept, *wanted])
+    def kernel(texts: list[str | None]) -> tuple:
+        return None, *zip(*_rows(codec(model), [x or "" for x in texts], wanted, bos, eos), strict=True)
 
-    return source.mapInArrow(run, schema)
+    return map_rows(df, kept, [text], ", ".join(f"{c} {COLUMNS[c]}" for c in wanted), kernel, rows=TEXTS_A_CALL)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Decode id arrays by the library; null stays null, empty gives the empty string. A column named out is replaced."""
     kept = [c for c in df.columns if c != out]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), f"`{out}` string"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            lists = batch.column(batch.schema.names.index(ids)).to_pylist()
-            back = [None if x is None else c.processor.decode(x) if x else "" for x in lists]
-            rest = [batch.column(batch.schema.names.index(k)) for k in kept]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(back, type=pa.string())], names=[*kept, out])
+    def kernel(lists: list[list[int] | None]) -> tuple:
+        return None, [None if x is None else codec(model).processor.decode(x) if x else "" for x in lists]
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, kept, [ids], f"`{out}` string", kernel, rows=TEXTS_A_CALL)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

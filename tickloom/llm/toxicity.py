@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import chunks, map_rows, table
+from tickloom.llm.common import chunks, map_rows, release_memory, table
 from tickloom.llm.labelled import fold, labelled_sample
 
 #: Codes of the character model: a to z, any other letter, the end of a word.
@@ -44,7 +44,7 @@ _EDGE = re.compile(r"^(?:[^\w\s]{2,}|[^\w\s@$!|+(<€£¡])+|(?:[^\w\s]{2,}|[^\w
 _TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _LETTER = re.compile(r"[a-z]")
 
-_CODE = np.full(256, END, dtype=np.int64)
+_CODE = np.full(256, END, dtype=np.int32)
 _CODE[ord("a") : ord("z") + 1] = np.arange(26)
 _CODE[0xC3:0xF5] = OTHER
 _CODE[0x80:0xC0] = -1
@@ -53,15 +53,16 @@ _CODE[0x80:0xC0] = -1
 def gram_counts(texts: list[str | None]) -> np.ndarray:
     """Counts of the character model's 4-grams over the words of texts; contexts do not cross a word's beginning."""
     total = np.zeros(GRAMS, dtype=np.int64)
-    for _, raw, _ in chunks(texts):
+    for _, raw, _ in chunks(texts, size_of=1 << 20):
         code = _CODE[raw]
         code = code[code >= 0]
-        pad = np.concatenate(([END, END, END], code))
+        pad = np.concatenate((np.full(3, END, dtype=np.int32), code))
         c1 = pad[2:-1]
-        c2 = np.where(c1 == END, END, pad[1:-2])
-        c3 = np.where(c2 == END, END, pad[:-3])
-        inside = ~((c1 == END) & (code == END))
-        total += np.bincount((((c3 * CODES + c2) * CODES + c1) * CODES + code)[inside], minlength=GRAMS)
+        c2 = np.where(c1 == END, np.int32(END), pad[1:-2])
+        gram = np.where(c2 == END, np.int32(END), pad[:-3])
+        for c in (c2, c1, code):
+            gram = gram * np.int32(CODES) + c
+        total += np.bincount(gram[(c1 != END) | (code != END)], minlength=GRAMS)
     return total
 
 
@@ -72,14 +73,16 @@ def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
     the corpus. Contexts never seen fall back on shorter ones, and in the end on equal chances.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GRAMS, dtype=np.int64)
         for batch in batches:
-            total += gram_counts(batch["text"].tolist())
+            for first in range(0, batch.num_rows, 1024):
+                total += gram_counts(batch.column(0).slice(first, 1024).to_pylist())
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": seen.astype(np.int32), "n": total[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
+        release_memory()
 
-    parts = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(count, "gram int, n long")
+    parts = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(count, "gram int, n long")
     rows = parts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(GRAMS)
     counts[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
