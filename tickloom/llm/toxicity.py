@@ -242,7 +242,7 @@ class Scorer:
 
 
 def _row_weights(rows: list[np.ndarray]) -> np.ndarray:
-    """One over the number of sampled rows alike (half of 32 minima of hashed words equal), so that copies count once together."""
+    """One over the number of sampled rows alike (three quarters of 32 minima of hashed words equal), so that copies count once together."""
     if not rows:
         return np.empty(0)
     odd = (np.arange(32, dtype=np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B)) | np.uint32(1)
@@ -250,7 +250,7 @@ def _row_weights(rows: list[np.ndarray]) -> np.ndarray:
     alike = np.empty(len(rows))
     for first in range(0, len(rows), 256):
         same = sum((minima[first : first + 256, k, None] == minima[None, :, k]).astype(np.int8) for k in range(32))
-        alike[first : first + 256] = (same >= 16).sum(axis=1)
+        alike[first : first + 256] = (same >= 24).sum(axis=1)
     return 1 / alike
 
 
@@ -259,7 +259,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = 0.25, steps:
     share = _row_weights(rows)
     if not len(rows) or not 0 < (share * toxic).sum() < share.sum():
         return (math.log((toxic.sum() + 0.5) / (len(rows) - toxic.sum() + 0.5)) if len(rows) else 0.0), {}
-    flat, sizes = np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
+    flat, sizes = np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows])
     ids, column = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(rows)), sizes)
     positives, n = (share * toxic).sum(), share.sum()
@@ -302,7 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
         return None, out
 
     sample = map_rows(labelled_sample(docs, labels, label, limit), ["y"], ["text", "y"], "buckets array<int>", kernel).toArrow()
-    rows = [np.array(x.as_py(), dtype=np.int64) for x in sample.column("buckets")]
+    lists = sample.column("buckets").combine_chunks()
+    rows = np.split(np.asarray(lists.flatten()), np.asarray(lists.offsets)[1:-1]) if sample.num_rows else []
     bias, weights = fit(rows, (sample.column("y").to_numpy() > 0).astype(np.float64))
     return ToxicityModel(characters, bias, weights)
 
