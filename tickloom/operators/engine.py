@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.schema import KEYS
 from tickloom.functions.windows import bar_idx, islands, rows, trailing, true_range
 from tickloom.operators.support import price_islands
-from tickloom.plans.kernels import LowSince
+from tickloom.plans.kernels import Valleys
 from tickloom.plans.scan import scan
 
 #: Percent ratios of the levels.
@@ -42,26 +42,26 @@ def _apart(part: pd.DataFrame, distance: int) -> pd.DataFrame:
     return part[keep]
 
 
-def _peaks(bars: DataFrame, distance: int) -> DataFrame:
-    """Local maxima of x (the middle of a plateau), thinned by distance, with their prominence.
+def _extrema(bars: DataFrame) -> DataFrame:
+    """Local maxima and minima of the price (the middle of a plateau) with their prominence: keys, ts, bar_idx, price, kind, x,
+    prominence, floor.
 
-    Plateaus and maxima are windows; the valley on either side back to the last higher value is a scan in each direction.
-    Only runs of maxima nearer than distance to each other meet in a group.
+    Plateaus and their neighbours are windows; the valley (hill) on either side back to the last higher (lower) value is one
+    scan in each direction. x is the price, negative for minima, so that larger is more extreme.
     """
     w = Window.partitionBy(*KEYS).orderBy("bar_idx")
-    flat = bars.withColumn("run", islands(KEYS, ["bar_idx"], F.col("x") != F.lag("x").over(w)))
-    left = scan(flat, KEYS, ["bar_idx"], ["x"], "low_since double", LowSince).withColumnRenamed("low_since", "low_left")
-    both = scan(left, KEYS, [F.desc("bar_idx")], ["x"], "low_since double", LowSince).withColumnRenamed("low_since", "low_right")
-    runs = both.groupBy(*KEYS, "run").agg(F.floor((F.min("bar_idx") + F.max("bar_idx")) / 2).cast("long").alias("bar_idx"), F.first("x").alias("x"), F.min("low_left").alias("low_left"), F.min("low_right").alias("low_right"))
-    order = Window.partitionBy(*KEYS).orderBy("run")
-    tops = runs.withColumns({"before": F.lag("x").over(order), "after": F.lead("x").over(order)}).where("x > before and x > after")
-    if distance > 1:
-        order = Window.partitionBy(*KEYS).orderBy("bar_idx")
-        tops = tops.withColumn("gap", F.col("bar_idx") - F.lag("bar_idx").over(order))
-        tops = tops.withColumn("chain", islands(KEYS, ["bar_idx"], F.col("gap").isNull() | (F.col("gap") >= distance)))
-        tops = tops.select(*KEYS, "chain", "bar_idx", "x", "low_left", "low_right")
-        tops = tops.groupBy(*KEYS, "chain").applyInPandas(lambda part: _apart(part, distance), tops.schema)
-    return tops.select(*KEYS, "bar_idx", "x", (F.col("x") - F.greatest("low_left", "low_right")).alias("prominence"))
+    near = bars.withColumns({"before": F.lag("price").over(w), "after": F.lead("price").over(w)})
+    flat = near.withColumn("run", islands(KEYS, ["bar_idx"], F.col("price") != F.col("before")))
+    run = Window.partitionBy(*KEYS, "run").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    flat = flat.withColumns({"before": F.first("before").over(run), "after": F.last("after").over(run), "middle": F.floor((F.min("bar_idx").over(run) + F.max("bar_idx").over(run)) / 2)})
+    schema = "low_since double, high_since double"
+    left = scan(flat.drop("run"), KEYS, ["bar_idx"], ["price"], schema, Valleys).withColumnsRenamed({"low_since": "low_left", "high_since": "high_left"})
+    both = scan(left, KEYS, [F.desc("bar_idx")], ["price"], schema, Valleys)
+    x = F.col("price")
+    top, bottom = (x > F.col("before")) & (x > F.col("after")), (x < F.col("before")) & (x < F.col("after"))
+    depth = F.when(top, x - F.greatest("low_left", "low_since")).otherwise(F.least("high_left", "high_since") - x)
+    found = both.where((F.col("bar_idx") == F.col("middle")) & (top | bottom))
+    return found.select(*KEYS, "ts", "bar_idx", "price", F.when(top, "peak").otherwise("valley").alias("kind"), F.when(top, x).otherwise(-x).alias("x"), depth.alias("prominence"), "floor")
 
 
 def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_bars: int = 3, use_wicks: str = "wicks") -> DataFrame:
@@ -69,22 +69,23 @@ def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_ba
 
     The price is the close, or the middle of the body for use_wicks="bodies". Without min_prominence it is half the population
     deviation of the series' prices, 1e-8 at least. Confidence is the prominence over the series' largest. A series without
-    swings gives no rows.
+    swings gives no rows. Only extrema nearer than min_distance_bars to each other meet in a group.
     """
     if use_wicks not in ("wicks", "close", "bodies"):
         raise ValueError("use_wicks must be one of 'wicks', 'bodies', 'close'")
     price = (F.col("open") + F.col("close")) / 2.0 if use_wicks == "bodies" else F.col("close")
-    base = bars.select(*KEYS, "ts", price.alias("price")).withColumn("bar_idx", bar_idx())
-    distance = max(1, int(min_distance_bars))
-    up = _peaks(base.withColumn("x", F.col("price")), distance).withColumn("kind", F.lit("peak"))
-    down = _peaks(base.withColumn("x", -F.col("price")), distance).withColumn("kind", F.lit("valley"))
-    floor = base.groupBy(*KEYS).agg(F.greatest(F.lit(1e-8), F.stddev_pop("price") * 0.5).alias("floor"))
-    found = up.unionByName(down).join(floor, KEYS)
-    found = found.where(F.col("prominence") >= (F.col("floor") if min_prominence is None else F.lit(float(min_prominence))))
-    found = found.join(base.select(*KEYS, "bar_idx", "ts"), [*KEYS, "bar_idx"])
-    most = F.max("prominence").over(Window.partitionBy(*KEYS))
-    price_now = F.when(F.col("kind") == "peak", F.col("x")).otherwise(-F.col("x"))
-    return found.select(*KEYS, "ts", F.col("bar_idx").alias("idx"), price_now.alias("price"), "kind", "prominence", (F.col("prominence") / (most + 1e-9)).alias("confidence"))
+    everything = Window.partitionBy(*KEYS)
+    base = bars.select(*KEYS, "ts", price.alias("price")).where("price is not null").withColumn("bar_idx", bar_idx())
+    floor = F.greatest(F.lit(1e-8), F.stddev_pop("price").over(everything) * 0.5) if min_prominence is None else F.lit(float(min_prominence))
+    found, distance = _extrema(base.withColumn("floor", floor)), max(1, int(min_distance_bars))
+    if distance > 1:
+        kind = Window.partitionBy(*KEYS, "kind").orderBy("bar_idx")
+        found = found.withColumn("gap", F.col("bar_idx") - F.lag("bar_idx").over(kind))
+        found = found.withColumn("chain", islands([*KEYS, "kind"], ["bar_idx"], F.col("gap").isNull() | (F.col("gap") >= distance))).drop("gap")
+        found = found.groupBy(*KEYS, "kind", "chain").applyInPandas(lambda part: _apart(part, distance), found.schema)
+    found = found.where(F.col("prominence") >= F.col("floor"))
+    most = F.max("prominence").over(everything)
+    return found.select(*KEYS, "ts", F.col("bar_idx").alias("idx"), "price", "kind", "prominence", (F.col("prominence") / (most + 1e-9)).alias("confidence"))
 
 
 def _ratio_rows(df: DataFrame, ratios: tuple[float, ...]) -> DataFrame:
@@ -276,16 +277,26 @@ def atr_zones(clusters: DataFrame, bars: DataFrame, zone_width_atr_mult: float =
 
 
 class FibonacciEngine:
-    """From bars to levels, clusters, plans and features, lazily."""
+    """From bars to levels, clusters, plans and features, lazily. The bars and levels are read several times, so they are kept in
+    Spark's cache until release()."""
 
     def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5) -> None:
-        self.bars, self.ratios, self.atr_window, self.eps = bars, ratios, atr_window, cluster_eps_atr_mult
+        self.bars, self.ratios, self.atr_window, self.eps = bars.persist(), ratios, atr_window, cluster_eps_atr_mult
+        self._levels: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop what is cached."""
+        self.bars.unpersist()
+        if self._levels is not None:
+            self._levels.unpersist()
 
     def swings(self) -> DataFrame:
         return swings(self.bars)
 
     def levels(self) -> DataFrame:
-        return levels_of_swings(self.swings(), self.ratios)
+        if self._levels is None:
+            self._levels = levels_of_swings(self.swings(), self.ratios).persist()
+        return self._levels
 
     def clusters(self) -> DataFrame:
         return scored_clusters(self.levels(), self.bars, self.eps, self.atr_window)

@@ -191,18 +191,23 @@ class MergedZones(Kernel):
         return {"__merged": out}
 
 
-class LowSince(Kernel):
-    """For each value the least value since the last one that is larger, itself included (a stack of falling values)."""
+class Valleys(Kernel):
+    """For each value x the least value since the last one that is larger, and the largest since the last one that is smaller,
+    itself included. Two stacks, of falling and of rising values, hold what later values can still reach back to."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[float, float]] = []
+        self.falling: list[tuple[float, float]] = []
+        self.rising: list[tuple[float, float]] = []
 
     def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        out = np.zeros(len(columns["x"]))
-        for k, x in enumerate(columns["x"].tolist()):
-            low = x
-            while self.stack and self.stack[-1][0] <= x:
-                low = min(low, self.stack.pop()[1])
-            self.stack.append((x, low))
-            out[k] = low
-        return {"low_since": out}
+        low, high = np.zeros(len(columns["price"])), np.zeros(len(columns["price"]))
+        for k, x in enumerate(columns["price"].tolist()):
+            least = most = x
+            while self.falling and self.falling[-1][0] <= x:
+                least = min(least, self.falling.pop()[1])
+            while self.rising and self.rising[-1][0] >= x:
+                most = max(most, self.rising.pop()[1])
+            self.falling.append((x, least))
+            self.rising.append((x, most))
+            low[k], high[k] = least, most
+        return {"low_since": low, "high_since": high}

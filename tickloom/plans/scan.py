@@ -1,6 +1,6 @@
 """Sequential scans over sorted series.
 
-For recurrences that no window frame expresses. Rows are hashed by key and sorted within partitions by Spark, and a kernel
+For recurrences that no window frame expresses. Spark hashes rows by key and sorts them within partitions, and a kernel
 walks them batch by batch with its state: memory does not grow with the length of a series.
 """
 
@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 
@@ -42,7 +43,8 @@ def _arrow(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 def scan(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[str], makes: str, kernel: Callable[[], Kernel]) -> DataFrame:
     """Add the columns of the schema makes, computed from columns reads by a new kernel for each series.
 
-    keys name the series, order sorts its rows. One shuffle by key, none where df is already hashed by the keys.
+    keys name the series, order sorts its rows. A row number over the series asks Spark for rows hashed by key and sorted, so
+    that there is no further shuffle or sort where windows over the same series stand before.
     """
     made = df.sparkSession.createDataFrame([], makes).schema
     names, kinds = [f.name for f in made], [to_arrow_type(f.dataType) for f in made]
@@ -68,5 +70,5 @@ def scan(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[
             rest = [batch.column(batch.schema.names.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*rest, *(pa.concat_arrays(parts[n]) for n in names)], names=[*kept, *names])
 
-    ordered = df.select(*kept).repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = df.select(*kept, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("__row"))
     return ordered.mapInArrow(run, ", ".join(fields))
