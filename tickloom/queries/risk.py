@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions import schema
 from tickloom.functions.windows import bar_idx, prev
 from tickloom.operators import indicators as ind
+from tickloom.operators import observation as obs
 from tickloom.operators import risk
 from tickloom.operators import simulator as sim
 from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, ewm_sql, indexed_sql, q6, r6, rounded
+from tickloom.sources import market
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -131,3 +134,28 @@ def performance_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     equity = bars(spark, sf_dir, "D1").select("symbol", "tf", "ts", (F.col("close") * 100).alias("equity"), F.lit(0).alias("closed"), F.lit(0.0).alias("realized"), F.lit(0.0).alias("reward"))
     out = sim.performance(equity)
     return out.select("symbol", "steps", r6("net_profit").alias("net_profit"), r6("max_drawdown").alias("max_drawdown"), r6("sharpe").alias("sharpe"), r6("cagr", 4).alias("cagr"))
+
+
+@query()
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = bars(spark, sf_dir).unionByName(bars(spark, sf_dir, "H4")).unionByName(bars(spark, sf_dir, "D1"))
+    states = sim.simulate(steps(spark, sf_dir)).select("symbol", "tf", "ts", "price", "balance", "equity", "n_positions", "net_volume")
+    return obs.observations(states, frames, 15)
+
+
+@query(f"""{B}, lv AS (SELECT symbol, last(close ORDER BY ts) AS price FROM bars GROUP BY symbol, date_trunc('day', ts))
+SELECT symbol, ts, {q6('close - (SELECT max(price) FROM lv WHERE lv.symbol = bars.symbol AND price <= close)', 'support_gap')}, {q6('(SELECT min(price) FROM lv WHERE lv.symbol = bars.symbol AND price >= close) - close', 'resistance_gap')} FROM bars""")
+def nearest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = obs.nearest_levels(bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("price")), bars(spark, sf_dir, "D1").select("symbol", F.col("close").alias("price")))
+    return rounded(out, ["symbol", "ts"], ["support_gap", "resistance_gap"])
+
+
+@query(f"WITH {bars_sql('H1')}, t AS (SELECT * FROM bars UNION ALL SELECT * FROM bars WHERE tick_volume % 5 = 0) SELECT symbol, tf, ts, count(*) AS n FROM t GROUP BY symbol, tf, ts HAVING count(*) > 1")
+def duplicate_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = bars(spark, sf_dir)
+    return schema.duplicate_bars(once.unionByName(once.where("tick_volume % 5 = 0")))
+
+
+@query(f"""WITH {bars_sql('D1')} SELECT coalesce(close, 0.0) AS price, 'fib' AS label, 0.0::DOUBLE AS strength FROM bars""")
+def plot_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.plot_annotations(bars(spark, sf_dir, "D1").select(F.col("close").alias("price")))
