@@ -27,19 +27,37 @@ def simple_atr(bars: DataFrame, window: int = 14) -> DataFrame:
 # --- legs -------------------------------------------------------------------------------------------------------------
 
 
-def _apart(part: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Peaks of one run that survive: from the highest down (of equal ones the later first), neighbours nearer than distance go."""
-    part = part.sort_values("bar_idx").reset_index(drop=True)
-    place, keep = part["bar_idx"].tolist(), [True] * len(part)
-    for k in sorted(range(len(part)), key=lambda i: (part["x"][i], i), reverse=True):
+def _apart(places: list[int], heights: list[float], distance: int) -> list[bool]:
+    """Which of a chain's extrema survive: from the highest down (of equal ones the later first), neighbours nearer than distance go."""
+    keep = [True] * len(places)
+    for k in sorted(range(len(places)), key=lambda i: (heights[i], i), reverse=True):
         if not keep[k]:
             continue
         for step in (-1, 1):
             j = k + step
-            while 0 <= j < len(part) and abs(place[j] - place[k]) < distance:
+            while 0 <= j < len(places) and abs(places[j] - places[k]) < distance:
                 keep[j] = False
                 j += step
-    return part[keep]
+    return keep
+
+
+def _thinned(found: DataFrame, distance: int) -> DataFrame:
+    """Extrema at least distance bars apart. Only a chain of extrema nearer than that to the next one meets in a row; many chains
+    go to Python in one Arrow batch, and extrema without such a neighbour do not go there."""
+    kind = Window.partitionBy(*KEYS, "kind").orderBy("bar_idx")
+    gap = found.withColumn("gap", F.col("bar_idx") - F.lag("bar_idx").over(kind))
+    near = gap.withColumn("chain", islands([*KEYS, "kind"], ["bar_idx"], F.col("gap").isNull() | (F.col("gap") >= distance))).drop("gap")
+    rest = [c for c in found.columns if c not in (*KEYS, "kind", "bar_idx")]
+    chains = near.groupBy(*KEYS, "kind", "chain").agg(F.array_sort(F.collect_list(F.struct("bar_idx", *rest))).alias("g"))
+
+    @F.pandas_udf("array<boolean>")
+    def survivors(places: pd.Series, heights: pd.Series) -> pd.Series:
+        return pd.Series([_apart(list(p), list(h), distance) for p, h in zip(places, heights, strict=True)])
+
+    single = chains.where(F.size("g") == 1).select(*KEYS, "kind", F.col("g")[0].alias("e"))
+    several = chains.where(F.size("g") > 1).withColumn("keep", survivors(F.col("g.bar_idx"), F.col("g.x")))
+    several = several.select(*KEYS, "kind", F.explode(F.arrays_zip("g", "keep")).alias("z")).where("z.keep").select(*KEYS, "kind", F.col("z.g").alias("e"))
+    return single.unionByName(several).select(*KEYS, "kind", "e.*").select(*found.columns)
 
 
 def _extrema(bars: DataFrame) -> DataFrame:
@@ -79,10 +97,7 @@ def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_ba
     floor = F.greatest(F.lit(1e-8), F.stddev_pop("price").over(everything) * 0.5) if min_prominence is None else F.lit(float(min_prominence))
     found, distance = _extrema(base.withColumn("floor", floor)), max(1, int(min_distance_bars))
     if distance > 1:
-        kind = Window.partitionBy(*KEYS, "kind").orderBy("bar_idx")
-        found = found.withColumn("gap", F.col("bar_idx") - F.lag("bar_idx").over(kind))
-        found = found.withColumn("chain", islands([*KEYS, "kind"], ["bar_idx"], F.col("gap").isNull() | (F.col("gap") >= distance))).drop("gap")
-        found = found.groupBy(*KEYS, "kind", "chain").applyInPandas(lambda part: _apart(part, distance), found.schema)
+        found = _thinned(found, distance)
     found = found.where(F.col("prominence") >= F.col("floor"))
     most = F.max("prominence").over(everything)
     return found.select(*KEYS, "ts", F.col("bar_idx").alias("idx"), "price", "kind", "prominence", (F.col("prominence") / (most + 1e-9)).alias("confidence"))
