@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.queries import features, joins, levels, risk
+from tickloom.queries import features, joins, levels, risk, streams
 
-QUERIES = {**features.QUERIES, **levels.QUERIES, **joins.QUERIES, **risk.QUERIES}
-ORACLE_SQL = {**features.ORACLE_SQL, **levels.ORACLE_SQL, **joins.ORACLE_SQL, **risk.ORACLE_SQL}
+_MODULES = (features, levels, joins, risk, streams)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

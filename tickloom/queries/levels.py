@@ -227,6 +227,29 @@ def swings_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eng.swings(bars(spark, sf_dir))
 
 
+_PEAKS = f"""{B}, z AS MATERIALIZED (SELECT *, lag(close) OVER w AS b, lead(close) OVER w AS a FROM n WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+hi AS (SELECT p.symbol, p.ts, p.rn, p.close, 'peak' AS kind, p.close - greatest(
+   (SELECT min(q.close) FROM n q WHERE q.symbol = p.symbol AND q.rn <= p.rn AND q.rn > coalesce((SELECT max(r.rn) FROM n r WHERE r.symbol = p.symbol AND r.rn < p.rn AND r.close > p.close), 0)),
+   (SELECT min(q.close) FROM n q WHERE q.symbol = p.symbol AND q.rn >= p.rn AND q.rn < coalesce((SELECT min(r.rn) FROM n r WHERE r.symbol = p.symbol AND r.rn > p.rn AND r.close > p.close), 1000000000))) AS prom FROM z p WHERE close > b AND close > a),
+lo AS (SELECT p.symbol, p.ts, p.rn, p.close, 'valley' AS kind, least(
+   (SELECT max(q.close) FROM n q WHERE q.symbol = p.symbol AND q.rn <= p.rn AND q.rn > coalesce((SELECT max(r.rn) FROM n r WHERE r.symbol = p.symbol AND r.rn < p.rn AND r.close < p.close), 0)),
+   (SELECT max(q.close) FROM n q WHERE q.symbol = p.symbol AND q.rn >= p.rn AND q.rn < coalesce((SELECT min(r.rn) FROM n r WHERE r.symbol = p.symbol AND r.rn > p.rn AND r.close < p.close), 1000000000))) - p.close AS prom FROM z p WHERE close < b AND close < a),
+fl AS (SELECT symbol, greatest(1e-8, stddev_pop(close) / 2) AS floor FROM n GROUP BY symbol),
+sw AS MATERIALIZED (SELECT u.*, prom / (max(prom) OVER (PARTITION BY symbol) + 1e-9) AS confidence FROM (SELECT * FROM hi UNION ALL SELECT * FROM lo) u JOIN fl USING (symbol) WHERE prom >= floor)"""
+
+
+@query(f"{_PEAKS} SELECT symbol, ts, rn - 1 AS idx, kind, close AS price, {q6('prom', 'prominence')}, {q6('confidence')} FROM sw")
+def swings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eng.swings(bars(spark, sf_dir), min_distance_bars=1), ["symbol", "ts"], ["idx", "kind", "price", "prominence", "confidence"])
+
+
+@query(f"""{_PEAKS}, mv AS (SELECT symbol, rn, kind, lead(ts) OVER w AS ts, close AS s, lead(close) OVER w AS e FROM sw WINDOW w AS (PARTITION BY symbol ORDER BY rn, kind)),
+al AS (SELECT symbol, ts, rn, kind, r::DOUBLE AS ratio, e + (s - e) * (1 - r / 100) AS p, 'retracement' AS type FROM mv, {_PCT} WHERE e IS NOT NULL UNION ALL SELECT symbol, ts, rn, kind, r::DOUBLE, e + (e - s) * (r / 100), 'extension' FROM mv, {_PCT} WHERE e IS NOT NULL)
+SELECT symbol, ratio, type, {q6('p', 'level_price')}, min(ts) AS ts FROM al GROUP BY symbol, ratio, type, p""")
+def raw_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eng.raw_levels(bars(spark, sf_dir), min_distance_bars=1), ["symbol", "ts"], ["ratio", "type", "level_price"])
+
+
 @query()
 def raw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eng.raw_levels(bars(spark, sf_dir))
