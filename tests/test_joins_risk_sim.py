@@ -168,6 +168,22 @@ def test_streams_equal_batches(spark, parts):
     np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)])
 
 
+def test_stream_lines_equal_batches(spark, parts):
+    folder, df = parts
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    bands = lambda d: d.select("symbol", "tf", "ts", "close", (F.col("high") + 2).alias("upper"), (F.col("low") - 2).alias("lower"), F.when(F.col("tick_volume") % 4 == 0, 1.0).otherwise(0.0).alias("signal"))
+    from tickloom.plans.kernels import Spacing, SuperTrend
+    from tickloom.plans.scan import scan
+
+    key = lambda rows, c: {(r.symbol, r.ts): r[c] for r in rows}
+    want = scan(bands(df), ["symbol", "tf"], ["ts"], ["close", "upper", "lower"], "supertrend double, supertrend_dir double", SuperTrend).collect()
+    got = drain(twins.stream_supertrend(bands(source)), "trend_stream").collect()
+    assert key(got, "supertrend_dir") == key(want, "supertrend_dir") and {r.supertrend_dir for r in want} == {None, 1.0, -1.0}
+    want = scan(bands(df), ["symbol", "tf"], ["ts"], ["signal"], "spaced double", lambda: Spacing(3)).collect()
+    got = drain(twins.stream_spacing(bands(source), 3), "spacing_stream").collect()
+    assert key(got, "spaced") == key(want, "spaced") and sum(r.spaced for r in want) > 10
+
+
 def test_stream_bars_and_versions(spark, tmp_path):
     rows = [("s", T0 + dt.timedelta(minutes=m), float(m), m) for m in range(0, 300, 7)]
     ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, price double, seq int")
