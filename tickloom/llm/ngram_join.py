@@ -96,10 +96,12 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
 
 
 def _children(paths: np.ndarray, low: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and paths of the children of nodes: one drawn coordinate each, and a second with the chance that makes 1 / threshold on average."""
+    """Row numbers and paths of the children of nodes, none twice: one drawn coordinate each, and another one with the chance that
+    makes 1 / threshold on average (a second draw of the same coordinate moves on to the next)."""
     rows = np.arange(len(paths))
     one = (mix64(paths ^ _PLACE[8]) % U64(COORDINATES)).astype(np.int64)
     two = (mix64(paths ^ _PLACE[9]) % U64(COORDINATES)).astype(np.int64)
+    two = np.where(two == one, (two + 1) % COORDINATES, two)
     more = (mix64(paths ^ _PLACE[10]) >> U64(40)).astype(np.float64) / (1 << 24) < 1 / threshold - 1
     rows, drawn = np.concatenate((rows, rows[more])), np.concatenate((one, two[more]))
     return rows, mix64(mix64(paths[rows] + drawn.astype(U64) * _PLACE[11]) ^ low[rows, drawn].astype(U64))
@@ -124,7 +126,7 @@ def _split(frontier: DataFrame, runs: int, threshold: float) -> DataFrame:
                 rows, new = _children(paths, low[at], threshold)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(new.view(np.int64))], names=["set_id", "path"])
 
-    return frontier.select("set_id", "low", "path").mapInArrow(run, "set_id binary, path long").distinct()
+    return frontier.select("set_id", "low", "path").mapInArrow(run, "set_id binary, path long")
 
 
 def _close(leaves: DataFrame, threshold: float) -> DataFrame:
