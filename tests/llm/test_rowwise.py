@@ -39,6 +39,73 @@ def test_licence_rules(spark):
     assert got == ["Apache-2.0", "CC-BY-NC-4.0,MIT", "BSD-2-Clause", "BSD-3-Clause", "Unmatched", "", "", ""]
 
 
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not", "program; if not")
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+"""
+BSD3 = BSD2.replace("THIS SOFTWARE", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
+OFFICIAL = {
+    "GPL-3.0-or-later": (GPL3, "<Gpl3Plus><GplWarranty><GplReceive>"),
+    "GPL-2.0-or-later": (GPL2, "<Gpl2Plus><GplWarranty><GplReceive>"),
+    "MIT": (MIT, "<MitGrant><MitNotice><MitAsIs>"),
+    "Apache-2.0": (APACHE, "<ApacheRef><ApacheComply><ApacheCopy><ApacheAsIs><ApacheSee>"),
+    "BSD-2-Clause": (BSD2, "<BsdPre><BsdSource><BsdBinary><BsdAsIs>"),
+    "BSD-3-Clause": (BSD3, "<BsdPre><BsdSource><BsdBinary><BsdEndorse><BsdAsIs>"),
+}
+REFERENCES = {
+    "Released under the MIT License.": "MIT",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-only",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0",
+    "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    "All rights reserved.": "Unmatched",
+}
+
+
+def scanned(spark, *texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    return [(r.licenses, r.sentence_ids) for r in license_scan.scan(df).orderBy("k").collect()]
+
+
+def test_every_rule_on_its_official_text(spark):
+    assert scanned(spark, *(text for text, _ in OFFICIAL.values())) == [(name, ids) for name, (_, ids) in OFFICIAL.items()]
+    assert licences(spark, *REFERENCES) == list(REFERENCES.values())
+    assert {name for name, _ in license_scan.RULES} == {*OFFICIAL, *REFERENCES.values()}
+
+
+def test_gpl_notices_that_name_the_program(spark):
+    named = [text.replace("This program is", "Foo is") for text in (GPL3, GPL2)]
+    assert scanned(spark, *named) == [(name, OFFICIAL[name][1]) for name in ("GPL-3.0-or-later", "GPL-2.0-or-later")]
+    assert licences(spark, "Is this under the MIT license? Not known: ask", "not released under the MIT License.") == ["", ""]
+
+
 def test_each_known_sentence_has_a_cue():
     import re
 

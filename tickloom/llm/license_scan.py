@@ -1,7 +1,7 @@
 """License scans by sentence-rule recognition, in SQL functions only.
 
-A text is cut into sentences, each normalised to lower-case words; those that are known licence sentences become their
-identifiers. The sequence of identifiers of a document is then matched against ordered rules: a rule that matches
+A text is normalised to lower-case words with marks where sentences end; what stands between two marks and is a known licence
+sentence becomes its identifier. The sequence of identifiers of a document is then matched against ordered rules: a rule that matches
 consumes its identifiers, so that later, more general rules see only what is left.
 """
 
@@ -71,13 +71,34 @@ RULES = [
 CUES = "(?i)licen[cs]e|permi(t|ssion)|copyright|redistribut|warrant|rights reserved|compliance"
 #: A sentence ends at a line feed or at a full stop, colon, semicolon or such before white space or the end.
 SENTENCE_END = r"\n+|[.;:!?]+(\s+|$)"
+#: Parts of known sentences after a colon or semicolon, which stand alone where a notice names the program ("Foo is free software: ...").
+PARTS = {
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Plus",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
+}
+#: What the lower-case text turns into, step by step: words and marks with single blanks between them. The marks are capitals, which
+#: lower-case text does not have: H ends a sentence; M (colons, semicolons) ends one too, but may stand inside a known one.
+MARKS = [
+    (r"\n+", " H "),
+    (r"(?<![.;:!?])[;:]++(?:\s++|\z)", " M "),
+    (r"(?<![.;:!?])[.;:!?]++(?:\s++|\z)", " H "),
+    (r"[^a-z0-9HM]+", " "),
+]
+_INSIDE, _ENDS = "M", "HM"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of text, in order."""
-    sentences = F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    return F.filter(F.transform(sentences, lambda s: known[s]), lambda s: s.isNotNull())
+    """Identifiers of the known sentences of text, in order; of two that start together the longer one."""
+    marked = F.lower(text)
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    keys = {**SENTENCES, **PARTS}
+    longest = "|".join(sorted(keys, key=len, reverse=True)).replace(" ", f" (?:[{_INSIDE}] )?")
+    pattern = f"(?<=[{_ENDS}] )(?:{longest})(?= [{_ENDS}])"
+    found = F.regexp_extract_all(F.concat(F.lit("H "), F.trim(marked), F.lit(" H")), F.lit(pattern), F.lit(0))
+    known = F.create_map(*(F.lit(x) for pair in keys.items() for x in pair))
+    return F.transform(found, lambda s: known[F.regexp_replace(s, f" [{_INSIDE}](?= )", "")])
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
