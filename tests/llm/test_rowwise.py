@@ -106,6 +106,32 @@ def test_gpl_notices_that_name_the_program(spark):
     assert licences(spark, "Is this under the MIT license? Not known: ask", "not released under the MIT License.") == ["", ""]
 
 
+def wrapped(text, mark="", width=60, end=""):
+    import textwrap
+
+    lines = [line for p in text.strip().split("\n") for line in textwrap.wrap(p, width) or [""]]
+    return "\n".join((mark + line + end).rstrip(" ") for line in lines)
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "; ", "! ", "-- ", "REM ", "dnl ", "\t%% ", "> "])
+def test_wrapped_and_commented_texts(spark, mark):
+    texts = [wrapped(text, mark, width) for text, _ in OFFICIAL.values() for width in (35, 72)]
+    assert scanned(spark, *texts) == [(name, ids) for name, (_, ids) in OFFICIAL.items() for _ in range(2)]
+
+
+def test_wrapped_in_other_ways(spark):
+    want = [(name, ids) for name, (_, ids) in OFFICIAL.items()]
+    official = [text for text, _ in OFFICIAL.values()]
+    assert scanned(spark, *("/*\n" + wrapped(text, " * ", end="  *") + "\n */" for text in official)) == want
+    assert scanned(spark, *(wrapped(text).replace("\n", "\r\n") for text in official)) == want
+    assert licences(spark, BSD2.replace("1. ", "(1) ").replace("2. ", "b) ")) == ["BSD-2-Clause"]
+    lines = "Foo\nReleased under the MIT License\nAll rights reserved\nLicensed under CC BY 4.0\nbar"  # one notice a line, without marks
+    assert scanned(spark, lines) == [("CC-BY-4.0,MIT,Unmatched", "<MitRef><AllRights><CcByRef>")]
+    blanks = ["All rights  reserved.", "All rights\treserved.", "All\nrights\nreserved.", "# All rights\n# reserved"]
+    assert scanned(spark, *blanks) == [("Unmatched", "<AllRights>")] * 4
+    assert licences(spark, "Released under the\n\nMIT License.", "Released under the. MIT License.") == ["", ""]
+
+
 def test_each_known_sentence_has_a_cue():
     import re
 

@@ -68,7 +68,7 @@ RULES = [
     ("Unmatched", "(<[A-Za-z0-9]+>)+"),
 ]
 #: Each known sentence holds one of these words, so texts without any need no cutting.
-CUES = "(?i)licen[cs]e|permi(t|ssion)|copyright|redistribut|warrant|rights reserved|compliance"
+CUES = "(?i)licen[cs]e|permi(t|ssion)|copyright|redistribut|warrant|rights[^a-z0-9]+reserved|compliance"
 #: A sentence ends at a line feed or at a full stop, colon, semicolon or such before white space or the end.
 SENTENCE_END = r"\n+|[.;:!?]+(\s+|$)"
 #: Parts of known sentences after a colon or semicolon, which stand alone where a notice names the program ("Foo is free software: ...").
@@ -78,14 +78,19 @@ PARTS = {
     "without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
 }
 #: What the lower-case text turns into, step by step: words and marks with single blanks between them. The marks are capitals, which
-#: lower-case text does not have: H ends a sentence; M (colons, semicolons) ends one too, but may stand inside a known one.
+#: lower-case text does not have: H ends a sentence; M (colons, semicolons) and N (a line feed) end one too, but may stand inside a
+#: known one, since texts are wrapped.
 MARKS = [
-    (r"\n+", " H "),
+    (r"\r\n?", "\n"),
+    (r"(^|\n)[^a-z0-9\n]*+(?:(?:rem|dnl)[ \t]++)?", "$1"),  # comment marks and indents at line starts
+    (r"\n[0-9a-z]\)\s", "\n\n"),  # numbers of a list
+    (r"\n\n++", " . "),  # a blank line
     (r"(?<![.;:!?])[;:]++(?:\s++|\z)", " M "),
     (r"(?<![.;:!?])[.;:!?]++(?:\s++|\z)", " H "),
-    (r"[^a-z0-9HM]+", " "),
+    (r"\n", " N "),
+    (r"[^a-z0-9HMN]+", " "),
 ]
-_INSIDE, _ENDS = "M", "HM"
+_INSIDE, _ENDS = "MN", "HMN"
 
 
 def sentence_ids(text: Column) -> Column:
