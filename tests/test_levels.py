@@ -122,6 +122,37 @@ def test_mixtures_find_separate_groups(spark, method):
     assert [r.price for r in sup.cluster_levels(one, ["symbol"], method).collect()] == [3.0]
 
 
+@pytest.mark.parametrize("method", ["kmeans", "gmm"])
+def test_mixtures_of_skewed_prices_settle(spark, method):
+    rng, k = np.random.default_rng(11), 5
+    series = {"skewed": np.exp(rng.normal(0, 1, 1500)).round(3), "walk": (100 + np.cumsum(rng.normal(0, 1, 1500))).round(2)}
+    df = spark.createDataFrame([(s, float(p)) for s, x in series.items() for p in x], "symbol string, price double")
+    rows = sup.cluster_levels(df, ["symbol"], method, n_clusters=k).collect()
+    for s, x in series.items():
+        mean = np.quantile(x, [(2 * j + 1) / (2 * k) for j in range(k)])
+        var, share = np.full(k, np.unique(x).var() / k), np.full(k, 1 / k)
+        for _ in range(30_000):
+            if method == "gmm":
+                w = share / np.sqrt(var) * np.exp(-((x[:, None] - mean) ** 2) / (2 * var))
+                w /= w.sum(axis=1, keepdims=True)
+            else:
+                w = np.eye(k)[np.abs(x[:, None] - mean).argmin(axis=1)]
+            n, last = w.sum(axis=0), mean
+            mean = w.T @ x / n
+            var, share = (w * (x[:, None] - mean) ** 2).sum(axis=0) / n, n / n.sum()
+            if np.abs(mean - last).max() <= 1e-9 * x.std():
+                break
+        else:
+            raise AssertionError("brute force has not settled")
+        np.testing.assert_allclose(sorted(r.price for r in rows if r.symbol == s), np.sort(mean), atol=2e-3 * x.std())
+
+
+def test_unsettled_mixtures_raise():
+    price = np.sort(np.random.default_rng(3).lognormal(size=500))
+    with pytest.raises(RuntimeError, match="not settled after 8 rounds"):
+        sup._settle(price, np.ones(500), 5, 8, True)
+
+
 def test_level_stats_equal_brute_force(bars):
     df, pdf = bars
     x = pdf[pdf.symbol == "AAA"].close.to_numpy()

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.functions.schema import KEYS
 from tickloom.functions.windows import bar_idx, centred_extreme, islands, series
 from tickloom.operators.bars import latest_bar
 
+#: Clusters have settled once no centre moves by more than this share of the prices' standard deviation in a round.
+TOLERANCE = 1e-6
+#: Prices handled at once by the array kernel.
+CHUNK = 1 << 15
+
 
 def _marked(bars: DataFrame, high: Column, low: Column) -> DataFrame:
     """One row for each mark: kind, its price and its bar's position."""
@@ -47,42 +55,56 @@ def price_islands(levels: DataFrame, keys: list[str], eps: Column | float, price
     return levels.withColumn("__gap", gap).withColumn("island", islands(keys, [price], F.col("__gap").isNull() | (F.col("__gap") > eps)).cast("long")).drop("__gap")
 
 
-def _mixture(levels: DataFrame, keys: list[str], k: int, rounds: int, soft: bool) -> DataFrame:
-    """Centres of k-means (hard) or of a Gaussian mixture (soft) over one dimension, for each series at once.
+def _settle(price: np.ndarray, times: np.ndarray, k: int, rounds: int, soft: bool) -> np.ndarray:
+    """Centres of k-means (hard) or of a Gaussian mixture (soft) of distinct sorted prices that stand so many times.
 
-    Starts from quantiles, so reruns agree. Each round assigns every price against its series' k components, which are
-    one row, and sums by component with partial aggregation.
+    Starts from quantiles, so reruns agree, and ends once no centre moves by more than TOLERANCE standard deviations in a round;
+    raises where that takes more than so many rounds.
     """
-    levels = levels.groupBy(*keys, "price").agg(F.count("*").cast("double").alias("times")).persist()  # read once a round
-    shares = F.array(*(F.lit((2 * j + 1) / (2 * k)) for j in range(k)))
-    start = levels.groupBy(*keys).agg(F.percentile("price", shares, F.col("times").cast("long")).alias("m"), F.coalesce(F.nullif(F.var_pop("price"), F.lit(0.0)), F.lit(1e-12)).alias("v"))
-    parts = start.select(*keys, F.transform("m", lambda m: F.struct(m.alias("mean"), (F.col("v") / k).alias("var"), F.lit(1.0 / k).alias("share"))).alias("c"))
+    upto = np.cumsum(times)
+    at = (upto[-1] - 1) * (2 * np.arange(k) + 1) / (2 * k)
+    low, high = (price[np.searchsorted(upto, f(at), side="right")] for f in (np.floor, np.ceil))
+    mean = low + (high - low) * (at - np.floor(at))
+    spread = price.var() or 1e-12
+    var, share = np.full(k, spread / k), np.full(k, 1.0 / k)
     for _ in range(rounds):
-        near = levels.join(parts, keys)
-        if soft:
-            chance = lambda c: F.log(c["share"]) - 0.5 * F.log(c["var"]) - (F.col("price") - c["mean"]) * (F.col("price") - c["mean"]) / (2.0 * c["var"])
-            near = near.withColumn("l", F.transform("c", chance)).withColumn("e", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
-            near = near.withColumn("w", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
-        else:
-            near = near.withColumn("d", F.transform("c", lambda c: F.abs(F.col("price") - c["mean"])))
-            near = near.withColumn("w", F.transform("d", lambda x, j: F.when(j + 1 == F.array_position("d", F.array_min("d")), 1.0).otherwise(0.0)))
-        w, x = [F.element_at("w", j + 1) * F.col("times") for j in range(k)], F.col("price")
-        sums = [f(w[j]).alias(f"{n}{j}") for j in range(k) for n, f in (("n", F.sum), ("s", lambda v: F.sum(v * x)), ("q", lambda v: F.sum(v * x * x)))]
-        moved = near.groupBy(*keys).agg(*sums, F.any_value("c").alias("old"))
-        total = sum((F.col(f"n{j}") for j in range(k)), F.lit(0.0))
-        new = []
-        for j in range(k):
-            mean = F.coalesce(F.try_divide(f"s{j}", f"n{j}"), F.element_at("old", j + 1)["mean"])
-            spread = F.greatest(F.coalesce(F.try_divide(f"q{j}", f"n{j}") - mean * mean, F.lit(0.0)), F.lit(1e-12))
-            new.append(F.struct(mean.alias("mean"), spread.alias("var"), F.greatest(F.try_divide(F.col(f"n{j}"), total), F.lit(1e-12)).alias("share")))
-        parts = moved.select(*keys, F.array(*new).alias("c"))
-    return parts.select(*keys, F.explode("c").alias("c")).select(*keys, F.col("c.mean").alias("price"))
-
-
-def cluster_levels(levels: DataFrame, keys: list[str], method: str = "kmeans", n_clusters: int = 5, eps: float = 0.001, min_samples: int = 2, rounds: int = 8) -> DataFrame:
+        n, total, squares = np.zeros(k), np.zeros(k), np.zeros(k)
+        for start in range(0, len(price), CHUNK):
+            x, t = price[start : start + CHUNK, None], times[start : start + CHUNK, None]
+            if soft:
+                w = np.log(share) - 0.5 * np.log(var) - (x - mean) ** 2 / (2.0 * var)
+                w = np.exp(w - w.max(axis=1, keepdims=True))
+                w *= t / w.sum(axis=1, keepdims=True)
+            else:
+                w = (np.abs(x - mean).argmin(axis=1)[:, None] == np.arange(k)) * t
+            d = x - mean
+            n, total, squares = n + w.sum(axis=0), total + (w * d).sum(axis=0), squares + (w * d * d).sum(axis=0)
+        full = np.where(n > 0, n, 1.0)
+        move = np.where(n > 0, total / full, 0.0)
+        mean, var, share = mean + move, np.maximum(np.where(n > 0, squares / full, 0.0) - move**2, 1e-12), np.maximum(n / n.sum(), 1e-12)
+        if np.abs(move).max() <= TOLERANCE * np.sqrt(spread):
+            return mean
+    raise RuntimeError(f"{'a mixture' if soft else 'k-means'} of {len(price)} prices has not settled after {rounds} rounds")
+
+
+def _mixture(levels: DataFrame, keys: list[str], k: int, rounds: int, soft: bool) -> DataFrame:
+    """The settled centres of each series. A series is one task, as in windows, which holds 16 bytes for each distinct price."""
+    levels = levels.where("price is not null").groupBy(*keys, F.col("price").cast("double").alias("price")).agg(F.count("*").cast("double").alias("times"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        price, times = rows["price"].to_numpy(), rows["times"].to_numpy()
+        order = np.argsort(price)
+        centres = _settle(price[order], times[order], k, rounds, soft)
+        return pa.table([*(pa.array([v.as_py()] * k, v.type) for v in key), pa.array(centres)], names=[*keys, "price"])
+
+    return levels.groupBy(*keys).applyInArrow(run, StructType([*(levels.schema[c] for c in keys), StructField("price", DoubleType())]))
+
+
+def cluster_levels(levels: DataFrame, keys: list[str], method: str = "kmeans", n_clusters: int = 5, eps: float = 0.001, min_samples: int = 2, rounds: int = 100_000) -> DataFrame:
     """Prices of the clusters of levels(keys, price) by method: columns keys and price.
 
-    kmeans and gmm give n_clusters centres (fewer where a series has fewer distinct prices, since equal centres are one);
+    kmeans and gmm give n_clusters centres (fewer where a series has fewer distinct prices, since equal centres are one), and
+    raise where a series has not settled after so many rounds;
     dbscan gives the means of groups of at least min_samples prices whose neighbours lie within eps, exact for min_samples up to
     3; any other method returns the levels. Series of one level pass unchanged.
     """
