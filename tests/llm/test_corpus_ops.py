@@ -114,6 +114,13 @@ def test_recall_of_runs():
         assert 0 < q < 1 and 1 - (1 - q) ** ngram_join.runs_for(0.999, 0.8, depth) >= 0.999
 
 
+def test_recall_over_a_shared_sketch():
+    runs, rng = ngram_join.runs_for(ngram_join.RECALL, 0.8, ngram_join.DEPTH), np.random.default_rng(4)
+    agreement = rng.binomial(ngram_join.COORDINATES, 0.8, 200_000) / ngram_join.COORDINATES
+    missed = np.mean([(1 - ngram_join.survival(0.8, ngram_join.DEPTH, a)) ** runs for a in agreement])
+    assert missed <= 1 - ngram_join.RECALL
+
+
 # --- embeddings -------------------------------------------------------------------------------------------------------
 
 

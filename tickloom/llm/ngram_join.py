@@ -25,6 +25,8 @@ from tickloom.llm.graph import components
 WORDS, THRESHOLD = 5, 0.8
 #: Coordinates of a sketch, classes that a bucket may hold to be compared at once, depth of the recursion, share of links at the threshold to be found.
 COORDINATES, BUCKET, DEPTH, RECALL = 64, 64, 4, 0.999
+#: Runs over one sketch at most.
+MOST_RUNS = 256
 #: Classes of a tile's side, and columns of shingles that a tile multiplies at once.
 TILE_ROWS, TILE_COLUMNS = 512, 4096
 
@@ -81,18 +83,27 @@ def sketches(texts: list[str | None], words: int = WORDS) -> tuple[list[bytes],
     return names, sizes, minima
 
 
-def survival(threshold: float, depth: int) -> float:
-    """Chance that a pair of the threshold's similarity is still together after depth splits of a run."""
-    second, chance = min(1.0, 1 / threshold - 1), 1.0
+def survival(threshold: float, depth: int, agreement: float | None = None) -> float:
+    """Chance that a pair whose sketches agree in a share of the coordinates (the threshold's at default) is still together after
+    depth splits of a run."""
+    second, chance, agreement = min(1.0, 1 / threshold - 1), 1.0, threshold if agreement is None else agreement
     for _ in range(depth):
-        once = threshold * chance
+        once = agreement * chance
         chance = (1 - second) * once + second * (1 - (1 - once) ** 2)
     return chance
 
 
+def recall_of(runs: int, threshold: float, depth: int) -> float:
+    """Chance that runs over the same sketch find a pair at the threshold: the mean over the coordinates in which its sketches agree."""
+    chances = (math.comb(COORDINATES, a) * threshold**a * (1 - threshold) ** (COORDINATES - a) for a in range(COORDINATES + 1))
+    return 1 - sum(p * (1 - survival(threshold, depth, a / COORDINATES)) ** runs for a, p in enumerate(chances))
+
+
 def runs_for(recall: float, threshold: float, depth: int) -> int:
-    """Independent runs that find a pair at the threshold with a chance of recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
+    """Runs that find a pair at the threshold with a chance of recall."""
+    if recall >= recall_of(MOST_RUNS, threshold, depth):
+        raise ValueError(f"{MOST_RUNS} runs over {COORDINATES} coordinates do not reach a recall of {recall}")
+    return next(r for r in range(1, MOST_RUNS + 1) if recall_of(r, threshold, depth) >= recall)
 
 
 def _children(paths: np.ndarray, low: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +239,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
 
     Null counts as empty. Texts without words have no shingles: they link with each other and with nothing else. A null doc_id
     comes after all others, and class_id is null only where a group has no other. An empty table gives an empty table.
-    Classes at the threshold meet with a chance of at least recall, those above it more often; no link below it is returned.
+    Classes at the threshold meet with a chance of at least recall, taken over the sketches and the runs, those above it more often; no link below it is returned.
     """
     rows = map_rows(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), ["doc_id", "text_hash"], ["text"], "set_id binary, n int, low binary", lambda t: (None, *sketches(t, words)), rows=512)
     rows = shared_checkpoint(rows)
