@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Odd multipliers of the 64-bit finalizer (splitmix64) and of the word polynomial.
@@ -21,6 +23,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at once by the array kernels: their arrays then fit in a core's cache.
 CHUNK_BYTES = 1 << 18
+#: A key is hot if it holds more than one in this many of the rows, and more than HOT_ROWS; so there are at most that many hot keys.
+HOT_KEYS, HOT_ROWS = 10_000, 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,6 +63,17 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df but for names; as in Spark, case makes no difference."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def map_rows(df: DataFrame, kept: list[str], reads: list[str], makes: str, kernel: Callable, rows: int = 256) -> DataFrame:
     """Keep columns kept of df as they are and add those of the schema makes, computed from columns reads.
 
@@ -66,14 +81,14 @@ def map_rows(df: DataFrame, kept: list[str], reads: list[str], makes: str, kerne
     each result belongs to (None: one result a row, in order) and a list for each column made. Kept columns stay in Arrow,
     so that nulls and large integers pass unchanged.
     """
-    spark = df.sparkSession
-    made = spark.createDataFrame([], makes).schema
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*df.select(*kept).schema, *made]]
-    names = [f.name for f in made]
     from pyspark.sql.pandas.types import to_arrow_type
 
+    made = df.sparkSession.createDataFrame([], makes).schema
+    old_columns = df.select(*map(named, kept))
+    schema = StructType([*old_columns.schema.fields, *made.fields])
+    names = [f.name for f in schema]
     kinds = [to_arrow_type(f.dataType) for f in made]
-    aliases = [f"__in{k}" for k in range(len(reads))]
+    private = [named(c).alias(f"__kept{k}") for k, c in enumerate(kept)] + [named(c).alias(f"__read{k}") for k, c in enumerate(reads)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +98,27 @@ def map_rows(df: DataFrame, kept: list[str], reads: list[str], makes: str, kerne
                 old = [some.column(k) for k in range(len(kept))]
                 if index is not None:
                     old = [c.take(pa.array(index, type=pa.int64())) for c in old]
-                yield pa.RecordBatch.from_arrays([*old, *(pa.array(v, type=t) for v, t in zip(values, kinds, strict=True))], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([*old, *(pa.array(v, type=t) for v, t in zip(values, kinds, strict=True))], names=names)
         release_memory()
 
-    return df.select(*kept, *(df[c].alias(a) for c, a in zip(reads, aliases, strict=True))).mapInArrow(run, ", ".join(fields))
+    return df.select(*private).mapInArrow(run, schema)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, by: list[str] | None = None) -> DataFrame:
+    """Inner join of left with right (one row a key) in which rows of hot keys stay spread: columns of left, then right's others.
+
+    Column rows of right says how many rows of left each key has, of total in all. Hot keys (see HOT_KEYS) are few, whatever
+    the tables, and are broadcast; their rows of left are dealt by a hash of columns by (all of left by default), all others by
+    the keys.
+    """
+    hot = F.col(rows) > max(HOT_ROWS, total / HOT_KEYS)
+    others = [c for c in right.columns if c not in keys]
+    few = right.where(hot).select(*keys, F.struct(*others).alias("__hot"))
+    rest = right.where(~hot).select(*keys, F.struct(*others).alias("__cold"), F.lit(0).cast("long").alias("__spread"))
+    spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*(by or left.columns))).otherwise(F.lit(0).cast("long"))
+    marked = left.join(F.broadcast(few), keys, "left").withColumn("__spread", spread)
+    joined = marked.join(rest, [*keys, "__spread"], "left").withColumn("__found", F.coalesce("__hot", "__cold")).where("__found is not null")
+    return joined.select(*left.columns, *(F.col("__found")[c].alias(c) for c in others))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACE, U64, chunks, map_rows, table, word_hashes
+from tickloom.llm.common import SPACE, U64, chunks, map_rows, table, without, word_hashes
 from tickloom.llm.labelled import fold, labelled_sample
 
 #: Hash buckets of words and of shapes; one more bucket is for a word that repeats the one before.
@@ -139,7 +139,7 @@ def grade(docs: DataFrame, model: OrdinalModel, text: str = "text", tail: int =
         tails = known.value.tails(scores)
         return None, words, tails.sum(axis=1), tails[:, min(tail, tails.shape[1]) - 1]
 
-    return map_rows(docs, [c for c in docs.columns if c not in names], [text], "n_words long, expected_grade double, tail_prob double", kernel)
+    return map_rows(docs, without(docs, *names), [text], "n_words long, expected_grade double, tail_prob double", kernel)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

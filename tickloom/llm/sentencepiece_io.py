@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import map_rows, table
+from tickloom.llm.common import map_rows, table, without
 
 #: Output columns of encode() and their types.
 COLUMNS = {
@@ -197,7 +197,7 @@ def encode(df: DataFrame, model: str, text: str = "text", columns: tuple[str, ..
     give repeated results, and an empty table an empty one. Columns of df with a wanted name are replaced.
     model is a path that every executor has.
     """
-    kept, wanted = [c for c in df.columns if c not in columns], list(columns)
+    kept, wanted = without(df, *columns), list(columns)
 
     def kernel(texts: list[str | None]) -> tuple:
         return None, *zip(*_rows(codec(model), [x or "" for x in texts], wanted, bos, eos), strict=True)
@@ -207,7 +207,7 @@ def encode(df: DataFrame, model: str, text: str = "text", columns: tuple[str, ..
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Decode id arrays by the library; null stays null, empty gives the empty string. A column named out is replaced."""
-    kept = [c for c in df.columns if c != out]
+    kept = without(df, out)
 
     def kernel(lists: list[list[int] | None]) -> tuple:
         return None, [None if x is None else codec(model).processor.decode(x) if x else "" for x in lists]

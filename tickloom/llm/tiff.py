@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import map_rows, table
+from tickloom.llm.common import map_rows, table, without
 
 # Fixed values of the TIFF format: tags, field types (bytes each) and compression codes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -260,7 +260,7 @@ def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
     with its error. Columns of df with a name in PAGE_SCHEMA are replaced. Repeated rows give repeated pages.
     """
     made = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-    kept = [c for c in df.columns if c != media and c not in made]
+    kept = without(df, media, *made)
 
     def kernel(files: list[bytes | None]) -> tuple:
         found = [(k, page) for k, data in enumerate(files) for page in read_pages(data)]
@@ -278,7 +278,7 @@ def payload_of(text: str | None, unit: int = ROW_SAMPLES) -> bytes:
 
 def text_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """Store each text as a one-page TIFF, deflated with horizontal prediction: columns of df without text, n_bytes and out."""
-    kept = [c for c in df.columns if c not in (text, out, "n_bytes")]
+    kept = without(df, text, out, "n_bytes")
 
     def kernel(texts: list[str | None]) -> tuple:
         files = [write_tiff([np.frombuffer(payload_of(x), dtype=np.uint8).reshape(-1, ROW_SAMPLES)], predictor=2) for x in texts]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import chunks, map_rows, release_memory, table
+from tickloom.llm.common import chunks, map_rows, named, release_memory, table, without
 from tickloom.llm.labelled import fold, labelled_sample
 
 #: Codes of the character model: a to z, any other letter, the end of a word.
@@ -82,7 +82,7 @@ def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
         release_memory()
 
-    parts = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(count, "gram int, n long")
+    parts = df.select(named(text).alias("text")).where("text is not null").mapInArrow(count, "gram int, n long")
     rows = parts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(GRAMS)
     counts[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
             held.append(known.value.scorer())
         return None, [held[0].score(t) for t in texts]
 
-    return map_rows(docs, [c for c in docs.columns if c != out], [text], f"`{out}` double", kernel)
+    return map_rows(docs, without(docs, out), [text], f"`{out}` double", kernel)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
