@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Each document has a fixed 60-bit hash. For each source the words are summed by hash bucket; the bucket in which
-the running sum crosses the source's budget is split again by the next bits, and so on, until one hash value is left.
+the running sum crosses the source's budget is split again by the next bits, and last by all bits, so that one hash value is left.
 The documents whose hash lies below that value are taken, without any sort of the documents.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import shared_checkpoint, table
+from tickloom.llm.common import named, shared_checkpoint, table, without
 
-#: Hex digits of the hash, and digits that each refinement adds: 4096 buckets a step.
-HASH_DIGITS, STEP_DIGITS = 15, 3
+#: Hex digits of the hash, and digits that count after each refinement: 4096 buckets, 4096 within the boundary bucket, and what is left in that.
+HASH_DIGITS, STEPS = 15, (3, 6, 15)
 #: A document is taken at most this often.
 MAX_REPEATS = 3
 #: Tables of one row a source are broadcast up to this many rows (some MB), and joined by a shuffle beyond.
@@ -26,27 +26,39 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Add rank, the place of each row of sources(source, ...) in code-point order, null last, from 0.
+
+    Rows are dealt by ranges and numbered within each; only the number of rows of each range, one row a partition, is summed
+    in one place.
+    """
+    order = F.col("source").asc_nulls_last()
+    dealt = shared_checkpoint(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place")).drop("part", "place", "offset")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Budget of each source of sizes(source, source_size): columns source, source_size, target.
 
-    Sources in code-point order (null last) take the weights in turn and share the total size in proportion to them;
-    a target stops at max_repeats times the size and the excess is shared by the others. That has the closed form
-    min(max_repeats * size, level * weight): sources fill up in order of size / weight, and the level is fixed by the
-    first that does not. Empty sources get 0. The windows here are over one row per source.
+    Sources in code-point order (null last) take the weights in turn and share the total size in proportion to them; a target
+    stops at max_repeats times the size, and the excess is shared by the others until none is above. A target so is
+    min(max_repeats * size, level * weight), where a source that is full at one level stays full at the next. Sources with equal
+    ratios of size to weight fill together. Empty sources get 0.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1))
-    ranked = ranked.withColumn("full", F.col("source_size") * float(max_repeats)).withColumn("ratio", F.col("full") / F.col("weight"))
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn(
-        "level",
-        F.try_divide(F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(before), F.lit(0.0)), F.sum("weight").over(after)),
-    )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
-    return ranked.withColumn("target", F.least(F.col("full"), F.coalesce(level * F.col("weight"), F.col("full")))).select("source", "source_size", "target")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    full = F.col("source_size") * float(max_repeats)
+    shares = shared_checkpoint(ranked(sizes).select("source", "source_size", weight.alias("weight"), full.alias("full")))
+    level, before = 0.0, None
+    while True:
+        open_ = F.col("full") > level * F.col("weight")
+        sums = shares.agg(F.sum("source_size").alias("all"), F.sum(F.when(~open_, F.col("full"))).alias("filled"), F.sum(F.when(open_, F.col("weight"))).alias("weight"), F.count(F.when(~open_, 1)).alias("n")).first()
+        if sums["weight"] is None or sums["n"] == before:
+            break
+        level, before = ((sums["all"] or 0) - (sums["filled"] or 0.0)) / sums["weight"], sums["n"]
+    return shares.select("source", "source_size", F.least(F.col("full"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def thresholds(slim: DataFrame, budgets: DataFrame, few: bool = False) -> DataFrame:
@@ -54,29 +66,26 @@ def thresholds(slim: DataFrame, budgets: DataFrame, few: bool = False) -> DataFr
 
     slim(source, size, digits) has a hash of HASH_DIGITS hex digits; budgets is of targets(). base is the number of
     whole repeats; cut is null where nothing remains to be taken beyond them. At the last digit the boundary value is
-    taken if that brings the sum nearer to the budget. few: there are so few sources that their rows may be broadcast. Histograms are combined before the shuffle and hold at most
-    16**STEP_DIGITS rows a source; each step reads only the documents of the boundary buckets of the step before.
+    taken if that brings the sum nearer to the budget. few: there are so few sources that their rows may be broadcast. Histograms
+    are combined before the shuffle; each step reads only the documents of the boundary buckets of the step before.
     """
-    whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
-    goal = budgets.select("source", F.coalesce(whole, F.lit(0)).alias("base"), (F.col("target") - F.coalesce(whole, F.lit(0)) * F.col("source_size")).alias("rest"))
-    goal = goal.withColumn("prefix", F.lit("")).withColumn("below", F.lit(0).cast("long"))
-    running = Window.partitionBy("source").orderBy("bucket")
-    last = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    for step in range(STEP_DIGITS, HASH_DIGITS + 1, STEP_DIGITS):
+    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
+    goal = budgets.select("source", whole.alias("base"), (F.col("target") - whole * F.col("source_size")).alias("rest"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    for digits in STEPS:
         bounds = goal.select(F.col("source").alias("of"), "prefix")
         inside = slim.join(F.broadcast(bounds) if few else bounds, F.col("source").eqNullSafe(F.col("of")) & F.col("digits").startswith(F.col("prefix")))
-        histogram = inside.groupBy("source", F.substring("digits", 1, step).alias("bucket")).agg(F.sum("size").alias("words"))
-        sums = histogram.withColumn("upto", F.sum("words").over(running)).withColumn("under", F.coalesce(F.sum("words").over(last), F.lit(0)))
-        sums = sums.withColumnRenamed("source", "of").join(goal, F.col("source").eqNullSafe(F.col("of")))
+        histogram = inside.groupBy("source", F.substring("digits", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
+        sums = histogram.withColumn("under", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumnRenamed("source", "of")
+        last = goal.drop("words")
+        sums = sums.join(F.broadcast(last) if few else last, F.col("source").eqNullSafe(F.col("of")))
         # the boundary: the last bucket that begins within the budget
         found = sums.where(F.col("below") + F.col("under") <= F.col("rest")).groupBy("source", "base", "rest").agg(
             F.max_by(F.struct(F.col("bucket").alias("prefix"), (F.col("below") + F.col("under")).alias("below"), "words"), "bucket").alias("b")
         )
         goal = shared_checkpoint(found.select("source", "base", "rest", "b.prefix", "b.below", "b.words"))
-        words = goal.select("source", "base", "rest", "prefix", "below", "words")
-        goal = goal.drop("words")
     near = F.abs(F.col("below") + F.col("words") - F.col("rest")) < F.abs(F.col("rest") - F.col("below"))
-    return words.select("source", "base", F.when(near, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("cut"))
+    return goal.select("source", "base", F.when(near, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("cut"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -84,26 +93,26 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     Returns the columns of docs and, after them, mix_size, mix_source_size, mix_target and mix_repeats. The hash is of the
     document's id and text, so reruns agree; rows equal in both are taken together. Null and empty texts have size 0 and
-    0 words taken; they get the repeats of their hash all the same. A null source is a source of its own. An empty table
-    gives an empty table. Columns of docs with those four names are replaced.
+    0 words taken; they get the repeats of their hash all the same. Long texts count whole. A null source is a source of its own,
+    a null id hashes as an empty one. An empty table gives an empty table. Columns of docs with those four names are replaced;
+    no other name clashes.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_repeats")
-    digits = F.substring(F.md5(F.concat_ws("|", F.col(doc_id).cast("string"), F.md5(F.coalesce(text, F.lit(""))))), 1, HASH_DIGITS)
-    slim = shared_checkpoint(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), digits.alias("digits")))
-    budgets = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    budgets = shared_checkpoint(budgets)
+    made = ["mix_size", "mix_source_size", "mix_target", "mix_repeats"]
+    kept = without(docs, *made)
+    digits = F.substring(F.md5(F.concat_ws("|", named(doc_id).cast("string"), F.md5(F.coalesce(named(text), F.lit(""))))), 1, HASH_DIGITS)
+    rows = docs.select(F.struct(*map(named, kept)).alias("row"), named(source).alias("source"), word_count(named(text)).alias("size"), digits.alias("digits"))
+    slim = shared_checkpoint(rows.drop("row"))
+    budgets = shared_checkpoint(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
     few = budgets.count() <= BROADCAST_SOURCES
     cuts = thresholds(slim, budgets, few).withColumnRenamed("source", "cut_source")
-    plan = budgets.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.coalesce("base", F.lit(0)).alias("mix_base"), F.col("cut").alias("mix_cut")
-    )
-    once = F.when(F.col("mix_digits") < F.col("mix_cut"), 1).otherwise(0)
-    return (
-        docs.withColumn("mix_size", word_count(F.col(text)))
-        .withColumn("mix_digits", digits)
-        .join(F.broadcast(plan) if few else plan, F.col(source).eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_repeats", F.least(F.lit(max_repeats), F.col("mix_base") + once).cast("long"))
-        .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
+    plan = budgets.withColumnRenamed("source", "of").join(cuts, F.col("of").eqNullSafe(F.col("cut_source")), "left")
+    once = F.when(F.col("digits") < F.col("cut"), 1).otherwise(0)
+    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of"))).select(
+        *(F.col("row").getField(c).alias(c) for c in kept),
+        F.col("size").alias("mix_size"),
+        F.col("source_size").alias("mix_source_size"),
+        F.col("target").alias("mix_target"),
+        F.least(F.lit(max_repeats), F.coalesce("base", F.lit(0)) + once).cast("long").alias("mix_repeats"),
     )
 
 
