@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import U64, chunks, map_rows, mix64, shared_checkpoint, table, word_hashes
+from tickloom.llm.common import U64, chunks, join_hot, map_rows, mix64, named, shared_checkpoint, table, word_hashes
 from tickloom.llm.graph import components
 
 #: Words of a shingle and the least similarity of a link.
@@ -27,8 +27,8 @@ WORDS, THRESHOLD = 5, 0.8
 COORDINATES, BUCKET, DEPTH, RECALL = 64, 64, 4, 0.999
 #: Runs over one sketch at most.
 MOST_RUNS = 256
-#: Classes of a tile's side, and columns of shingles that a tile multiplies at once.
-TILE_ROWS, TILE_COLUMNS = 512, 4096
+#: Classes and shingles of a tile's side (on average, as tiles are dealt by hash), and columns of shingles that a tile multiplies at once.
+TILE_ROWS, TILE_SHINGLES, TILE_COLUMNS = 512, 1 << 20, 4096
 
 _PLACE = mix64(np.arange(1, 17, dtype=U64))
 _DRAW = mix64(np.arange(101, 101 + COORDINATES, dtype=U64)) | U64(1)
@@ -93,17 +93,33 @@ def survival(threshold: float, depth: int, agreement: float | None = None) -> fl
     return chance
 
 
-def recall_of(runs: int, threshold: float, depth: int) -> float:
-    """Chance that runs over the same sketch find a pair at the threshold: the mean over the coordinates in which its sketches agree."""
-    chances = (math.comb(COORDINATES, a) * threshold**a * (1 - threshold) ** (COORDINATES - a) for a in range(COORDINATES + 1))
-    return 1 - sum(p * (1 - survival(threshold, depth, a / COORDINATES)) ** runs for a, p in enumerate(chances))
+def _agreements(threshold: float) -> list[float]:
+    """Chance of each number of coordinates in which the sketches of a pair at the threshold agree."""
+    return [math.comb(COORDINATES, a) * threshold**a * (1 - threshold) ** (COORDINATES - a) for a in range(COORDINATES + 1)]
+
+
+def least_agreement(recall: float, threshold: float) -> int:
+    """Coordinates in which the sketches of a candidate must agree: a pair at the threshold agrees in fewer with a chance of at most a
+    hundredth of what the recall leaves to be missed."""
+    chances = _agreements(threshold)
+    return max(a for a in range(COORDINATES + 1) if sum(chances[:a]) <= (1 - recall) / 100)
+
+
+def recall_of(runs: int, threshold: float, depth: int, least: int = 0) -> float:
+    """Chance that runs over the same sketch find a pair at the threshold: the mean over the coordinates in which its sketches agree.
+
+    Where they agree in fewer than least, the pair is no candidate and counts as missed.
+    """
+    missed = [1.0 if a < least else (1 - survival(threshold, depth, a / COORDINATES)) ** runs for a in range(COORDINATES + 1)]
+    return 1 - sum(p * m for p, m in zip(_agreements(threshold), missed, strict=True))
 
 
 def runs_for(recall: float, threshold: float, depth: int) -> int:
-    """Runs that find a pair at the threshold with a chance of recall."""
-    if recall >= recall_of(MOST_RUNS, threshold, depth):
+    """Runs that find a pair at the threshold with a chance of recall, pairs that are no candidates counted as missed."""
+    least = least_agreement(recall, threshold)
+    if recall >= recall_of(MOST_RUNS, threshold, depth, least):
         raise ValueError(f"{MOST_RUNS} runs over {COORDINATES} coordinates do not reach a recall of {recall}")
-    return next(r for r in range(1, MOST_RUNS + 1) if recall_of(r, threshold, depth) >= recall)
+    return next(r for r in range(1, MOST_RUNS + 1) if recall_of(r, threshold, depth, least) >= recall)
 
 
 def _children(paths: np.ndarray, low: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -123,30 +139,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _split(frontier: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """Children of the nodes (set_id, low, path); a null path stands for the roots of all runs."""
+    """Children of the nodes (set_id, n, low, path): set_id, n, path. A null path stands for the roots of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix64(np.arange(runs, dtype=U64) ^ _PLACE[12])
         for batch in batches:
-            ids, low = batch.column(0), _matrix(batch.column(1))
-            if batch.column(2).null_count:
+            ids, sizes, low = batch.column(0), batch.column(1), _matrix(batch.column(2))
+            if batch.column(3).null_count:
                 nodes = [(np.full(len(ids), r, dtype=U64), np.arange(len(ids))) for r in roots]
             else:
-                nodes = [(np.asarray(batch.column(2)).view(U64), np.arange(len(ids)))]
+                nodes = [(np.asarray(batch.column(3)).view(U64), np.arange(len(ids)))]
             for paths, at in nodes:
                 rows, new = _children(paths, low[at], threshold)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(new.view(np.int64))], names=["set_id", "path"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), sizes.take(pa.array(rows)), pa.array(new.view(np.int64))], names=["set_id", "n", "path"])
 
-    return frontier.select("set_id", "low", "path").mapInArrow(run, "set_id binary, path long")
+    return frontier.select("set_id", "n", "low", "path").mapInArrow(run, "set_id binary, n int, path long")
 
 
-def _close(leaves: DataFrame, threshold: float) -> DataFrame:
+def _close(leaves: DataFrame, threshold: float, least: int) -> DataFrame:
     """Pairs a < b of the small leaves' members (array g of structs set_id, n, low, big) that the sketches don't rule out.
 
-    A pair is ruled out when the sketches agree five standard errors less than the threshold asks, when the sizes alone keep
-    it below the threshold, or when it shares a large leaf, where its tile counts it.
+    A pair is ruled out when its sketches agree in fewer coordinates than least, when the sizes alone keep it below the
+    threshold, or when it shares a large leaf, where its tile counts it.
     """
-    least = COORDINATES * threshold - 5 * math.sqrt(COORDINATES * threshold * (1 - threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +253,12 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     that doc_id (of several, those with the smallest text hash; repeated rows of it are all marked).
 
     Null counts as empty. Texts without words have no shingles: they link with each other and with nothing else. A null doc_id
-    comes after all others, and class_id is null only where a group has no other. An empty table gives an empty table.
-    Classes at the threshold meet with a chance of at least recall, taken over the sketches and the runs, those above it more often; no link below it is returned.
+    comes after all others, and class_id is null only where a group has no other. An empty table gives an empty table. Long texts
+    are compared whole. Other columns of df, whatever their names, are not read.
+    Classes at the threshold are compared with a chance of at least recall, taken over the sketches and the runs, those above it more
+    often; no link below it is returned.
     """
-    rows = map_rows(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), ["doc_id", "text_hash"], ["text"], "set_id binary, n int, low binary", lambda t: (None, *sketches(t, words)), rows=512)
+    rows = map_rows(df.select(named(doc_id).alias("doc_id"), F.xxhash64(named(text)).alias("text_hash"), named(text).alias("text")), ["doc_id", "text_hash"], ["text"], "set_id binary, n int, low binary", lambda t: (None, *sketches(t, words)), rows=512)
     rows = shared_checkpoint(rows)
     head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = rows.groupBy("set_id").agg(F.count("*").alias("copies"), F.min(head).alias("head"), F.first("n").alias("n"), F.first("low").alias("low"))
@@ -249,27 +266,28 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
 
     # the recursion: small holds the leaves to compare at once, large those left at the last depth
     runs = runs_for(recall, threshold, depth)
-    frontier, small, large = classes.where("n > 0").select("set_id", "low", F.lit(None).cast("long").alias("path")), None, None
+    frontier, small, large = classes.where("n > 0").select("set_id", "n", "low", F.lit(None).cast("long").alias("path")), None, None
     for level in range(1, depth + 1):
-        nodes = _split(frontier, runs, threshold)
-        sizes = nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        nodes = shared_checkpoint(nodes.join(sizes, "path"))
+        nodes = shared_checkpoint(_split(frontier, runs, threshold))
+        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("shingles_in")).where("size > 1")
+        nodes = shared_checkpoint(join_hot(nodes, sizes, ["path"], "size", nodes.count()))
         leaves = nodes.where(F.col("size") <= bucket)
         small = leaves if small is None else small.unionByName(leaves)
         large = nodes.where(F.col("size") > bucket)
-        frontier = large.select("set_id", "path").join(classes.select("set_id", "low"), "set_id")
+        frontier = large.select("set_id", "path").join(classes.select("set_id", "n", "low"), "set_id")
     big = large.groupBy("set_id").agg(F.sort_array(F.collect_list("path")).alias("big"))
 
     # candidates of the small leaves
     described = classes.select("set_id", "n", "low", "copies").join(big, "set_id", "left")
     gathered = small.select("path", "set_id").join(described, "set_id").groupBy("path").agg(F.collect_list(F.struct("set_id", "n", "low", F.coalesce("big", F.array().cast("array<long>")).alias("big"))).alias("g"))
-    pairs = shared_checkpoint(_close(gathered.select("g"), threshold))
+    pairs = shared_checkpoint(_close(gathered.select("g"), threshold, least_agreement(recall, threshold)))
 
     # whole shingle sets of the classes that take part
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(large.select("set_id")).distinct()
     wanted = needed.join(classes, "set_id").select("set_id", "n", "copies", F.col("head.doc_id").alias("rep_id"), F.col("head.text_hash").alias("rep_hash"))
-    reps = df.select(F.col(doc_id).alias("rep_id"), F.col(text).alias("text")).withColumn("rep_hash", F.xxhash64("text"))
-    found = reps.join(wanted.hint("merge").withColumnRenamed("rep_id", "id"), ["rep_hash"]).where(F.col("rep_id").eqNullSafe(F.col("id")))
+    reps = df.select(named(doc_id).alias("id"), named(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # by both, since one text may stand in many rows
+    found = reps.join(wanted.hint("merge"), (F.col("hash") == F.col("rep_hash")) & F.col("id").eqNullSafe(F.col("rep_id")))
 
     def whole(texts: list[str | None]) -> tuple:
         lists = []
@@ -289,7 +307,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     links = verified.select(both.alias("x")).select("x.set_id", "x.links", "x.to")
 
     # tiles of the large leaves
-    tiles = F.ceil(F.col("size") / TILE_ROWS).cast("int")
+    tiles = F.ceil(F.greatest(F.col("size") / TILE_ROWS, F.col("shingles_in") / TILE_SHINGLES)).cast("int")
     placed = large.select("path", "set_id", tiles.alias("tiles")).withColumn("t", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("path", "set_id", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
     placed = placed.join(sets.join(big, "set_id").hint("merge"), "set_id")
@@ -297,12 +315,13 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     links = shared_checkpoint(links.unionByName(tiled))
 
     joined = components(links.select(F.hex("set_id").alias("a"), F.hex("to").alias("b")))
-    named = classes.select("set_id", "copies", "head", F.hex("set_id").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = named.groupBy("component").agg(F.min("head").alias("chief"))
+    grouped = classes.select("set_id", "copies", "head", F.hex("set_id").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = grouped.groupBy("component").agg(F.min("head").alias("chief"), F.count("*").alias("rows"))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
-    answer = named.join(heads, "component").join(counts, "set_id", "left").select("set_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "chief")
+    answer = join_hot(grouped, heads, ["component"], "rows", classes.count(), by=["set_id"]).join(counts, "set_id", "left").select("set_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "chief")
     chosen = F.col("doc_id").eqNullSafe(F.col("chief.doc_id")) & (F.col("text_hash") == F.col("chief.text_hash"))
-    return rows.select("doc_id", "text_hash", "set_id", "n").join(answer, "set_id").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "n_links", F.col("chief.doc_id").alias("class_id"), chosen.alias("kept"))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    return join_hot(rows.select("doc_id", "text_hash", "set_id", "n"), answer, ["set_id"], "copies", total).select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "n_links", F.col("chief.doc_id").alias("class_id"), chosen.alias("kept"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
