@@ -128,8 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 def grade(docs: DataFrame, model: OrdinalModel, text: str = "text", tail: int = 1) -> DataFrame:
     """Add n_words, expected_grade and tail_prob (the chance of a grade of tail or more) to each row.
 
-    Null and empty texts have the score 0, that of a text without features. Columns of docs with those names are
-    replaced.
+    Null and empty texts have the score 0, that of a text without features. Texts of any length are read whole; equal texts, repeated
+    rows among them, get equal results, so that ties at a cut fall on one side. An empty table stays empty. Columns of docs with
+    those names are replaced.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the corpus
     names = ["n_words", "expected_grade", "tail_prob"]

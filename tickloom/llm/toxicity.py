@@ -30,7 +30,10 @@ PRIOR = 4.0
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
 #: Channel costs in nats.
 COST_LEET, COST_ANY, COST_DROP, COST_SPLIT, COST_GAP, COST_GAP_SPLIT, COST_REPEAT_DROP, COST_REPEAT_KEEP = 1.5, 4.5, 2.0, 2.5, 0.2, 3.0, 0.4, 2.0
-BEAM = 192
+#: Steps of the search with more states times arcs than this are worked as arrays; the result is the same.
+DENSE = 4096
+#: Mean log-probability of a character from which on a reading of digits and marks alone counts as a word, and its letters at least.
+LIKELY, LIKELY_LETTERS = -2.3, 4
 #: Labelled rows that the model is fitted on at most, hash buckets of words, features at most, and the least evidence for one.
 SAMPLE_ROWS, BUCKET_BITS, MAX_FEATURES, MIN_EVIDENCE, MIN_ROWS = 6_000, 22, 512, 25.0, 6.0
 #: Lengths of the beginnings of words that count as features too.
@@ -42,6 +45,8 @@ CACHED = 300_000
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
 _EDGE = re.compile(r"^(?:[^\w\s]{2,}|[^\w\s@$!|+(<€£¡])+|(?:[^\w\s]{2,}|[^\w\s@$+€£])+$")
 _TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
+_DOUBLED = re.compile(r"(?=[a-z]+\Z)[a-z]*?([a-z])\1")
+_LEET_ALONE = re.compile("[" + re.escape("".join(LEET)) + "]{4,}")
 _LETTER = re.compile(r"[a-z]")
 
 _CODE = np.full(256, END, dtype=np.int32)
@@ -100,13 +105,14 @@ def smooth(counts: np.ndarray) -> np.ndarray:
 
 
 def _arcs(segment: str) -> list[list[tuple[int, float]]]:
-    """For each character of a segment the codes it may emit (-1: none) and their costs."""
-    arcs = []
-    for k, ch in enumerate(segment):
-        same = k > 0 and segment[k - 1] == ch
+    """For each character of a segment the codes it may emit (-1: none) and their costs. Gaps do not hide a repetition."""
+    arcs, solid, at = [], [c for c in segment if not c.isspace()], -1
+    for ch in segment:
+        at += not ch.isspace()
+        same = at > 0 and not ch.isspace() and solid[at - 1] == ch
         if "a" <= ch <= "z":
             code = ord(ch) - 97
-            triple = same and (k > 1 and segment[k - 2] == ch or k + 1 < len(segment) and segment[k + 1] == ch)
+            triple = same and (at > 1 and solid[at - 2] == ch or at + 1 < len(solid) and solid[at + 1] == ch)
             arcs.append([(code, 0.0 if not same else COST_REPEAT_KEEP if triple else 0.0), *([(-1, COST_REPEAT_DROP if triple else 3.0)] if same else [])])
         elif ch.isspace():
             arcs.append([(-1, COST_GAP), (END, COST_GAP_SPLIT)])
@@ -122,29 +128,69 @@ def _arcs(segment: str) -> list[list[tuple[int, float]]]:
     return arcs
 
 
-def viterbi(segment: str, model: list[float] | np.ndarray) -> str:
-    """Best reading of a segment: words of a to z (and ~ for other letters), one space between words."""
-    context = (END * CODES + END) * CODES + END
+_START = (END * CODES + END) * CODES + END
+
+
+def _dense_step(states: dict[int, tuple[float, tuple | None]], arcs: list[tuple[int, float]], model: np.ndarray) -> dict[int, tuple[float, tuple | None]]:
+    """One step of the search from many states at once: the best way to each state after arcs."""
+    rest = CODES * CODES
+    held = np.full(CODES * rest, -np.inf)
+    held[list(states)] = [v[0] for v in states.values()]
+    costs = np.full(CODES, np.inf)
+    drop = end = np.inf
+    for code, cost in arcs:
+        if code == -1:
+            drop = min(drop, cost)
+        elif code == END:
+            end = min(end, cost)
+        else:
+            costs[code] = min(costs[code], cost)
+    emitted = held.reshape(CODES, rest, 1) + model.reshape(CODES, rest, CODES) - costs
+    origin = emitted.argmax(axis=0)
+    best = np.take_along_axis(emitted, origin[None], axis=0)[0].ravel()
+    origin = (origin * rest + np.arange(rest)[:, None]).ravel()
+    kept = held - drop
+    last_end = np.arange(len(held)) % CODES == END
+    kept[last_end] = np.maximum(kept[last_end], held[last_end] - end)
+    after = {}
+    for s in np.flatnonzero((best > -np.inf) | (kept > -np.inf)).tolist():
+        if kept[s] >= best[s]:
+            after[s] = (float(kept[s]), states[s][1])
+        else:
+            after[s] = (float(best[s]), (s % CODES, states[int(origin[s])][1]))
+    ended = np.where(last_end, -np.inf, held + model.reshape(len(held), CODES)[:, END] - end)
+    s = int(ended.argmax())
+    if ended[s] > after.get(_START, (-np.inf,))[0]:
+        after[_START] = (float(ended[s]), (END, states[s][1]))
+    return after
+
+
+def viterbi(segment: str, model: list[float] | np.ndarray, whole: np.ndarray | None = None) -> str:
+    """Best reading of a segment: words of a to z (and ~ for other letters), one space between words.
+
+    All states are kept, so the reading is the best one of the lattice. model may be a list, which is quicker for few states; whole
+    is the same as an array.
+    """
     modulus = CODES ** (ORDER - 1)
-    beams: dict[int, tuple[float, tuple | None]] = {context: (0.0, None)}
+    states: dict[int, tuple[float, tuple | None]] = {_START: (0.0, None)}
     for arcs in [*_arcs(segment), [(END, 0.0)]]:
+        if len(states) * len(arcs) > DENSE:
+            states = _dense_step(states, arcs, np.asarray(model, dtype=np.float64) if whole is None else whole)
+            continue
         after: dict[int, tuple[float, tuple | None]] = {}
-        for state, (score, back) in beams.items():
+        for state, (score, back) in states.items():
             for code, cost in arcs:
                 if code == -1 or code == END and state % CODES == END:
                     new, value, trail = state, score - cost, back
                 else:
                     gram = state * CODES + code
                     value, trail = score - cost + model[gram], (code, back)
-                    new = context if code == END else gram % modulus
+                    new = _START if code == END else gram % modulus
                 held = after.get(new)
                 if held is None or value > held[0]:
                     after[new] = (value, trail)
-        if len(after) > BEAM:
-            floor = sorted((v[0] for v in after.values()), reverse=True)[BEAM - 1]
-            after = {s: v for s, v in after.items() if v[0] >= floor}
-        beams = after
-    trail, out = max(beams.values(), key=lambda v: v[0])[1], []
+        states = after
+    trail, out = max(states.values(), key=lambda v: v[0])[1], []
     while trail:
         out.append(trail[0])
         trail = trail[1]
@@ -161,19 +207,30 @@ class Restorer:
     def word(self, token: str) -> list[str]:
         """Words that a token without white space (lower case) stands for."""
         core = _EDGE.sub("", token)
-        if core.isalpha() and not _TRIPLE.search(core):
+        if core.isalpha() and not _TRIPLE.search(core) and not _DOUBLED.match(core):
             return [core]
-        if not core or not _LETTER.search(core):
-            return [core] if core else []
-        return self.segment(core)
+        if _LETTER.search(core):
+            return self.segment(core)
+        if _LEET_ALONE.fullmatch(core) and self.likely(words := self.segment(core)):
+            return words
+        return [core] if core else []
 
     def segment(self, text: str) -> list[str]:
         """Words that a suspicious stretch stands for, decoded."""
         if not self.quick:
             self.quick = self.model.tolist()
-        if len(set(text)) <= 2 and len(text) > 8:  # one letter over and over
-            return [text.strip()[0]]
-        return viterbi(text, self.quick).split()
+        return viterbi(text, self.quick, self.model).split()
+
+    def likely(self, words: list[str]) -> bool:
+        """Whether the character model takes the words for words of the corpus."""
+        total, n = 0.0, 0
+        for word in words:
+            state = _START
+            for code in [*(ord(c) - 97 for c in word if c != "~"), END]:
+                total += self.quick[state * CODES + code]
+                state = (state * CODES + code) % CODES ** (ORDER - 1)
+            n += len(word)
+        return n >= LIKELY_LETTERS and total >= LIKELY * (n + len(words))
 
     def spaced(self, text: str) -> list[str]:
         """Words behind runs of single characters."""
@@ -311,7 +368,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """Add the chance that each whole text is toxic. Null and empty texts get the model's bias alone.
 
-    Equal texts get equal scores. A column of docs named out is replaced. The model has a fixed size, so it is broadcast.
+    Equal texts get equal scores, so repeated rows and ties do; texts of any length are read whole; an empty table stays empty. A
+    column of docs named out is replaced. The model has a fixed size, so it is broadcast.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
