@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.common import map_rows, table, without
 
 # Fixed values of the TIFF format: tags, field types (bytes each) and compression codes.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 NONE, LZW, DEFLATE, PACKBITS, DEFLATE_OLD = 1, 5, 8, 32773, 32946
-PAGE_SCHEMA = "page int, width int, height int, samples int, compression int, predictor int, pixels binary, error string"
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
+#: Bytes that one stored byte can give at most, by compression code: bounds what a header may claim.
+EXPANSION = {NONE: 1, LZW: 4096, DEFLATE: 1040, PACKBITS: 64, DEFLATE_OLD: 1040}
 #: Samples of a row and rows of a strip that the query writes.
 ROW_SAMPLES, STRIP_ROWS = 576, 64
 
 
-def packbits_decode(data: bytes) -> bytes:
-    """Undo PackBits: a count and literal bytes, or a count and a byte to repeat."""
+def packbits_decode(data: bytes, limit: int | None = None) -> bytes:
+    """Undo PackBits: a count and literal bytes, or a count and a byte to repeat. Decoding stops at limit bytes or some more."""
     out, k = bytearray(), 0
-    while k < len(data):
+    while k < len(data) and (limit is None or len(out) < limit):
         n = data[k]
         if n < 128:
             out += data[k + 1 : k + 2 + n]
@@ -56,8 +58,11 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Undo LZW with codes of 9 to 12 bits, high bits first; 256 clears, 257 ends, widths grow one code early."""
+def lzw_decode(data: bytes, limit: int | None = None) -> bytes:
+    """Undo LZW with codes of 9 to 12 bits, high bits first; 256 clears, 257 ends, widths grow one code early.
+
+    Decoding stops at limit bytes or some more.
+    """
     out, words, last = bytearray(), [], b""
     width, held, bits = 9, 0, 0
     for byte in data:
@@ -66,7 +71,7 @@ def lzw_decode(data: bytes) -> bytes:
             continue
         bits -= width
         code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
+        if code == 257 or limit is not None and len(out) >= limit:
             break
         if code == 256:
             words, last, width = [bytes((k,)) for k in range(256)] + [b"", b""], b"", 9
@@ -132,77 +137,134 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {NONE: bytes, LZW: lzw_decode, PACKBITS: packbits_decode, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress}
+def inflate(data: bytes, limit: int | None = None) -> bytes:
+    """Undo deflate, up to limit bytes."""
+    return zlib.decompressobj().decompress(data, limit or 0)
+
+
+def stored(data: bytes, limit: int | None = None) -> bytes:
+    """Bytes stored as they are, up to limit."""
+    return bytes(data[:limit])
+
+
+DECODERS = {NONE: stored, LZW: lzw_decode, PACKBITS: packbits_decode, DEFLATE: inflate, DEFLATE_OLD: inflate}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, PACKBITS: packbits_encode, DEFLATE: lambda b: zlib.compress(b, 1), DEFLATE_OLD: lambda b: zlib.compress(b, 1)}
 
 
 def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """Byte order and tags of each image directory, in file order; a loop of directories is an error."""
+    """Byte order and tags of each image directory of a TIFF or BigTIFF file, in file order; a loop of directories is an error."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise ValueError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
-    magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
+    (magic,) = struct.unpack_from(order + "H", data, 2)
+    if magic not in (42, 43):
         raise ValueError("no TIFF header")
+    # widths of the number of entries and of counts and offsets
+    entries, long, inline, size = ("H", "I", 4, 12) if magic == 42 else ("Q", "Q", 8, 20)
+    (at,) = struct.unpack_from(order + long, data, 4 if magic == 42 else 8)
     seen = set()
     while at:
         if at in seen:
             raise ValueError("image directories form a loop")
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", data, at)
+        (n,) = struct.unpack_from(order + entries, data, at)
+        first = at + struct.calcsize(order + entries)
+        if first + n * size > len(data):
+            raise ValueError("an image directory reaches beyond the file")
         tags = {}
         for k in range(n):
-            entry = at + 2 + 12 * k
-            tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
+            entry = first + size * k
+            tag, kind, count = struct.unpack_from(order + "HH" + long, data, entry)
             if kind not in TYPES:
                 continue
+            if count > len(data):
+                raise ValueError(f"tag {tag} has more values than the file has bytes")
             form = f"{order}{count}{TYPES[kind]}"
-            size = struct.calcsize(form)
-            place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
+            here = entry + size - inline
+            place = here if struct.calcsize(form) <= inline else struct.unpack_from(order + long, data, here)[0]
             tags[tag] = struct.unpack_from(form, data, place)
         yield order, tags
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        (at,) = struct.unpack_from(order + long, data, first + size * n)
+
+
+def _samples(raw: bytes, shape: tuple[int, int, int], bits: int, order: str, reverse: bool) -> np.ndarray:
+    """Samples of a decoded block, one array element each."""
+    rows, width, samples = shape
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if bits == 1:
+        data = data.reshape(rows, -1)
+        return np.unpackbits(data, axis=1, bitorder="little" if reverse else "big")[:, : width * samples].reshape(shape)
+    return data.view(order + "u2").astype(np.uint16).reshape(shape) if bits == 16 else data.reshape(shape)
 
 
-def _page(data: bytes, tags: dict[int, tuple]) -> dict:
-    """Decode one directory of 8-bit chunky samples."""
+def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
+    """Decode one directory of 1-, 8- or 16-bit samples, samples together or in planes.
+
+    Nothing is allocated on the word of the header: each block is held against what its stored bytes can give, and the page is put
+    together from the decoded blocks.
+    """
     one = lambda tag, default: tags.get(tag, (default,))[0]
-    width, height, samples = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
-    code, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1:
-        raise ValueError("only chunky 8-bit samples are supported")
-    if code not in DECODERS or predictor not in (1, 2):
+    width, height, samples, planar = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(PLANAR, 1)
+    code, predictor, depths = one(COMPRESSION, NONE), one(PREDICTOR, 1), set(tags.get(BITS, (1,)))
+    if len(depths) != 1 or not depths <= {1, 8, 16} or planar not in (1, 2):
+        raise ValueError("only samples of 1, 8 or 16 bits, all alike, are supported")
+    bits = depths.pop()
+    if code not in DECODERS or predictor not in (1, 2) or predictor == 2 and bits == 1:
         raise ValueError(f"compression {code} with predictor {predictor} is not supported")
     tiled = TILE_OFFSETS in tags
-    block_w, block_h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS, height), height) or 1)
+    block_w, block_h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS, height), height))
+    numbers = (width, height, samples, block_w, block_h)
+    if not all(isinstance(x, int) and x > 0 for x in numbers):
+        raise ValueError("a width, height or number of samples is not positive")
     places, sizes = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
-    across = -(-width // block_w) if tiled else 1
-    pixels = np.zeros((height, width, samples), dtype=np.uint8)
+    across, down = -(-width // block_w), -(-height // block_h)
+    planes, together = (samples, 1) if planar == 2 else (1, samples)
+    if len(places) != len(sizes) or len(places) != across * down * planes:
+        raise ValueError(f"{len(places)} blocks in place of {across * down * planes}")
+    blocks = []
     for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
-        top, left = k // across * block_h, k % across * block_w
+        top = k // across % down * block_h
         rows = block_h if tiled else min(block_h, height - top)
-        block = np.frombuffer(DECODERS[code](data[place : place + size]), dtype=np.uint8)[: rows * block_w * samples].reshape(rows, block_w, samples)
+        need = rows * -(-block_w * together * bits // 8)
+        chunk = data[place : place + size]
+        if need > len(chunk) * EXPANSION[code]:
+            raise ValueError(f"block {k} of {len(chunk)} bytes cannot hold {need}")
+        raw = DECODERS[code](chunk, need)[:need]
+        if len(raw) < need:
+            raise ValueError(f"block {k} gives {len(raw)} bytes in place of {need}")
+        blocks.append((k // (across * down), top, k % across * block_w, rows, raw))
+    pixels = np.zeros((height, width, samples), dtype=np.uint16 if bits == 16 else np.uint8)
+    for plane, top, left, rows, raw in blocks:
+        block = _samples(raw, (rows, block_w, together), bits, order, one(FILL, 1) == 2)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
-        pixels[top : top + rows, left : left + block_w] = block[: height - top, : width - left]
-    return {"width": width, "height": height, "samples": samples, "compression": code, "predictor": predictor, "pixels": pixels}
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        deep = slice(plane, plane + 1) if planar == 2 else slice(None)
+        pixels[top : top + rows, left : left + block_w, deep] = block[: height - top, : width - left]
+    return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": code, "predictor": predictor, "pixels": pixels}
+
+
+#: What a malformed file can raise while it is read.
+MALFORMED = (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error)
 
 
 def read_pages(data: bytes | None) -> Iterator[dict]:
-    """Each page of a TIFF file. A page or file that cannot be read gives a row with its error and null pixels."""
+    """Each page of a TIFF file. A page or file that cannot be read gives a row with its error and null pixels.
+
+    Samples of 1 and 8 bits are a byte each, samples of 16 bits two bytes, low byte first.
+    """
     if data is None:
         return
-    blank = {"width": None, "height": None, "samples": None, "compression": None, "predictor": None, "pixels": None}
+    blank = dict.fromkeys(x.split()[0] for x in PAGE_SCHEMA.split(", "))
     page = 0
     try:
-        for _, tags in _directories(data):
+        for order, tags in _directories(data):
             try:
-                yield blank | {"page": page, "error": None} | _page(data, tags)
-            except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
-                yield blank | {"page": page, "error": str(e)}
+                yield blank | {"page": page} | _page(data, tags, order)
+            except MALFORMED as e:
+                yield blank | {"page": page, "error": str(e) or type(e).__name__}
             page += 1
-    except (ValueError, struct.error) as e:
-        yield blank | {"page": page, "error": str(e)}
+    except MALFORMED as e:
+        yield blank | {"page": page, "error": str(e) or type(e).__name__}
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -256,8 +318,9 @@ def _feature(pixels: np.ndarray) -> str:
 def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row a page of each file in column media: the other columns of df, and those of PAGE_SCHEMA.
 
-    Pixels are row by row, samples together. Null media gives no row; a file or page that cannot be read gives a row
-    with its error. Columns of df with a name in PAGE_SCHEMA are replaced. Repeated rows give repeated pages.
+    Pixels are row by row, samples together. Null media gives no row; empty media, and a file or page that cannot be read, give a
+    row with the error and null pixels. Columns of df with a name in PAGE_SCHEMA are replaced. Repeated rows give repeated pages, an
+    empty table gives an empty one.
     """
     made = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     kept = without(df, media, *made)
@@ -277,7 +340,11 @@ def payload_of(text: str | None, unit: int = ROW_SAMPLES) -> bytes:
 
 
 def text_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """Store each text as a one-page TIFF, deflated with horizontal prediction: columns of df without text, n_bytes and out."""
+    """Store each text as a one-page TIFF, deflated with horizontal prediction: columns of df without text, n_bytes and out.
+
+    Null counts as empty, which gives one row of bytes 255; a text of any length is one page. Equal texts give equal files, an
+    empty table an empty one.
+    """
     kept = without(df, text, out, "n_bytes")
 
     def kernel(texts: list[str | None]) -> tuple:
