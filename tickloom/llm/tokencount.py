@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import map_rows, named, table, without
 
-#: Characters of whose classes every Unicode version and both pattern engines think alike; texts with others are encoded whole by the library.
+#: Characters of whose classes every Unicode version and both pattern engines think alike. What stands between two cuts (see CUT) and holds
+#: others is one entry of the lookup, like a pre-token.
 PLAIN_SPANS = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA0, 0x233), (0x391, 0x3A1), (0x3A3, 0x3CE), (0x410, 0x44F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20AC))
 
 
@@ -32,6 +33,8 @@ def _class(*majors: str) -> str:
 
 
 ODD = re.compile(f"[^{''.join(f'{chr(a)}-{chr(b)}' for a, b in PLAIN_SPANS)}]")
+#: A place before a space and after a character that no Unicode version takes for white space: no pre-token spans it.
+CUT = re.compile("(?<=[!-~\u00a1-\u167f\u1681-\u180d\u180f-\u1fff\u3001-\ud7ff\U00010000-\U0010ffff])(?= )")
 #: The byte-level pre-tokenizer's pattern (fixed value of the tokenizer's format), with its letter and number classes spelled out for plain characters.
 _L, _N = _class("L"), _class("N")
 PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
@@ -51,7 +54,10 @@ class Counting:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content for t in added]
+        #: Whether added tokens leave the text around them as it is, so that it may be cut
+        self.cuts = not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added)
         self.cache: dict[str, int] = {}
 
     def whole(self, texts: list[str]) -> list[int]:
@@ -62,6 +68,14 @@ class Counting:
         """Whether text can be cut by the pattern: plain characters and no added token."""
         return ODD.search(text) is None and not any(s in text for s in self.special)
 
+    def pieces(self, text: str) -> list[str]:
+        """Stretches of text whose token counts add up to its count: pre-tokens, and what holds characters that are not plain."""
+        if self.plain(text):
+            return PATTERN.findall(text)
+        if not self.cuts:
+            return [text]
+        return [w for part in CUT.split(text) for w in (PATTERN.findall(part) if self.plain(part) else [part])]
+
 
 @lru_cache(maxsize=4)
 def counting(path: str) -> Counting:
@@ -98,14 +112,14 @@ def frequent_pretokens(df: DataFrame, path: str, text: str = "text", limit: int
         c, seen = counting(path), Counter()
         for batch in batches:
             for x in batch["text"]:
-                if x and c.plain(x):
-                    seen.update(PATTERN.findall(x))
+                if x:
+                    seen.update(w for w in c.pieces(x) if len(w) <= LONGEST)
                     if len(seen) > COUNTED:
                         seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        top = [(w, n) for w, n in seen.most_common(SUMMARY) if len(w) <= LONGEST]
+        top = seen.most_common(SUMMARY)
         yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]}).astype({"word": "object", "n": "int64"})
 
-    parts = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(summary, "word string, n long")
+    parts = df.select(named(text).alias("text")).where("text is not null").mapInPandas(summary, "word string, n long")
     rows = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).select("word").collect()
     return [r.word for r in rows]
 
@@ -113,46 +127,33 @@ def frequent_pretokens(df: DataFrame, path: str, text: str = "text", limit: int
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", limit: int = FREQUENT) -> DataFrame:
     """Add the number of tokens of each whole text, as the library counts them without special tokens added.
 
-    Null counts as empty: 0 tokens. Added tokens inside a text count as the library takes them by default. A column
-    of df named out is replaced. An empty table stays empty. path is a file that every executor has.
+    Null counts as empty: 0 tokens. Added tokens inside a text count as the library takes them by default. Long texts are counted
+    whole; rows are independent, so repeated rows give repeated counts. A column of df named out is replaced. An empty table stays
+    empty. path is a file that every executor has.
     """
     words = frequent_pretokens(df, path, text, limit)
     known = df.sparkSession.sparkContext.broadcast(Frequent(words, counting(path).whole(words)))
-    kept = [c for c in df.columns if c != out or c == text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), f"`{out}` long"])
-    if text == out:
-        raise ValueError("the count needs a column of its own")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(texts: list[str | None]) -> tuple:
         c, frequent = counting(path), known.value
         cache = c.cache
-        for batch in batches:
-            texts = [x or "" for x in batch.column(batch.schema.names.index(text)).to_pylist()]
-            counts = np.zeros(len(texts), dtype=np.int64)
-            for first in range(0, len(texts), BATCH_TEXTS):
-                some = texts[first : first + BATCH_TEXTS]
-                odd = [k for k, x in enumerate(some) if not c.plain(x)]
-                for k, n in zip(odd, c.whole([some[k] for k in odd]), strict=True):
-                    counts[first + k] = n
-                cut = [[] if k in set(odd) else PATTERN.findall(x) for k, x in enumerate(some)]
-                fresh = [w for w in {w for words in cut for w in words} if w not in cache]
-                for lo in range(0, len(fresh), 8192):
-                    new = fresh[lo : lo + 8192]
-                    sizes = frequent.get(new)
-                    missing = np.flatnonzero(sizes == 0)
-                    sizes[missing] = c.whole([new[k] for k in missing])
-                    cache.update(zip(new, sizes.tolist(), strict=True))
-                for k, words in enumerate(cut):
-                    if words:
-                        counts[first + k] = sum(map(cache.__getitem__, words))
-                for w in [w for w in fresh if len(w) > LONGEST]:
-                    del cache[w]
-                if len(cache) > CACHED:
-                    cache.clear()
-            rest = [batch.column(batch.schema.names.index(k)) for k in kept]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts)], names=[*kept, out])
-
-    return df.select(*kept).mapInArrow(count, schema)
+        cut = [c.pieces(x) if x else [] for x in texts]
+        fresh = [w for w in {w for words in cut for w in words} if w not in cache]
+        for lo in range(0, len(fresh), 8192):
+            new = fresh[lo : lo + 8192]
+            sizes = frequent.get(new)
+            missing = np.flatnonzero(sizes == 0)
+            sizes[missing] = c.whole([new[k] for k in missing])
+            cache.update(zip(new, sizes.tolist(), strict=True))
+        counts = [sum(map(cache.__getitem__, words)) for words in cut]
+        for w in fresh:
+            if len(w) > LONGEST:
+                del cache[w]
+        if len(cache) > CACHED:
+            cache.clear()
+        return None, counts
+
+    return map_rows(df, without(df, out), [text], f"`{out}` long", count, rows=BATCH_TEXTS)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
