@@ -167,6 +167,33 @@ def test_pieces_equal_the_library(edge_docs, no_docs):
     assert sentencepiece_io.encode(no_docs, PIECES).count() == 0
 
 
+def test_symbols_and_compiled_map_in_one_model(spark, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    spec = pb.NormalizerSpec()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
+    model.normalizer_spec.precompiled_charsmap = spec.precompiled_charsmap
+    for symbol in ("①½", "ＡＢ", "<sep>"):
+        model.pieces.add(piece=symbol, score=0.0, type=pb.ModelProto.SentencePiece.USER_DEFINED)
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ＡＢＣ ①½ ①", "a<sep>b ﬁ ½", "①½①½", "ｶﾞ ㍍ plain", " ", "ＡＢ", "日本 ①½ end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for r in sentencepiece_io.encode(df, path, bos=False, eos=False).collect():
+        proto = p.encode(texts[r.k], out_type="proto")
+        assert r.ids == [x.id for x in proto.pieces]
+        raw = texts[r.k].encode()
+        assert b"".join(raw[b:e] for b, e in zip(r.begins, r.ends, strict=True)) == raw
+        assert [b for b, i in zip(r.begins, r.ids, strict=True) if not p.is_byte(i)][1:] == [x.begin for x in proto.pieces if not p.is_byte(x.id)][1:]
+    assert p.encode("①½", out_type=str)[-1] == "①½"
+
+
 def test_decode_column(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [1, 450, 2])], "k int, ids array<int>")
     got = {r.k: r.decoded for r in sentencepiece_io.decode(df, PIECES).collect()}
@@ -218,7 +245,7 @@ def test_counts_equal_the_library(edge_docs, no_docs):
 @given(st.text(st.one_of(st.sampled_from(" \n\t'stdmrevl<|endoftext|>1²½é­ß\xa0"), st.characters(codec="utf-8")), max_size=30))
 def test_any_text_counts_as_the_library(text):
     c = tokencount.counting(BYTES)
-    cut = tokencount.PATTERN.findall(text) if c.plain(text) else [text]
+    cut = c.pieces(text)
     assert sum(c.whole(cut)) == c.whole([text])[0] == len(c.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
@@ -285,3 +312,27 @@ def test_tiff_query(spark, edge_docs, tmp_path):
         payload = tiff.payload_of(texts[r.doc_id])
         assert r.n_bytes == len(texts[r.doc_id].encode()) and r.payload_bytes == len(payload)
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
+
+
+def test_counts_of_other_scripts_go_through_the_lookup(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c = tokencount.counting(path)
+    texts = ["plain words and 😀 a face", "안녕 하세요 세계", "日本語の文 と words", "a <|endoftext|> b", "tab　wide ᠎ odd \x85 nel \x1c fs", "مرحبا بالعالم 123", "end 😀", " 😀  two  blanks \n\n 日 \t x"]
+    for x in texts:
+        assert "".join(c.pieces(x)) == x and sum(c.whole(c.pieces(x))) == c.whole([x])[0]
+    assert c.pieces(texts[0]) == ["plain", " words", " and", " 😀", " a", " face"] and len(c.pieces(texts[1])) == 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, path).collect()}
+    assert [got[k] for k in range(len(texts))] == c.whole(texts)
+
+
+def test_query_of_token_counts(spark, tmp_path):
+    import public_tokenizers
+
+    whole = tokencount.counting(public_tokenizers.path("byte_bpe_50k.json")).whole
+    texts = {1: "é" * 700, 2: None, 3: "", 4: " ".join(f"w{k}" for k in range(400)), 5: "one 😀"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k: (len((x or "").encode()), n := whole([x or ""])[0], n > 512) for k, x in texts.items()}

@@ -34,9 +34,13 @@ TEXTS_A_CALL = 64
 
 
 class CharMap:
-    """The compiled character map of a model: a double-array trie over UTF-8 and the strings that it leads to."""
+    """The compiled character map of a model: a double-array trie over UTF-8 and the strings that it leads to.
 
-    def __init__(self, blob: bytes) -> None:
+    symbols are pieces that the user defined: the longest one at a place is taken before the map is asked, and stays as it is.
+    """
+
+    def __init__(self, blob: bytes, symbols: list[bytes] | None = None) -> None:
+        self.symbols = sorted(symbols or [], key=len, reverse=True)
         self.units: list[int] = []
         self.strings = b""
         if blob:
@@ -47,6 +51,7 @@ class CharMap:
         if self.units:
             for byte in range(256):
                 self.starts[byte] = self._step(0, byte) is not None
+            self.starts[[x[0] for x in self.symbols]] = True
 
     def _base(self, unit: int) -> int:
         return (unit >> 10) << ((unit & (1 << 9)) >> 6)
@@ -60,6 +65,9 @@ class CharMap:
 
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """Longest prefix of raw[at:] in the map: its length and replacement."""
+        for symbol in self.symbols:
+            if raw.startswith(symbol, at):
+                return len(symbol), symbol
         node, found = 0, None
         for k in range(at, len(raw)):
             child = self._step(node, raw[k])
@@ -101,10 +109,10 @@ class Codec:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         spec = model.normalizer_spec
-        self.map = CharMap(spec.precompiled_charsmap)
+        kind = pb.ModelProto.SentencePiece
+        self.map = CharMap(spec.precompiled_charsmap, [p.piece.encode() for p in model.pieces if p.type == kind.USER_DEFINED and p.piece])
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.suffix = model.trainer_spec.treat_whitespace_as_suffix
-        kind = pb.ModelProto.SentencePiece
         self.lengths = np.array([1 if p.type == kind.BYTE else 0 if p.type == kind.CONTROL else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
         self.unknown = self.processor.unk_id()
 
@@ -142,9 +150,11 @@ class Codec:
             at += size
         return at
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | tuple[None, None]:
         """Source byte spans of the pieces of text. Control pieces are empty spans at their place.
 
+        Where the pieces do not cover the normalised text as this module makes it, there are no spans.
+
         A piece ends where the next one begins, so the spans cover the source without gaps; a byte that belongs to the
         inside of a replaced prefix falls to the piece in which the prefix begins.
         """
@@ -152,12 +162,12 @@ class Codec:
         lengths = self.lengths[ids]
         strange = ids == self.unknown
         if strange.any():  # one call for texts with unknown pieces: their lengths are those of their surfaces
-            proto = self.processor.encode(text, out_type="immutable_proto")
+            proto = self.processor.encode(text, out_type="proto")
             surfaces = iter([len(p.piece.encode()) for p in proto.pieces])
             lengths = np.array([0 if n == 0 and not u else next(surfaces) for n, u in zip(lengths.tolist(), strange.tolist(), strict=True)])
         ends = np.cumsum(lengths)
         if len(ends) and ends[-1] != len(normal):
-            raise ValueError(f"pieces cover {ends[-1]} of {len(normal)} normalised bytes")
+            return None, None
         return at[ends - lengths], at[ends]
 
     def encode(self, texts: list[str], bos: bool, eos: bool) -> list[list[int]]:
@@ -183,7 +193,7 @@ def _rows(c: Codec, texts: list[str], wanted: list[str], bos: bool, eos: bool) -
         if "ids_sha256" in wanted:
             made["ids_sha256"] = hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
         if "spans_sha256" in wanted:
-            made["spans_sha256"] = hashlib.sha256(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()
+            made["spans_sha256"] = None if begin is None else hashlib.sha256(np.stack([begin, end]).astype("<u4").tobytes()).hexdigest()
         if "decoded_sha256" in wanted:
             made["decoded_sha256"] = hashlib.sha256(decoded.encode()).hexdigest()
         yield tuple(made[k] for k in wanted)
@@ -192,7 +202,8 @@ def _rows(c: Codec, texts: list[str], wanted: list[str], bos: bool, eos: bool) -
 def encode(df: DataFrame, model: str, text: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "begins", "ends"), bos: bool = True, eos: bool = True) -> DataFrame:
     """Encode each whole text of df; returns its columns and the wanted ones of COLUMNS.
 
-    ids are those of the library; begins and ends are byte offsets in the original UTF-8 text. decoded is the library's
+    ids are those of the library; begins and ends are byte offsets in the original UTF-8 text (null, as spans_sha256, for a text
+    whose normalised form this module makes otherwise than the library). decoded is the library's
     decode(ids). Null counts as empty, which gives only the begin and end ids. Rows are independent, so repeated rows
     give repeated results, and an empty table an empty one. Columns of df with a wanted name are replaced.
     model is a path that every executor has.
