@@ -68,7 +68,36 @@ BSD2 = """Redistribution and use in source and binary forms, with or without mod
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
 """
 BSD3 = BSD2.replace("THIS SOFTWARE", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
+LGPL = GPL3.replace("This program", "This library").replace("this program", "this library").replace("General Public", "Lesser General Public").replace("version 3", "version 2.1")
+LGPL3 = GPL3.replace("General Public", "Lesser General Public")
+AGPL = GPL3.replace("General Public", "Affero General Public")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy this software.
+"""
 OFFICIAL = {
+    "LGPL-2.1-or-later": (LGPL, "<Lgpl21Plus><GplWarranty><LgplReceive>"),
+    "LGPL-3.0-or-later": (LGPL3, "<Lgpl3Plus><GplWarranty><LgplReceive>"),
+    "AGPL-3.0-or-later": (AGPL, "<Agpl3Plus><GplWarranty><AgplReceive>"),
+    "ISC": (ISC, "<IscGrant><IscAsIs>"),
+    "Zlib": (ZLIB, "<ZlibAsIs><ZlibGrant>"),
+    "MPL-2.0": (MPL, "<MplNotice>"),
+    "EPL-2.0": (EPL, "<EplNotice>"),
+    "Unlicense": (UNLICENSE, "<UnlicenseNotice>"),
     "GPL-3.0-or-later": (GPL3, "<Gpl3Plus><GplWarranty><GplReceive>"),
     "GPL-2.0-or-later": (GPL2, "<Gpl2Plus><GplWarranty><GplReceive>"),
     "MIT": (MIT, "<MitGrant><MitNotice><MitAsIs>"),
@@ -86,6 +115,17 @@ REFERENCES = {
     "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0",
     "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
     "All rights reserved.": "Unmatched",
+    "Licensed under the GNU Lesser General Public License version 3.": "LGPL-3.0-only",
+    "This library is distributed under the terms of the GNU Lesser General Public License, version 2.1.": "LGPL-2.1-only",
+    "Released under the GNU Affero General Public License, version 3": "AGPL-3.0-only",
+    "This code is released under the BSD 2-Clause License.": "BSD-2-Clause",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "Licensed under CC0 1.0.": "CC0-1.0",
+    "available under the ISC license": "ISC",
+    "This file is licensed under the zlib license.": "Zlib",
+    "Released under the Unlicense.": "Unlicense",
+    "Licensed under the Eclipse Public License 2.0.": "EPL-2.0",
+    **{f"// SPDX-License-Identifier: {name}": name for name in license_scan.SPDX},
 }
 
 
@@ -109,7 +149,7 @@ def test_gpl_notices_that_name_the_program(spark):
 def wrapped(text, mark="", width=60, end=""):
     import textwrap
 
-    lines = [line for p in text.strip().split("\n") for line in textwrap.wrap(p, width) or [""]]
+    lines = [line for p in text.strip().split("\n") for line in textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False) or [""]]
     return "\n".join((mark + line + end).rstrip(" ") for line in lines)
 
 
