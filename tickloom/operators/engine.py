@@ -90,7 +90,7 @@ def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_ba
     swings gives no rows. Only extrema nearer than min_distance_bars to each other meet in a group.
     """
     if use_wicks not in ("wicks", "close", "bodies"):
-        raise ValueError("use_wicks must be one of 'wicks', 'bodies', 'close'")
+        raise ValueError(f"unknown price choice {use_wicks!r}: take wicks, close or bodies")
     price = (F.col("open") + F.col("close")) / 2.0 if use_wicks == "bodies" else F.col("close")
     everything = Window.partitionBy(*KEYS)
     base = bars.select(*KEYS, "ts", price.alias("price")).where("price is not null").withColumn("bar_idx", bar_idx())
@@ -293,24 +293,32 @@ def atr_zones(clusters: DataFrame, bars: DataFrame, zone_width_atr_mult: float =
 
 class FibonacciEngine:
     """From bars to levels, clusters, plans and features, lazily. The bars and levels are read several times, so they are kept in
-    Spark's cache until release()."""
+    Spark's cache until release(), which leaving a with block calls; cached=False keeps nothing."""
 
-    def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5) -> None:
-        self.bars, self.ratios, self.atr_window, self.eps = bars.persist(), ratios, atr_window, cluster_eps_atr_mult
+    def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5, cached: bool = True) -> None:
+        self.bars, self.ratios, self.atr_window, self.eps, self.cached = bars.persist() if cached else bars, ratios, atr_window, cluster_eps_atr_mult, cached
         self._levels: DataFrame | None = None
 
+    def __enter__(self) -> FibonacciEngine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     def release(self) -> None:
         """Drop what is cached."""
-        self.bars.unpersist()
-        if self._levels is not None:
-            self._levels.unpersist()
+        if self.cached:
+            self.bars.unpersist()
+            if self._levels is not None:
+                self._levels.unpersist()
 
     def swings(self) -> DataFrame:
         return swings(self.bars)
 
     def levels(self) -> DataFrame:
         if self._levels is None:
-            self._levels = levels_of_swings(self.swings(), self.ratios).persist()
+            made = levels_of_swings(self.swings(), self.ratios)
+            self._levels = made.persist() if self.cached else made
         return self._levels
 
     def clusters(self) -> DataFrame:
@@ -333,5 +341,5 @@ class FibonacciEngine:
         both = self.bars.withColumn("__new", F.lit(0)).unionByName(new_bars.withColumn("__new", F.lit(1)), allowMissingColumns=True)
         rest = [c for c in self.bars.columns if c not in (*KEYS, "ts")]
         merged = both.groupBy(*KEYS, "ts").agg(F.max_by(F.struct(*rest), "__new").alias("bar")).select(*KEYS, "ts", "bar.*")
-        return FibonacciEngine(merged.select(*self.bars.columns), self.ratios, self.atr_window, self.eps)
+        return FibonacciEngine(merged.select(*self.bars.columns), self.ratios, self.atr_window, self.eps, self.cached)
 

@@ -296,7 +296,27 @@ def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, KEYS, ["ema_50", "ema_200", "rsi_14", "atr_14", "adx_14", "bb_mid_20"])
 
 
-@query()
-def feature_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(bars(spark, sf_dir), include_supertrend=True)
+#: Features and the digits to which they are compared, by the query whose SQL has them.
+_ALL = {
+    "ema": {"ema_50": 6, "ema_200": 6},
+    "macd": {"macd_line": 6, "macd_signal": 6, "macd_hist": 6},
+    "rsi_and_stoch_rsi": {"rsi_14": 6, "stochrsi_k_14_3": 6, "stochrsi_d_14_3_3": 6},
+    "bollinger": {"bb_mid_20": 6, "bb_upper_20_2": 6, "bb_lower_20_2": 6, "bb_width_20_2": 6},
+    "volume_indicators": {"obv": 4, "mfi_14": 6},
+    "atr_and_adx": {"atr_14": 6, "plus_di_14": 6, "minus_di_14": 6, "adx_14": 6},
+    "cci": {"cci_20": 4},
+}
+
+
+def _all_sql() -> str:
+    parts = [f"({ORACLE_SQL[name]}) AS {name}_q" for name in (*_ALL, "supertrend")]
+    joined = " ".join(f"JOIN {p} USING (symbol, ts)" for p in parts)
+    return f"SELECT b.*, {', '.join(c for names in _ALL.values() for c in names)}, supertrend_q.* EXCLUDE (symbol, ts) FROM (WITH {bars_sql('H1')} SELECT * FROM bars) AS b {joined}"
 
+
+@query(_all_sql())
+def feature_pipeline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = build_features(bars(spark, sf_dir), include_supertrend=True)
+    digits = {c: d for names in _ALL.values() for c, d in names.items()}
+    plain = {"open", "high", "low", "close"}
+    return out.select(*((r6(c, digits.get(c, 6)).alias(c) if k == "double" and c not in plain else F.col(f"`{c}`")) for c, k in out.dtypes))

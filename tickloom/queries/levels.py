@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import engine as eng
 from tickloom.operators import fibonacci as fib
 from tickloom.operators import support as sup
+from tickloom.operators.bars import resample_bars
 from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, indexed_sql, q6, r6, rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -32,8 +33,9 @@ MULTI = f"WITH RECURSIVE {bars_sql('H1', 'h1')}, {bars_sql('H4', 'h4')}, {bars_s
 
 
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of three timeframes in one frame."""
-    return bars(spark, sf_dir, "H1").unionByName(bars(spark, sf_dir, "H4")).unionByName(bars(spark, sf_dir, "D1"))
+    """Bars of three timeframes in one frame; the longer ones are made of the hourly ones, so that ticks are combined once."""
+    hourly = bars(spark, sf_dir, "H1")
+    return hourly.unionByName(resample_bars(hourly, "H4")).unionByName(resample_bars(hourly, "D1"))
 
 
 def _fractal_sql(k: int, source: str = "bars", tf: str = "symbol") -> str:
@@ -189,14 +191,43 @@ def fib_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["symbol"], ["cluster_id", "price_min", "price_max", "center", "width", "hits", "timeframes", "methods", "n_ratios", "score", "rank"])
 
 
-@query()
+def _touch_sql(low: str, high: str, to_low: str, to_high: str) -> str:
+    return f"greatest({low}, {to_low}) - least({high}, {to_high}) <= abs({high} + {low}) / 2 * 0.0025"
+
+
+#: Zones of levels lv(symbol, tf, ratio, price), band by band and then zone by zone.
+_ZONES = f"""bd AS MATERIALIZED (SELECT *, price - price * 0.003 AS bl, price + price * 0.003 AS bh, row_number() OVER (PARTITION BY symbol ORDER BY price - price * 0.003, tf, ratio) AS k FROM lv),
+ff AS (SELECT symbol, k, 0::BIGINT AS zone, 1::BIGINT AS made, [{{'id': 0::BIGINT, 'lo': bl, 'hi': bh}}] AS zones FROM bd WHERE k = 1 UNION ALL
+ SELECT symbol, k, CASE WHEN len(alive) > 0 THEN alive[1].id ELSE made END, CASE WHEN len(alive) > 0 THEN made ELSE made + 1 END,
+  CASE WHEN len(alive) > 0 THEN list_concat([{{'id': alive[1].id, 'lo': least(alive[1].lo, bl), 'hi': greatest(alive[1].hi, bh)}}], alive[2:]) ELSE [{{'id': made, 'lo': bl, 'hi': bh}}] END
+ FROM (SELECT bd.symbol, bd.k, bl, bh, ff.made, list_filter(ff.zones, lambda z: {_touch_sql('bl', 'bh', 'z.lo', 'z.hi')}) AS alive FROM ff JOIN bd ON bd.symbol = ff.symbol AND bd.k = ff.k + 1)),
+bz AS MATERIALIZED (SELECT bd.*, zone FROM bd JOIN ff USING (symbol, k)),
+bx AS MATERIALIZED (SELECT symbol, zone, min(bl) AS zl, max(bh) AS zh, row_number() OVER (PARTITION BY symbol ORDER BY min(bl), zone) AS k FROM bz GROUP BY symbol, zone),
+mg AS (SELECT symbol, zone, k, 0::BIGINT AS merged, zl AS lo, zh AS hi FROM bx WHERE k = 1 UNION ALL
+ SELECT symbol, zone, k, CASE WHEN t THEN merged ELSE merged + 1 END, CASE WHEN t THEN least(lo, zl) ELSE zl END, CASE WHEN t THEN greatest(hi, zh) ELSE zh END
+ FROM (SELECT bx.symbol, bx.zone, bx.k, zl, zh, merged, lo, hi, {_touch_sql('lo', 'hi', 'zl', 'zh')} AS t FROM mg JOIN bx ON bx.symbol = mg.symbol AND bx.k = mg.k + 1)),
+zo AS (SELECT mg.symbol, merged, min(zl) AS low, max(zh) AS high FROM mg JOIN bx USING (symbol, zone) GROUP BY mg.symbol, merged),
+zs AS (SELECT zo.symbol, zo.merged, low, high, count(DISTINCT tf) AS timeframes, count(*) AS n_members, sum(price) AS total,
+  count(DISTINCT tf) * 2.0 + sum(1 / (1 + abs(price - (low + high) / 2) / greatest(1e-8, (low + high) / 2) * 100)) + 0.5 * sum(greatest(0.0, 1 - abs(ratio - 0.618) / 0.1)) AS strength
+ FROM bz JOIN mg USING (symbol, zone) JOIN zo ON zo.symbol = bz.symbol AND zo.merged = mg.merged GROUP BY zo.symbol, zo.merged, low, high HAVING count(DISTINCT tf) >= 2),
+zr AS (SELECT symbol, {q6('low')}, {q6('high')}, {q6('(low + high) / 2', 'center')}, timeframes, n_members, {q6('total', 'member_sum')}, {q6('strength')}, row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, low) AS rank FROM zs)"""
+
+
+def _shown_zones(zones: DataFrame) -> DataFrame:
+    """Zones with the number and the sum of their members' prices in place of the members."""
+    total = F.aggregate("members", F.lit(0.0), lambda a, m: a + m["price"])
+    zones = zones.withColumns({"n_members": F.size("members").cast("long"), "member_sum": total})
+    return rounded(zones, ["symbol"], ["low", "high", "center", "timeframes", "n_members", "member_sum", "strength", "rank"])
+
+
+@query(f"{_SWINGS}, {_ZONES} SELECT * FROM zr")
 def golden_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fib.golden_zones(swing_levels(spark, sf_dir), ["symbol"])
+    return _shown_zones(fib.golden_zones(swing_levels(spark, sf_dir), ["symbol"]))
 
 
-@query()
+@query(f"{_LEGS}, lv AS (SELECT symbol, tf, r::DOUBLE AS ratio, hi - r * (hi - lo) AS price FROM legs, unnest({[float(r) for r in fib.RETRACE_RATIOS]}) AS u(r)), {_ZONES} SELECT * FROM zr WHERE rank <= 3")
 def golden_zones_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fib.top_zones(fib.zones_from_retracement(fib.extreme_legs(multi(spark, sf_dir)), ["symbol"]), 3)
+    return _shown_zones(fib.top_zones(fib.zones_from_retracement(fib.extreme_legs(multi(spark, sf_dir)), ["symbol"]), 3))
 
 
 # --- percent ratios ---------------------------------------------------------------------------------------------------
@@ -222,11 +253,6 @@ def percent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, SER, ["ratio", "price", "type"])
 
 
-@query()
-def swings_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eng.swings(bars(spark, sf_dir))
-
-
 _PEAKS = f"""{B}, z AS MATERIALIZED (SELECT *, lag(close) OVER w AS b, lead(close) OVER w AS a FROM n WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
 hi AS (SELECT p.symbol, p.ts, p.rn, p.close, 'peak' AS kind, p.close - greatest(
    (SELECT min(q.close) FROM n q WHERE q.symbol = p.symbol AND q.rn <= p.rn AND q.rn > coalesce((SELECT max(r.rn) FROM n r WHERE r.symbol = p.symbol AND r.rn < p.rn AND r.close > p.close), 0)),
@@ -238,21 +264,41 @@ fl AS (SELECT symbol, greatest(1e-8, stddev_pop(close) / 2) AS floor FROM n GROU
 sw AS MATERIALIZED (SELECT u.*, prom / (max(prom) OVER (PARTITION BY symbol) + 1e-9) AS confidence FROM (SELECT * FROM hi UNION ALL SELECT * FROM lo) u JOIN fl USING (symbol) WHERE prom >= floor)"""
 
 
+#: The same with extrema three bars apart at least: from the highest down, of equal ones the later first, one stays unless a kept one is nearer.
+_APART = (
+    _PEAKS[: _PEAKS.index("sw AS MATERIALIZED")]
+    + """ex AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY CASE kind WHEN 'peak' THEN close ELSE -close END DESC, rn DESC) AS k FROM (SELECT * FROM hi UNION ALL SELECT * FROM lo)),
+th AS (SELECT symbol, kind, k, [rn] AS kept FROM ex WHERE k = 1 UNION ALL
+ SELECT ex.symbol, ex.kind, ex.k, CASE WHEN list_min(list_transform(th.kept, lambda y: abs(y - ex.rn))) >= 3 THEN list_append(th.kept, ex.rn) ELSE th.kept END
+ FROM th JOIN ex ON ex.symbol = th.symbol AND ex.kind = th.kind AND ex.k = th.k + 1),
+kp AS (SELECT symbol, kind, unnest(kept) AS rn FROM (SELECT * FROM th QUALIFY row_number() OVER (PARTITION BY symbol, kind ORDER BY k DESC) = 1)),
+sw AS MATERIALIZED (SELECT u.*, prom / (max(prom) OVER (PARTITION BY symbol) + 1e-9) AS confidence FROM (SELECT ex.* FROM ex JOIN kp USING (symbol, kind, rn)) u JOIN fl USING (symbol) WHERE prom >= floor)"""
+)
+
+
+@query(f"{_APART} SELECT symbol, ts, rn - 1 AS idx, kind, close AS price, {q6('prom', 'prominence')}, {q6('confidence')} FROM sw")
+def swings_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eng.swings(bars(spark, sf_dir)), ["symbol", "ts"], ["idx", "kind", "price", "prominence", "confidence"])
+
+
 @query(f"{_PEAKS} SELECT symbol, ts, rn - 1 AS idx, kind, close AS price, {q6('prom', 'prominence')}, {q6('confidence')} FROM sw")
 def swings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(eng.swings(bars(spark, sf_dir), min_distance_bars=1), ["symbol", "ts"], ["idx", "kind", "price", "prominence", "confidence"])
 
 
-@query(f"""{_PEAKS}, mv AS (SELECT symbol, rn, kind, lead(ts) OVER w AS ts, close AS s, lead(close) OVER w AS e FROM sw WINDOW w AS (PARTITION BY symbol ORDER BY rn, kind)),
-al AS (SELECT symbol, ts, rn, kind, r::DOUBLE AS ratio, e + (s - e) * (1 - r / 100) AS p, 'retracement' AS type FROM mv, {_PCT} WHERE e IS NOT NULL UNION ALL SELECT symbol, ts, rn, kind, r::DOUBLE, e + (e - s) * (r / 100), 'extension' FROM mv, {_PCT} WHERE e IS NOT NULL)
-SELECT symbol, ratio, type, {q6('p', 'level_price')}, min(ts) AS ts FROM al GROUP BY symbol, ratio, type, p""")
+#: Levels of consecutive swings sw; al has each as often as it is made.
+_MOVES = f"""mv AS (SELECT symbol, rn, kind, lead(ts) OVER w AS ts, close AS s, lead(close) OVER w AS e FROM sw WINDOW w AS (PARTITION BY symbol ORDER BY rn, kind)),
+al AS (SELECT symbol, ts, rn, kind, r::DOUBLE AS ratio, e + (s - e) * (1 - r / 100) AS p, 'retracement' AS type FROM mv, {_PCT} WHERE e IS NOT NULL UNION ALL SELECT symbol, ts, rn, kind, r::DOUBLE, e + (e - s) * (r / 100), 'extension' FROM mv, {_PCT} WHERE e IS NOT NULL)"""
+
+
+@query(f"{_PEAKS}, {_MOVES} SELECT symbol, ratio, type, {q6('p', 'level_price')}, min(ts) AS ts FROM al GROUP BY symbol, ratio, type, p")
 def raw_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(eng.raw_levels(bars(spark, sf_dir), min_distance_bars=1), ["symbol", "ts"], ["ratio", "type", "level_price"])
 
 
-@query()
+@query(f"{_APART}, {_MOVES} SELECT symbol, ratio, type, {q6('p', 'level_price')}, min(ts) AS ts FROM al GROUP BY symbol, ratio, type, p")
 def raw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eng.raw_levels(bars(spark, sf_dir))
+    return rounded(eng.raw_levels(bars(spark, sf_dir)), ["symbol", "ts"], ["ratio", "type", "level_price"])
 
 
 _LEVELS = f"{B}, lv AS (SELECT DISTINCT b.symbol, 'H1' AS tf, d.close AS price FROM bars b JOIN (SELECT symbol, last(close ORDER BY ts) AS close FROM bars GROUP BY symbol, date_trunc('day', ts)) d USING (symbol))"
@@ -306,11 +352,27 @@ def atr_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(eng.atr_zones(level_clusters(spark, sf_dir), bars(spark, sf_dir)), SER, ["price", "low", "high", "strength", "rank"])
 
 
-@query()
+#: Clusters of the engine's levels with their touches: the tables of _CLUSTERS over levels of swings, and st.
+_ENGINE = (
+    f"{_APART}, {_MOVES}, lv AS (SELECT DISTINCT symbol, 'H1' AS tf, p AS price FROM al)"
+    + _CLUSTERS[len(_LEVELS) :].replace("0.05 * avg(atr)", "0.5 * avg(atr)").replace("max(price) - min(price) AS width", "max(price) - min(price) AS width, min(price) AS member_low, max(price) AS member_high")
+    + f""", rg AS (SELECT symbol, rn, min(close) OVER v AS lo, max(close) OVER v AS hi, count(*) OVER (PARTITION BY symbol) AS n FROM n WINDOW v AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+st AS (SELECT cl.symbol, isl, count(*) FILTER (price BETWEEN lo AND hi) AS hits, coalesce(avg(greatest(hi - price, price - lo)) FILTER (price BETWEEN lo AND hi), 0) AS bounce FROM cl LEFT JOIN rg ON rg.symbol = cl.symbol AND rg.rn - 1 < rg.n - 50 GROUP BY cl.symbol, isl),
+cs AS (SELECT cl.*, hits, bounce, (hits > 0)::INT::DOUBLE AS hit_rate, cl.n * (1 + (hits > 0)::INT)::DOUBLE AS strength, row_number() OVER (PARTITION BY cl.symbol ORDER BY cl.n * (1 + (hits > 0)::INT) DESC, price) AS rank FROM cl JOIN st USING (symbol, isl))"""
+)
+
+
+@query(f"""{_ENGINE} SELECT symbol, tf, row_number() OVER (PARTITION BY symbol ORDER BY isl) - 1 AS cluster_id, {q6('price')}, n AS members, {q6('member_low')}, {q6('member_high')}, n AS tf_members, {q6('strength')},
+ hits AS touch_count, hits AS hit_count, {q6('hit_rate')}, {q6('bounce', 'avg_bounce')}, rank FROM cs""")
 def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eng.FibonacciEngine(bars(spark, sf_dir)).clusters()
+    out = eng.FibonacciEngine(bars(spark, sf_dir), cached=False).clusters()
+    out = out.withColumns({"member_low": F.array_min("members"), "member_high": F.array_max("members"), "tf_members": F.col("timeframes")["H1"].cast("long"), "members": F.size("members").cast("long")})
+    return rounded(out, SER, ["cluster_id", "price", "members", "member_low", "member_high", "tf_members", "strength", "touch_count", "hit_count", "hit_rate", "avg_bounce", "rank"])
 
 
-@query()
+@query(f"""{_ENGINE}, vt AS (SELECT symbol, tf, rank, [CASE WHEN atr <> 0 THEN (price - price_now) / atr ELSE price - price_now END, strength, hit_rate, bounce, n, CASE WHEN atr <> 0 THEN width / atr ELSE width END] AS v FROM cs WHERE rank <= 5),
+sl AS (SELECT DISTINCT symbol, tf, unnest(range(30)) AS pos FROM cs)
+SELECT sl.symbol, sl.tf, sl.pos::INT AS pos, {q6('coalesce(vt.v[1 + sl.pos % 6], 0)', 'value')} FROM sl LEFT JOIN vt ON vt.symbol = sl.symbol AND vt.rank = 1 + sl.pos // 6""")
 def engine_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eng.FibonacciEngine(bars(spark, sf_dir)).vector()
+    out = eng.FibonacciEngine(bars(spark, sf_dir), cached=False).vector()
+    return rounded(out.select(*SER, F.posexplode("vector").alias("pos", "value")), SER, ["pos", "value"])
