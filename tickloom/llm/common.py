@@ -114,7 +114,9 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, tota
     hot = F.col(rows) > max(HOT_ROWS, total / HOT_KEYS)
     others = [c for c in right.columns if c not in keys]
     few = right.where(hot).select(*keys, F.struct(*others).alias("__hot"))
-    rest = right.where(~hot).select(*keys, F.struct(*others).alias("__cold"), F.lit(0).cast("long").alias("__spread"))
+    # 0 for all, but no literal: the optimiser would take that out of the join's keys
+    zero = F.when(F.col(rows) < 0, F.col(rows)).otherwise(F.lit(0)).cast("long")
+    rest = right.where(~hot).select(*keys, F.struct(*others).alias("__cold"), zero.alias("__spread"))
     spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*(by or left.columns))).otherwise(F.lit(0).cast("long"))
     marked = left.join(F.broadcast(few), keys, "left").withColumn("__spread", spread)
     joined = marked.join(rest, [*keys, "__spread"], "left").withColumn("__found", F.coalesce("__hot", "__cold")).where("__found is not null")
