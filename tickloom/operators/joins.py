@@ -91,7 +91,9 @@ def observation_windows(base: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     close, NULL where there are fewer: symbol, ts, tf, window."""
     frames = Window.partitionBy("symbol", "tf").orderBy("ts").rowsBetween(-(n - 1), 0)
     packed = bars.withColumn("__w", F.collect_list(F.array("open", "high", "low", "close")).over(frames))
-    times = base.select("symbol", "ts").distinct().withColumn("tf", F.explode(F.array(*(F.lit(r.tf) for r in bars.select("tf").distinct().orderBy("tf").collect()))))
+    # all timeframes, one array in one row, meet each time by a constant key
+    frames_of_all = bars.agg(F.collect_set("tf").alias("tfs")).withColumn("__one", F.lit(1))
+    times = base.select("symbol", "ts").distinct().withColumn("__one", F.lit(1)).join(F.broadcast(frames_of_all), "__one").select("symbol", "ts", F.explode("tfs").alias("tf"))
     found = asof_join(times, packed.select("symbol", "tf", "ts", "__w"), ["symbol", "tf"])
     empty = F.lit(None).cast("double")
     flat = F.coalesce(F.flatten("__w"), F.array().cast("array<double>"))

@@ -105,11 +105,13 @@ def cluster_levels(levels: DataFrame, keys: list[str], method: str = "kmeans", n
 
     kmeans and gmm give n_clusters centres (fewer where a series has fewer distinct prices, since equal centres are one), and
     raise where a series has not settled after so many rounds;
-    dbscan gives the means of groups of at least min_samples prices whose neighbours lie within eps, exact for min_samples up to
-    3; any other method returns the levels. Series of one level pass unchanged.
+    dbscan gives the means of groups of at least min_samples prices whose neighbours lie within eps, which is exact for min_samples up to
+    3 and an error beyond; any other method returns the levels. Series of one level pass unchanged.
     """
     if method not in ("kmeans", "gmm", "dbscan"):
         return levels.select(*keys, "price")
+    if method == "dbscan" and min_samples > 3:
+        raise ValueError("groups of neighbours are density clusters for min_samples up to 3 only")
     counted = levels.select(*keys, "price").withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     single, many = counted.where("__n < 2").select(*keys, "price"), counted.where("__n >= 2").select(*keys, "price")
     if method == "dbscan":
