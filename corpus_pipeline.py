@@ -18,7 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the toxicity model rejects; it learns from the labelled rows outside fold 1."""
+    """Drop the documents that the toxicity model rejects; it learns from the labelled rows outside fold 1.
+
+    Null and empty texts have the model's bias as score and stay unless that alone is over the threshold. Equal texts, repeated rows among
+    them, share a fate. An empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="score").where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -46,13 +50,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
+    """Repeat or leave out documents so that sources meet their target weights.
+
+    A document comes as often as it is taken; null and empty texts go by their hash like all others. An empty table stays empty.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS)).where("mix_repeats > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_repeats")))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the end of each piece in the original bytes."""
+    """Token ids of each document, with the end of each piece in the original bytes.
+
+    Null counts as empty, which gives the begin and end ids alone; repeated rows give repeated results. An empty table stays empty.
+    """
     docs = docs.select("doc_id", "source", "text")
     return sentencepiece_io.encode(docs, sentencepiece_io.model_path(), columns=("n_tokens", "ids", "ends", "decoded_sha256")).drop("text")
 
@@ -65,12 +75,15 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: The classifier and the tokenizer are not SQL; tests/llm compares run() with a brute-force version.
+#: The classifier and the tokenizer are not SQL; tests/llm replays the stages after the classifier in plain Python over a fixture.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents. Each result is a table in the shared folder, read back by the next stage."""
+    """Apply all stages to documents. Each result is a table in the shared folder, read back by the next stage.
+
+    The tables stay there, since the result is read from the last of them.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
