@@ -108,6 +108,19 @@ def margins(positions: DataFrame, accounts: DataFrame, by: list[str], leverage:
     return out.withColumn("free_margin", F.greatest(F.lit(0.0), F.col("balance") - F.col("used_margin")))
 
 
+def floating_profit(positions: DataFrame) -> DataFrame:
+    """profit of open positions(type 0 buy or 1 sell, volume, price_open, bid, ask, contract_size): buys are valued at bid, sells at ask."""
+    move = F.when(F.col("type") == 0, F.col("bid") - F.col("price_open")).otherwise(F.col("price_open") - F.col("ask"))
+    return positions.withColumn("profit", move * F.col("volume") * F.col("contract_size"))
+
+
+def account_equity(positions: DataFrame, accounts: DataFrame, by: list[str]) -> DataFrame:
+    """profit, n_positions and equity (balance and profit) of accounts(by, balance) with positions as in floating_profit()."""
+    held = floating_profit(positions).groupBy(*by).agg(F.sum("profit").alias("profit"), F.count("*").alias("n_positions"))
+    out = accounts.join(held, by, "left").withColumns({"profit": F.coalesce("profit", F.lit(0.0)), "n_positions": F.coalesce("n_positions", F.lit(0).cast("long"))})
+    return out.withColumn("equity", F.col("balance") + F.col("profit"))
+
+
 def with_order_prices(orders: DataFrame) -> DataFrame:
     """entry_price, sl_price and tp_price of orders(side, bid, ask, pip, sl_pips, tp_pips): buys enter at ask, sells at bid."""
     buy = F.lower("side") == "buy"
@@ -122,9 +135,15 @@ def order_requests(orders: DataFrame, deviation: int = DEVIATION, magic: int = M
 
 
 def close_requests(positions: DataFrame, deviation: int = DEVIATION, magic: int = MAGIC) -> DataFrame:
-    """Opposite deals that close positions(ticket, symbol, volume, type 0 buy or 1 sell, bid, ask)."""
-    buy = F.col("type") == 0
-    return positions.select("ticket", "symbol", "volume", F.when(buy, "SELL").otherwise("BUY").alias("order_type"), F.when(buy, F.col("bid")).otherwise(F.col("ask")).alias("price"), F.lit("deal").alias("action"), F.lit(deviation).alias("deviation"), F.lit(magic).alias("magic"))
+    """Opposite deals that close positions(ticket, symbol, volume, type 0 buy or 1 sell, bid, ask).
+
+    A column close_volume asks for a part: no more than the position's volume is closed, and all of it where it is null. Nothing is
+    asked of a broker for a part of 0 or less.
+    """
+    buy, volume = F.col("type") == 0, F.col("volume")
+    if "close_volume" in positions.columns:
+        volume = F.least(F.col("volume"), F.coalesce("close_volume", F.col("volume")))
+    return positions.where(volume > 0).select("ticket", "symbol", volume.alias("volume"), F.when(buy, "SELL").otherwise("BUY").alias("order_type"), F.when(buy, F.col("bid")).otherwise(F.col("ask")).alias("price"), F.lit("deal").alias("action"), F.lit(deviation).alias("deviation"), F.lit(magic).alias("magic"))
 
 
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -90,6 +90,28 @@ def close_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.close_requests(held).withColumn("price", r6("price", 9))
 
 
+def held_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as open positions: bought on even line numbers, a bid and an ask around the price."""
+    kinds = {"type": F.col("l_linenumber") % 2, "price_open": F.col("price"), "bid": F.col("price") * 0.998, "ask": F.col("price") * 1.003}
+    return lines(spark, sf_dir).withColumns(kinds)
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey * 10 + l_linenumber AS ticket, symbol, {q6("least(volume, CASE WHEN l_linenumber % 3 = 0 THEN volume ELSE 0.02 * (l_linenumber - 1) END)", 'volume', 9)}, CASE WHEN l_linenumber % 2 = 0 THEN 'SELL' ELSE 'BUY' END AS order_type
+FROM i WHERE least(volume, CASE WHEN l_linenumber % 3 = 0 THEN volume ELSE 0.02 * (l_linenumber - 1) END) > 0""")
+def partial_close_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_linenumber") - 1) * 0.02)
+    held = held_lines(spark, sf_dir).withColumns({"ticket": (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long"), "close_volume": part})
+    return rounded(risk.close_requests(held), ["ticket", "symbol"], ["volume", "order_type"], 9)
+
+
+@query(f"""WITH {LINES}, p AS (SELECT l_orderkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN price * 0.998 - price ELSE price - price * 1.003 END * volume * contract_size) AS profit, count(*) AS n FROM i GROUP BY l_orderkey)
+SELECT o_orderkey AS l_orderkey, {q6('o_totalprice * 10', 'balance', 4)}, {q6('coalesce(profit, 0)', 'profit', 2)}, coalesce(n, 0) AS n_positions, {q6('o_totalprice * 10 + coalesce(profit, 0)', 'equity', 2)} FROM orders LEFT JOIN p ON o_orderkey = l_orderkey""")
+def account_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") * 10).alias("balance"))
+    out = risk.account_equity(risk.with_symbol_info(held_lines(spark, sf_dir)), accounts, ["l_orderkey"])
+    return out.select("l_orderkey", r6("balance", 4).alias("balance"), r6("profit", 2).alias("profit"), "n_positions", r6("equity", 2).alias("equity"))
+
+
 @query(f"""WITH {bars_sql('M30', 'b')}, h AS (SELECT symbol, ts, hour(ts) AS h, isodow(ts) - 1 AS d, minute(ts) AS m, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx FROM b)
 SELECT symbol, ts, {q6('h / 23', 'hour_norm')}, {q6('sin(2 * pi() * h / 24)', 'hour_sin')}, {q6('cos(2 * pi() * h / 24)', 'hour_cos')}, {q6('d / 6', 'dow_norm')}, {q6('sin(2 * pi() * d / 7)', 'dow_sin')}, {q6('cos(2 * pi() * d / 7)', 'dow_cos')}, {q6('m / 59', 'min_norm')},
  (h >= 7 AND h < 16)::INT::DOUBLE AS is_london, (h >= 12 AND h < 20)::INT::DOUBLE AS is_newyork, (h < 7 OR h >= 16)::INT::DOUBLE AS is_asia,
