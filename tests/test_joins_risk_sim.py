@@ -1,17 +1,19 @@
 """Joins, risk, simulator, sources and streams."""
 
 import datetime as dt
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as bar_ops
 from tickloom.operators import indicators as ind
 from tickloom.operators import joins, risk
 from tickloom.operators import simulator as sim
-from tickloom.sources import config, market
+from tickloom.sources import config, download, market
 from tickloom.streaming import bars as stream
 from tickloom.streaming import twins
 
@@ -31,6 +33,46 @@ def test_asof_never_looks_ahead(spark):
     assert got[0] == 5.0
 
 
+def test_asof_over_days_and_ties(spark):
+    rng = np.random.default_rng(3)
+    at = lambda n: [T0 + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 20 * 1440, n)]
+    left_rows = [("s" if k % 3 else "t", t, k) for k, t in enumerate(at(400))] + [("none", T0, 1000), (None, T0, 1001), ("s", None, 1002)]
+    right_rows = [("s" if k % 2 else "t", t, k) for k, t in enumerate(sorted(set(at(25))))] + [("s", None, 99), (None, T0 - dt.timedelta(days=40), 98)]
+    left = ntz(spark.createDataFrame(left_rows, "symbol string, ts timestamp, m int"))
+    right = ntz(spark.createDataFrame(right_rows, "symbol string, ts timestamp, v int"))
+
+    def want(symbol, t, clamp):
+        mine = sorted((u, v) for s, u, v in right_rows if s == symbol and u is not None)
+        before = [v for u, v in mine if t is not None and u <= t]
+        return before[-1] if before else (mine[0][1] if clamp and mine else None)
+
+    for clamp in (False, True):
+        got = {r.m: r.v for r in joins.asof_join(left, right, ["symbol"], clamp_first=clamp).collect()}
+        assert got == {m: want(s, t, clamp) for s, t, m in left_rows}
+    by_hour = joins.asof_join(left, right, ["symbol"], bucket=F.date_trunc("hour", "ts"))
+    assert {r.m: r.v for r in by_hour.collect()} == {m: want(s, t, False) for s, t, m in left_rows}
+    assert joins.asof_join(left.limit(0), right, ["symbol"]).count() == 0
+    assert {r.v for r in joins.asof_join(left, right.limit(0), ["symbol"]).collect()} == {None}
+
+
+def test_position_stops(spark, bars):
+    df, pdf = bars
+    day = pdf[pdf.symbol == "AAA"].reset_index(drop=True)
+    row = lambda k, way, mode=None, n=None, mult=None, price=None: ("AAA", day.ts[k].to_pydatetime() + dt.timedelta(minutes=5), way, mode, n, mult, price, k)
+    schema = "symbol string, ts timestamp, direction int, trailing_mode string, atr_period int, atr_mult double, current_price double, k int"
+    held = ntz(spark.createDataFrame([row(50, 1), row(51, -1), row(60, 1, "atr", 5, 2.0), row(61, -1, "atr", None, None, 90.0)], schema))
+    got = {r.k: r.new_sl for r in risk.TrailingStop().position_stops(held, df, [5]).collect()}
+    before = day.close.shift()
+    span = pd.concat([day.high - day.low, (day.high - before).abs(), (day.low - before).abs()], axis=1).max(axis=1)
+    atr = {n: span.ewm(alpha=1 / n, adjust=False).mean() for n in (5, 14)}
+    want = {50: day.high[29:51].max() - 3 * atr[14][50], 51: day.low[30:52].min() + 3 * atr[14][51], 60: day.close[60] - 2 * atr[5][60], 61: 90 + 1.5 * atr[14][61]}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9)
+    with pytest.raises(Exception, match="atr_period not among"):
+        risk.TrailingStop().position_stops(held, df).collect()
+
+
 def test_news_windows(spark):
     news = ntz(spark.createDataFrame([(dt.datetime(2025, 8, 1, 10), "high"), (dt.datetime(2025, 8, 2, 14, 30), "medium")], "ts timestamp, impact string"))
     levels = spark.createDataFrame([(1.0,), (2.0,)], "price double")
@@ -134,6 +176,31 @@ def test_settings(tmp_path):
         config.load(str(tmp_path / "bad.yaml"), {})
 
 
+def test_variables_of_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# secrets\nexport BOT_A_B=2 # two\nBOT_D='x = y'\n\nnonsense\nBOT_E=1\n")
+    (tmp_path / "c.yaml").write_text("a:\n  b: 1\nd: text\ne: 0\n")
+    got = config.load(str(tmp_path / "c.yaml"), {"BOT_E": "5"}, str(tmp_path / ".env"))
+    assert got == {"a": {"b": 2}, "d": "x = y", "e": 5}
+    assert config.load(str(tmp_path / "c.yaml"), {}, str(tmp_path / "none"))["e"] == 0
+
+
+def fetched(symbol, tf, most):
+    if symbol == "BAD":
+        raise OSError("down")
+    ts = pd.date_range("2025-01-01", periods=most, freq="h")
+    return pd.DataFrame({"time": ts, "open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5, "tick_volume": 3, "spread": 0})
+
+
+def test_download_job(spark, tmp_path):
+    fetch = fetched
+    settings = {"symbols": ["A", "BAD", "SKIP"], "timeframes": ["H1", "H4"], "skip_symbols": ["SKIP"], "download_defaults": {"num_bars": 4, "retries": 0}}
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for _ in range(2):
+        download.download(spark, settings, fetch, str(tmp_path / "bars"), skip_existing=True)
+    got = market.read_bars(spark, str(tmp_path / "bars")).groupBy("symbol", "tf").count().collect()
+    assert {(r.symbol, r.tf, r["count"]) for r in got} == {("A", "H1", 4), ("A", "H4", 4)}
+
+
 def drain(df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
@@ -168,6 +235,21 @@ def test_streams_equal_batches(spark, parts):
     np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)])
 
 
+def test_stream_indicators_equal_batches(spark, parts):
+    folder, df = parts
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    cases = [(twins.stream_macd(source), ind.macd(df), ["macd_line", "macd_signal", "macd_hist"]), (twins.stream_rsi(source), ind.rsi(df), ["rsi_14"]), (twins.stream_atr_adx(source), ind.adx(ind.atr(df)), ["atr_14", "plus_di_14", "minus_di_14", "adx_14"])]
+    for k, (stream_, batch, columns) in enumerate(cases):
+        pick = lambda rows: {(r.symbol, r.ts): [np.nan if r[c] is None else r[c] for c in columns] for r in rows}
+        got, want = pick(drain(stream_, f"twin_{k}").collect()), pick(batch.collect())
+        assert got.keys() == want.keys()
+        np.testing.assert_allclose([got[x] for x in sorted(got)], [want[x] for x in sorted(want)], atol=1e-9)
+    got = {(r.symbol, r.ts): r.rma_9 for r in drain(twins.stream_rma(source, 9), "twin_rma").collect()}
+    pdf = df.toPandas().sort_values(["symbol", "ts"])
+    want = pdf.groupby("symbol").close.transform(lambda x: x.ewm(alpha=1 / 9, adjust=False, min_periods=9).mean())
+    np.testing.assert_allclose([np.nan if got[x] is None else got[x] for x in sorted(got)], want, atol=1e-9)
+
+
 def test_stream_lines_equal_batches(spark, parts):
     folder, df = parts
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)

@@ -6,6 +6,7 @@ sorted scan. A zero denominator gives NULL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -127,6 +128,11 @@ def atr(bars: DataFrame, period: int = 14, least: int | None = None) -> DataFram
     return ewm_columns(bars, [_atr_spec(period, least)])
 
 
+def atrs(bars: DataFrame, periods: Sequence[int], least: int | None = None) -> DataFrame:
+    """atr_{period} of several periods in one scan."""
+    return ewm_columns(bars, [_atr_spec(n, least) for n in periods])
+
+
 def _adx_spec(period: int) -> EwmSpec:
     up, down = diff("high"), -diff("low")
     plus, minus, tr = f"{TEMP}plus", f"{TEMP}minus", f"{TEMP}tr"

@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 IMPACT_WEIGHTS = {"low": 1.0, "medium": 2.0, "high": 3.0}
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str = "ts", columns: list[str] | None = None, prefix: str = "", clamp_first: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str = "ts", columns: list[str] | None = None, prefix: str = "", clamp_first: bool = False, bucket: Column | None = None) -> DataFrame:
     """For each row of left the last row of right with the same keys at or before its time.
 
-    Both sides are laid on one time axis and the last right row is carried forward: one shuffle by key, no pairing. A time before
-    all of right gives NULLs, or with clamp_first the first row of right (which looks ahead). columns of right are added, with
-    prefix.
+    Both sides are laid on one time axis and the last right row is carried forward, without pairing. The axis is cut into buckets
+    (days, or any non-falling function of the time), so that one key's rows are spread over tasks; the last right row of the
+    buckets before enters each bucket as its first row. A time before all of right gives NULLs, or with clamp_first the first row
+    of right (which looks ahead). Right rows without a time count for nothing. columns of right are added, with prefix.
     """
     names = columns or [c for c in right.columns if c not in (*keys, on)]
     picked = F.struct(F.col(on).alias("__at"), *names)
-    a = left.select(*left.columns, F.lit(None).cast(right.select(picked.alias("r")).schema["r"].dataType).alias("__r"), F.lit(1).alias("__side"))
-    b = right.select(*(F.col(c) if c in keys or c == on else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), picked.alias("__r"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(on, "__side")
-    both = a.unionByName(b).withColumn("__last", F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    right = right.where(F.col(on).isNotNull())
+    held = right.select(picked.alias("r")).schema["r"].dataType
+    cut = F.to_date(on) if bucket is None else bucket
+    a = left.select(*left.columns, F.lit(None).cast(held).alias("__r"), F.lit(1).alias("__side"), cut.alias("__bucket"))
+    b = right.select(*(F.col(c) if c in keys or c == on else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), picked.alias("__r"), F.lit(0).alias("__side"), cut.alias("__bucket"))
+    both = a.unionByName(b)
+
+    at = F.when(F.col("__side") == 0, F.col(on))
+    ends = both.groupBy(*keys, "__bucket").agg(F.max_by("__r", at).alias("__end"), F.min_by("__r", at).alias("__begin"))
+    w = Window.partitionBy(*keys).orderBy("__bucket")  # one row a bucket
+    before = F.last("__end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     if clamp_first:
-        first = F.first("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        both = both.withColumn("__last", F.coalesce("__last", first))
-    return both.where("__side = 1").select(*left.columns, *(F.col(f"__last.{n}").alias(f"{prefix}{n}") for n in names), F.col("__last.__at").alias(f"{prefix}asof_ts"))
+        before = F.coalesce(before, F.first("__begin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    carried = ends.select(*keys, "__bucket", before.alias("__r"))
+    carried = carried.select(*(F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), "__r", F.lit(-1).alias("__side"), "__bucket")
+
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.unionByName(carried).withColumn("__last", F.last("__r", ignorenulls=True).over(inside))
+    return last.where("__side = 1").select(*left.columns, *(F.col(f"__last.{n}").alias(f"{prefix}{n}") for n in names), F.col("__last.__at").alias(f"{prefix}asof_ts"))
 
 
 def next_event(left: DataFrame, events: DataFrame, on: str = "ts", name: str = "next_ts") -> DataFrame:

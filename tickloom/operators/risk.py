@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.windows import series, trailing
 from tickloom.operators import indicators
+from tickloom.operators.joins import asof_join
 
 # Defaults of symbols, lots and orders.
 DEFAULT_POINT, DEFAULT_CONTRACT = 0.0001, 100_000.0
@@ -197,6 +199,36 @@ class TrailingStop:
         out = out.withColumns({"stop_long": long, "stop_short": short})
         return out if had else out.drop(name)
 
+    def position_stops(self, positions: DataFrame, bars: DataFrame, atr_periods: Sequence[int] = (), chandelier_periods: Sequence[int] = ()) -> DataFrame:
+        """new_sl of positions(symbol, ts, direction 1 or -1) at the last of bars (of one timeframe) up to ts.
+
+        Columns trailing_mode, atr_period, atr_mult, chandelier_period and chandelier_atr_mult override this setting where they are
+        not null; current_price stands for the bar's close in mode atr. Periods of positions must be this setting's or among those
+        given, all of which are worked out in one scan; others raise an error. NULL before the first bar.
+        """
+        atrs, spans = sorted({self.atr_period, *atr_periods}), sorted({self.chandelier_period, *chandelier_periods})
+        known = indicators.atrs(bars.select("symbol", "tf", "ts", "high", "low", "close"), atrs, least=1)
+        known = known.withColumns({f"high_{n}": F.max("high").over(trailing(n)) for n in spans} | {f"low_{n}": F.min("low").over(trailing(n)) for n in spans})
+        columns = ["close", *(f"atr_{n}" for n in atrs), *(f"{side}_{n}" for side in ("high", "low") for n in spans)]
+        found = asof_join(positions, known, ["symbol"], columns=columns, prefix="__bar_")
+
+        def setting(name: str) -> Column:
+            default = F.lit(getattr(self, "mode" if name == "trailing_mode" else name))
+            return F.coalesce(F.col(name), default) if name in positions.columns else default
+
+        def of_period(kind: str, name: str, periods: list[int]) -> Column:
+            chosen = F.raise_error(F.concat(F.lit(f"{name} not among the periods given: "), setting(name).cast("string"))).cast("double")
+            for n in periods:
+                chosen = F.when(setting(name) == n, F.col(f"__bar_{kind}_{n}")).otherwise(chosen)
+            return chosen
+
+        atr, way = of_period("atr", "atr_period", atrs), F.col("direction")
+        extreme = F.when(way == 1, of_period("high", "chandelier_period", spans)).otherwise(of_period("low", "chandelier_period", spans))
+        price = F.coalesce("current_price", "__bar_close") if "current_price" in positions.columns else F.col("__bar_close")
+        hung = extreme - F.when(way == 1, 1.0).otherwise(-1.0) * setting("chandelier_atr_mult") * atr
+        stop = F.when(setting("trailing_mode") == "chandelier", hung).otherwise(price - way * setting("atr_mult") * atr)
+        return found.select(*positions.columns, stop.alias("new_sl"))
+
 
 @dataclass
 class RiskManager:

@@ -75,6 +75,32 @@ class EwmPlan(Kernel):
         return made
 
 
+class BarMoves(EwmPlan):
+    """Exponential means of what a bar and the one before give: each column c as __c, its rises and falls as __up_c and __down_c,
+    and of bars with high, low and close the true range __tr and the directional moves __plus and __minus.
+
+    Batches take these from windows, which streams have not; the last bar is kept in their place.
+    """
+
+    def __init__(self, steps: tuple[Step, ...]) -> None:
+        super().__init__(steps)
+        self.bar: dict[str, float] = {}
+
+    def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        before = {c: np.concatenate(([self.bar.get(c, np.nan)], v))[:-1] for c, v in columns.items()}
+        self.bar |= {c: float(v[-1]) for c, v in columns.items() if len(v)}
+        made = dict(columns)
+        for c, v in columns.items():
+            change = v - before[c]
+            made |= {f"__{c}": v, f"__up_{c}": np.maximum(change, 0.0), f"__down_{c}": np.maximum(-change, 0.0)}
+        if {"high", "low", "close"} <= columns.keys():
+            high, low, close = columns["high"], columns["low"], before["close"]
+            up, down = high - before["high"], before["low"] - low
+            made["__tr"] = np.fmax(high - low, np.fmax(np.abs(high - close), np.abs(low - close)))
+            made["__plus"], made["__minus"] = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+        return super().push(made)
+
+
 class SuperTrend(Kernel):
     """Bands that only tighten while the close stays inside them, and the line that flips between them."""
 

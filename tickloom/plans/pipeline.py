@@ -35,7 +35,7 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     )
 }
 #: Specs of those that are exponential means of bar columns alone, so that one scan makes them together.
-_FUSED = {
+FUSED = {
     "ema": lambda period=50, price_col="close": ind._ema_spec(period, price_col),
     "macd": lambda fast=12, slow=26, signal=9: ind._macd_spec(fast, slow, signal),
     "rsi": lambda period=14, price_col="close": ind._rsi_spec(period, price_col),
@@ -67,7 +67,7 @@ class FeaturePipeline:
         for spec in self.specs:
             if spec.name not in OPERATORS:
                 raise AttributeError(f"unknown indicator {spec.name!r}")
-        fused = [_FUSED[s.name](**s.params) for s in self.specs if s.name in _FUSED]
+        fused = [FUSED[s.name](**s.params) for s in self.specs if s.name in FUSED]
         lines = [s for s in self.specs if s.name == "stoch_rsi"]
         made = {o for f in fused for o in f.outputs}
         for s in lines:  # the RSI under a stochastic RSI comes from the same scan
@@ -76,7 +76,7 @@ class FeaturePipeline:
                 fused.append(spec)
         out = ind.ewm_columns(bars, fused) if fused else bars
         for s in self.specs:
-            if s.name in _FUSED:
+            if s.name in FUSED:
                 continue
             if s.name == "stoch_rsi":
                 p = {"period": 14, "k_period": 3, "d_period": 3} | s.params

@@ -11,7 +11,7 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import observation as obs
 from tickloom.operators import risk
 from tickloom.operators import simulator as sim
-from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, ewm_sql, indexed_sql, q6, r6, rounded
+from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, events, ewm_sql, indexed_sql, q6, r6, rounded
 from tickloom.sources import market
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -131,6 +131,20 @@ def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(other, ["symbol", "ts"], ["stop_long", "stop_short", "atr_stop_long", "atr_stop_short"])
 
 
+@query(f"""{B}, m AS MATERIALIZED (SELECT *, {TRUE_RANGE} AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)), {ewm_sql('t', 'm', 'tr', 1 / 14, 1)}, {ewm_sql('t7', 'm', 'tr', 1 / 7, 1)},
+k AS (SELECT symbol, ts, close, t.y AS a14, t7.y AS a7, max(high) OVER f22 AS h22, min(low) OVER f22 AS l22, max(high) OVER f10 AS h10, min(low) OVER f10 AS l10 FROM m JOIN t USING (symbol, rn) JOIN t7 USING (symbol, rn)
+WINDOW f22 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 21 PRECEDING AND CURRENT ROW), f10 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+p AS (SELECT event_id, event_type AS symbol, ts, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS way, event_id % 3 = 0 AS by_atr, event_id % 5 = 0 AS quick FROM events WHERE value IS NOT NULL)
+SELECT p.event_id, {q6("CASE WHEN by_atr THEN close - way * 1.5 * CASE WHEN quick THEN a7 ELSE a14 END ELSE CASE WHEN way = 1 THEN CASE WHEN quick THEN h10 ELSE h22 END ELSE CASE WHEN quick THEN l10 ELSE l22 END END - way * CASE WHEN quick THEN 2.0 ELSE 3.0 END * CASE WHEN quick THEN a7 ELSE a14 END END", 'new_sl')}
+FROM p ASOF LEFT JOIN k ON p.symbol = k.symbol AND p.ts >= k.ts""")
+def position_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    quick = lambda value: F.when(n % 5 == 0, value)
+    held = events(spark, sf_dir).where("price IS NOT NULL").select(F.col("seq").alias("event_id"), "symbol", "ts")
+    held = held.withColumns({"direction": F.when(n % 2 == 0, 1).otherwise(-1), "trailing_mode": F.when(n % 3 == 0, "atr"), "atr_period": quick(7), "chandelier_period": quick(10), "chandelier_atr_mult": quick(2.0)})
+    return rounded(risk.TrailingStop().position_stops(held, bars(spark, sf_dir), [7], [10]), ["event_id"], ["new_sl"])
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions from crossings: buy and sell with stops and targets, close the last position 12 bars after a crossing."""
     crossed = ind.ma_cross(bars(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.queries import features
 from tickloom.queries.base import bars, bars_sql, events, ewm_sql, indexed_sql, q6, r6, rounded
 from tickloom.queries.risk import steps
 from tickloom.sources.storage import shared_folder
@@ -53,6 +54,24 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(to_table(made, "stream-ema"), ["symbol", "ts"], ["ema_50"])
 
 
+@query(features.ORACLE_SQL["macd"])
+def stream_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = twins.stream_macd(as_stream(bars(spark, sf_dir), "stream-macd-in"))
+    return rounded(to_table(made, "stream-macd"), ["symbol", "ts"], ["macd_line", "macd_signal", "macd_hist"])
+
+
+@query(f"{features.B}, {features.RSI} SELECT symbol, ts, {q6('rsi', 'rsi_14')} FROM x")
+def stream_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = twins.stream_rsi(as_stream(bars(spark, sf_dir), "stream-rsi-in"))
+    return rounded(to_table(made, "stream-rsi"), ["symbol", "ts"], ["rsi_14"])
+
+
+@query(features.ORACLE_SQL["atr_and_adx"])
+def stream_atr_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = twins.stream_atr_adx(as_stream(bars(spark, sf_dir), "stream-adx-in"))
+    return rounded(to_table(made, "stream-adx"), ["symbol", "ts"], ["atr_14", "plus_di_14", "minus_di_14", "adx_14"])
+
+
 @query()
 def stream_simulator(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = twins.stream_simulator(as_stream(steps(spark, sf_dir), "stream-sim-in"))

@@ -35,10 +35,31 @@ def overridden(settings: Any, env: Mapping[str, str] | None = None, path: tuple[
     return settings if found is None else cast(found)
 
 
-def load(path: str, env: Mapping[str, str] | None = None) -> dict:
-    """Settings of a YAML file with overrides. A file that is not a mapping raises ValueError."""
+def read_env_file(path: str) -> dict[str, str]:
+    """Variables of a file of KEY=VALUE lines; blank lines and comments are skipped, quotes and a leading export go. {} without a file."""
+    if not os.path.exists(path):
+        return {}
+    found = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, given, value = line.strip().removeprefix("export ").partition("=")
+            if not given or name.startswith("#"):
+                continue
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] in "'\"" and value[-1] == value[0]
+            found[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].rstrip()
+    return found
+
+
+def load(path: str, env: Mapping[str, str] | None = None, env_file: str | None = None) -> dict:
+    """Settings of a YAML file with overrides, by variables of env_file and, before those, of env. A file that is not a mapping
+    raises ValueError."""
     import yaml
 
+    env = os.environ if env is None else env
+    if env_file is not None:
+        env = {**read_env_file(env_file), **env}
+
     with open(path, encoding="utf-8") as f:
         try:
             settings = yaml.safe_load(f) or {}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.schema import KEYS
 from tickloom.operators.simulator import ACTION_COLUMNS, STATE, Episode, SimulatorConfig
-from tickloom.plans.kernels import EwmPlan, Spacing, Step, SuperTrend
+from tickloom.operators.indicators import EwmSpec
+from tickloom.plans.kernels import BarMoves, EwmPlan, Spacing, Step, SuperTrend
+from tickloom.plans.pipeline import FUSED
 from tickloom.streaming.bars import stream_scan
 
 
@@ -18,6 +20,34 @@ def stream_ema(bars: DataFrame, period: int = 50, price_col: str = "close") -> D
     return stream_scan(bars, KEYS, "ts", [price_col], f"`{name}` double", lambda: EwmPlan(plan))
 
 
+def stream_indicators(bars: DataFrame, specs: list[EwmSpec], reads: list[str]) -> DataFrame:
+    """Columns of exponential indicators (plans.pipeline.FUSED) of a stream of bars, all in one walk over the columns `reads`."""
+    steps = tuple({s.out: s for spec in specs for s in spec.steps}.values())
+    outputs = dict.fromkeys(o for spec in specs for o in spec.outputs)
+    return stream_scan(bars, KEYS, "ts", reads, ", ".join(f"`{o}` double" for o in outputs), lambda: BarMoves(steps))
+
+
+def stream_rma(bars: DataFrame, period: int = 14, price_col: str = "close") -> DataFrame:
+    """rma_{period}, the Wilder mean, of a stream of bars."""
+    name = f"rma_{period}"
+    return stream_indicators(bars, [EwmSpec(steps=[Step(name, 1.0 / period, period, price_col)], outputs=[name])], [price_col])
+
+
+def stream_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """macd_line, macd_signal and macd_hist of a stream of bars."""
+    return stream_indicators(bars, [FUSED["macd"](fast, slow, signal)], ["close"])
+
+
+def stream_rsi(bars: DataFrame, period: int = 14, price_col: str = "close") -> DataFrame:
+    """rsi_{period} of a stream of bars."""
+    return stream_indicators(bars, [FUSED["rsi"](period, price_col)], [price_col])
+
+
+def stream_atr_adx(bars: DataFrame, period: int = 14) -> DataFrame:
+    """atr_{period}, plus_di_{period}, minus_di_{period} and adx_{period} of a stream of bars."""
+    return stream_indicators(bars, [FUSED["atr"](period), FUSED["adx"](period)], ["high", "low", "close"])
+
+
 def stream_supertrend(bands: DataFrame) -> DataFrame:
     """supertrend of a stream with columns close, upper and lower (the basic bands)."""
     return stream_scan(bands, KEYS, "ts", ["close", "upper", "lower"], "supertrend double, supertrend_dir double", SuperTrend)
