@@ -211,7 +211,7 @@ def ma_cross_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.moving_average_cross_simple(bars(spark, sf_dir), 20, 50, "SMA"), KEYS, ["fast_MA", "slow_MA", "MA_Cross_Signal"])
 
 
-def _cross_sql(confirm: int, least: int) -> str:
+def cross_sql(confirm: int, least: int) -> str:
     hold = f"CASE WHEN sig > 0 AND min(d) OVER f > 0 OR sig < 0 AND max(d) OVER f < 0 THEN sig ELSE 0 END" if confirm > 1 else "sig"
     return f"""{B}, {_mean('a', 'close', 12, 1)}, {_mean('b', 'close', 26, 1)}, c AS (SELECT symbol, ts, rn, a.y AS fa, b.y AS sl, a.y - b.y AS d FROM n JOIN a USING (symbol, rn) JOIN b USING (symbol, rn)),
 e AS (SELECT *, CASE WHEN lag(sign(d)) OVER w <= 0 AND d > 0 THEN 1.0 WHEN lag(sign(d)) OVER w >= 0 AND d < 0 THEN -1.0 ELSE 0.0 END AS sig FROM c WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
@@ -221,26 +221,26 @@ k AS (SELECT symbol, rn, 0.0::DOUBLE AS kept, -9999::BIGINT AS last FROM h WHERE
   FROM k JOIN h ON h.symbol = k.symbol AND h.rn = k.rn + 1)"""
 
 
-@query(f"{_cross_sql(2, 3)} SELECT h.symbol, ts, {q6('fa', 'ma_fast_12')}, {q6('sl', 'ma_slow_26')}, {q6('d', 'ma_diff_12_26')}, kept AS ma_cross_signal, (kept > 0)::INT AS buy_signal, (kept < 0)::INT AS sell_signal FROM h JOIN k USING (symbol, rn)")
+@query(f"{cross_sql(2, 3)} SELECT h.symbol, ts, {q6('fa', 'ma_fast_12')}, {q6('sl', 'ma_slow_26')}, {q6('d', 'ma_diff_12_26')}, kept AS ma_cross_signal, (kept > 0)::INT AS buy_signal, (kept < 0)::INT AS sell_signal FROM h JOIN k USING (symbol, rn)")
 def ma_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     cross = ind.MovingAverageCross(confirm_bars=2)
     out = cross.as_binary_cols(cross.add_to_df(bars(spark, sf_dir)))
     return rounded(out, KEYS, ["ma_fast_12", "ma_slow_26", "ma_diff_12_26", "ma_cross_signal", "buy_signal", "sell_signal"])
 
 
-@query(f"{_cross_sql(1, 3)} SELECT h.symbol, 'H1' AS tf, ts, close, {q6('fa', 'ma_fast_12')}, {q6('sl', 'ma_slow_26')}, kept AS ma_cross_signal FROM h JOIN k USING (symbol, rn) JOIN n USING (symbol, rn, ts) WHERE kept <> 0")
+@query(f"{cross_sql(1, 3)} SELECT h.symbol, 'H1' AS tf, ts, close, {q6('fa', 'ma_fast_12')}, {q6('sl', 'ma_slow_26')}, kept AS ma_cross_signal FROM h JOIN k USING (symbol, rn) JOIN n USING (symbol, rn, ts) WHERE kept <> 0")
 def ma_cross_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     cross = ind.MovingAverageCross()
     return rounded(cross.cross_points(cross.add_to_df(bars(spark, sf_dir))), ["symbol", "tf", "ts"], ["close", "ma_fast_12", "ma_slow_26", "ma_cross_signal"])
 
 
-@query(f"{_cross_sql(1, 3)} SELECT symbol, 'H1' AS tf, arg_max(kept, rn) AS ma_cross_signal FROM k GROUP BY symbol")
+@query(f"{cross_sql(1, 3)} SELECT symbol, 'H1' AS tf, arg_max(kept, rn) AS ma_cross_signal FROM k GROUP BY symbol")
 def ma_cross_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     cross = ind.MovingAverageCross()
     return cross.last_signal(cross.add_to_df(bars(spark, sf_dir)))
 
 
-@query(f"""{_cross_sql(1, 3)}, sd AS (SELECT h.symbol, h.ts, kept, d, {roll_sql('stddev_samp', 'd', 26)} AS s FROM h JOIN k USING (symbol, rn))
+@query(f"""{cross_sql(1, 3)}, sd AS (SELECT h.symbol, h.ts, kept, d, {roll_sql('stddev_samp', 'd', 26)} AS s FROM h JOIN k USING (symbol, rn))
 SELECT symbol, ts, {q6("kept * coalesce(CASE WHEN s <> 0 THEN d / s END, 0)", "ma_cross_signal")} FROM sd""")
 def ma_cross_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.ma_cross(bars(spark, sf_dir), magnitude=True), KEYS, ["ma_cross_signal"])

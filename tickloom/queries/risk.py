@@ -11,6 +11,7 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import observation as obs
 from tickloom.operators import risk
 from tickloom.operators import simulator as sim
+from tickloom.queries import features
 from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, events, ewm_sql, indexed_sql, q6, r6, rounded
 from tickloom.sources import market
 
@@ -154,14 +155,46 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossed.select("symbol", "tf", "ts", F.col("close").alias("price"), action.alias("action"), F.lit(0.5).alias("volume"), F.lit(2000.0).alias("sl"), F.lit(4000.0).alias("tp"), (bar_idx() % 2).cast("int").alias("trailing"), (bar_idx() % 3 == 0).cast("int").alias("riskfree"), "stop_long", "stop_short")
 
 
-@query()
+#: One step of every series' account at a time, for SimulatorConfig's defaults: act, mark, move stops, count. A stop of a buy only
+#: rises and one of a sell only falls, so the stop is the best of the old one and all new ones; greatest skips NULLs.
+_HELD = "STRUCT(entry DOUBLE, volume DOUBLE, way INT, sl DOUBLE, tp DOUBLE, trails BOOLEAN, secure BOOLEAN)[]"
+_STOP = """p.way * greatest(p.way * p.sl, CASE WHEN p.secure AND p.gain >= 0.005::DOUBLE * (p.entry * p.volume) THEN p.way * p.entry END,
+    CASE WHEN p.trails THEN CASE WHEN CASE WHEN p.way = 1 THEN stop_long ELSE stop_short END IS NOT NULL THEN p.way * CASE WHEN p.way = 1 THEN stop_long ELSE stop_short END
+      WHEN p.gain >= 0.01::DOUBLE * (p.entry * p.volume) THEN p.way * (price - p.way * 0.005::DOUBLE * price) END END)"""
+SIMULATED = f"""{features.cross_sql(1, 3)}, m AS MATERIALIZED (SELECT *, {TRUE_RANGE} AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)), {ewm_sql('t', 'm', 'tr', 1 / 14, 1)},
+st AS MATERIALIZED (SELECT m.symbol, m.rn, m.ts, m.close AS price, CASE WHEN kept > 0 THEN 1 WHEN kept < 0 THEN 2 WHEN coalesce(lag(kept, 12) OVER (PARTITION BY m.symbol ORDER BY m.rn), 0) <> 0 THEN 3 ELSE 0 END AS action,
+  (m.rn - 1) % 2 = 1 AS trails, (m.rn - 1) % 3 = 0 AS secure, max(high) OVER f - 3 * t.y AS stop_long, min(low) OVER f + 3 * t.y AS stop_short
+  FROM m JOIN t USING (symbol, rn) JOIN k USING (symbol, rn) WINDOW f AS (PARTITION BY m.symbol ORDER BY m.rn ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)),
+ac AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, 10000.0::DOUBLE AS balance, 10000.0::DOUBLE AS equity, 0.0::DOUBLE AS realized, 0::BIGINT AS opened, 0::BIGINT AS closed, 0.0::DOUBLE AS reward, false AS done, []::{_HELD} AS held FROM st
+ UNION ALL
+ SELECT symbol, rn, nb, ne, CASE WHEN ended THEN 0.0 ELSE gain + shut END, CASE WHEN NOT ended AND action IN (1, 2) THEN 1 ELSE 0 END, CASE WHEN ended THEN 0 ELSE popped + len(gone) END, CASE WHEN ended THEN 0.0 ELSE ne - equity END,
+  ended OR nb <= 0 OR 10000 - ne > 2000, CASE WHEN ended THEN held ELSE list_transform(stay, lambda p: struct_pack(entry := p.entry, volume := p.volume, way := p.way, sl := {_STOP}, tp := p.tp, trails := p.trails, secure := p.secure))::{_HELD} END
+ FROM (SELECT *, CASE WHEN ended THEN balance ELSE balance + gain + shut END AS nb, CASE WHEN ended THEN equity ELSE balance + gain + shut + coalesce(list_sum(list_transform(stay, lambda p: p.gain)), 0.0) END AS ne
+ FROM (SELECT *, coalesce(list_sum(list_transform(gone, lambda p: p.gain)), 0.0) AS shut
+ FROM (SELECT *, list_filter(seen, lambda p: p.leaves) AS gone, list_filter(seen, lambda p: NOT p.leaves) AS stay
+ FROM (SELECT *, list_transform(mine, lambda p: struct_pack(entry := p.entry, volume := p.volume, way := p.way, sl := p.sl, tp := p.tp, trails := p.trails, secure := p.secure, gain := p.way * (price - p.entry) * p.volume,
+    leaves := coalesce(p.way * (price - p.tp) >= 0, false) OR coalesce(p.way * (price - p.sl) <= 0, false))) AS seen
+ FROM (SELECT *, CASE WHEN popped = 1 THEN held[-1].way * (price - held[-1].entry) * held[-1].volume ELSE 0.0 END AS gain,
+   CASE WHEN popped = 1 THEN list_slice(held, 1, len(held) - 1) WHEN action IN (1, 2) THEN list_append(held, struct_pack(entry := price, volume := 0.5::DOUBLE, way := way, sl := price - way * 2000.0::DOUBLE * 0.01::DOUBLE, tp := price + way * 4000.0::DOUBLE * 0.01::DOUBLE, trails := trails, secure := secure))
+    ELSE held END::{_HELD} AS mine
+ FROM (SELECT st.*, CASE WHEN action = 1 THEN 1 ELSE -1 END AS way, balance, equity, ac.done AS ended, held, CASE WHEN NOT ac.done AND action = 3 AND len(held) > 0 THEN 1 ELSE 0 END AS popped
+ FROM ac JOIN st ON st.symbol = ac.symbol AND st.rn = ac.rn + 1))))))),
+sm AS MATERIALIZED (SELECT symbol, ts, st.rn, price, action, balance, equity, len(held)::BIGINT AS n_positions, coalesce(list_sum(list_transform(held, lambda p: p.way * p.volume)), 0.0) AS net_volume, realized, opened, closed, reward, done FROM ac JOIN st USING (symbol, rn))"""
+
+
+@query(f"""{SIMULATED} SELECT symbol, 'H1' AS tf, ts, {q6('price')}, action, {q6('balance')}, {q6('equity')}, n_positions, {q6('net_volume')}, {q6('realized')}, opened, closed, {q6('reward')}, done FROM sm""")
 def simulator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sim.simulate(steps(spark, sf_dir)), ["symbol", "tf", "ts"], ["price", "action", "balance", "equity", "n_positions", "net_volume", "realized", "opened", "closed", "reward", "done"])
 
 
-@query()
+@query(f"""{SIMULATED}, pk AS (SELECT *, greatest(10000.0::DOUBLE, max(equity) OVER w) - equity AS dd, equity / coalesce(lag(equity) OVER w, 10000.0::DOUBLE) - 1 AS r FROM sm WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+pm AS (SELECT symbol, count(*) AS steps, last(equity ORDER BY ts) - 10000 AS net_profit, sum(closed)::BIGINT AS trades, coalesce(count(*) FILTER (realized > 0) / nullif(count(*) FILTER (realized <> 0), 0), 0.0) AS win_rate,
+ coalesce(sum(realized) / nullif(count(*) FILTER (realized <> 0), 0), 0.0) AS expectancy, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0), 0.0) AS sharpe, max(dd) AS max_drawdown,
+ CASE WHEN last(equity ORDER BY ts) > 0 THEN pow(last(equity ORDER BY ts) / 10000, 252.0::DOUBLE / count(*)) - 1 END AS cagr, sum(reward) AS total_reward FROM pk GROUP BY symbol)
+SELECT symbol, 'H1' AS tf, steps, {q6('net_profit')}, trades, {q6('win_rate')}, {q6('expectancy')}, {q6('sharpe')}, {q6('max_drawdown')}, {q6('cagr')}, {q6('total_reward')}, {q6('net_profit + sharpe - max_drawdown', 'mixed_reward')} FROM pm""")
 def simulator_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sim.mixed_reward(sim.performance(sim.simulate(steps(spark, sf_dir))))
+    out = sim.mixed_reward(sim.performance(sim.simulate(steps(spark, sf_dir))))
+    return rounded(out, ["symbol", "tf"], ["steps", "net_profit", "trades", "win_rate", "expectancy", "sharpe", "max_drawdown", "cagr", "total_reward", "mixed_reward"])
 
 
 @query(f"""WITH {bars_sql('D1', 'd1')}, s AS (SELECT symbol, ts, close, row_number() OVER w AS n, greatest(10000.0, max(close * 100) OVER w) - close * 100 AS dd, close * 100 / coalesce(lag(close * 100) OVER w, 10000.0) - 1 AS r FROM d1 WINDOW w AS (PARTITION BY symbol ORDER BY ts))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.queries import features
 from tickloom.queries.base import bars, bars_sql, events, ewm_sql, indexed_sql, q6, r6, rounded
-from tickloom.queries.risk import steps
+from tickloom.queries.risk import SIMULATED, steps
 from tickloom.sources.storage import shared_folder
 from tickloom.streaming import bars as stream
 from tickloom.streaming import twins
@@ -72,7 +72,7 @@ def stream_atr_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(to_table(made, "stream-adx"), ["symbol", "ts"], ["atr_14", "plus_di_14", "minus_di_14", "adx_14"])
 
 
-@query()
+@query(f"""{SIMULATED} SELECT symbol, ts, price, {q6('balance')}, {q6('equity')}, {q6('reward')}, n_positions, done FROM sm""")
 def stream_simulator(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = twins.stream_simulator(as_stream(steps(spark, sf_dir), "stream-sim-in"))
     return to_table(made, "stream-sim").select("symbol", "ts", "price", *(r6(c).alias(c) for c in ("balance", "equity", "reward")), "n_positions", "done")
