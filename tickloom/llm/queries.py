@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickloom.llm.embedding_dedup import op7_embedding_dedup
+from tickloom.llm.lang_id import op11_lang_id
 from tickloom.llm.license_scan import OP1_SQL, op1_license_scan
 from tickloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tickloom.llm.mixing import OP4_SQL, op4_mix_sources
@@ -24,6 +25,7 @@ LLM_QUERIES = {
     "op8_tiff_pages": op8_tiff_pages,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lang_id": op11_lang_id,
 }
 
 LLM_ORACLE_SQL = {
