@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tickloom.llm.alignment import op12_token_alignment
 from tickloom.llm.embedding_dedup import op7_embedding_dedup
 from tickloom.llm.lang_id import op11_lang_id
 from tickloom.llm.license_scan import OP1_SQL, op1_license_scan
@@ -26,6 +27,7 @@ LLM_QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_lang_id": op11_lang_id,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 LLM_ORACLE_SQL = {
