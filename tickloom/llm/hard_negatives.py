@@ -21,9 +21,9 @@ from tickloom.llm.common import named, shared_checkpoint, table
 
 #: Vectors and numbers of a tile at most, anchors of a tile at most, vectors of a block, buckets at most (larger ones are cut into tiles).
 TILE_ROWS, TILE_NUMBERS, TILE_ANCHORS, BLOCK_ROWS, BUCKETS = 8_192, 1 << 20, 2_048, 512, 1_024
-#: Limits of windows without one, and the largest score.
-LOW, HIGH = -(1 << 62), 1 << 62
+#: The largest score, and the limits of windows without one.
 MOST = (1 << 63) - 1
+LOW, HIGH = -MOST, MOST
 #: Sums of products up to this are exact in double precision.
 EXACT = 2.0**53
 #: What bounds are raised by, for the rounding of norms.
@@ -51,7 +51,7 @@ def whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The best scores of each anchor's windows so far: scores and ids, best first; places not taken have the score None stands for."""
+    """The best scores of each anchor's windows so far, best first, the ids that have them, and which places are taken."""
 
     def __init__(self, windows: int, places: int) -> None:
         self.taken = np.zeros((windows, places), dtype=bool)
@@ -205,10 +205,11 @@ def mine(df: DataFrame, anchors: Column, vector: str = "v", vec_id: str = "vec_i
     n_buckets = min(BUCKETS, sum(tiles_of(r["count"], r["dim"]) for r in dims))
     # the running number parts rows alike in all else, so that copies never make a bucket large
     order = ["dim", "label", F.desc("norm"), "id", "turn"]
-    placed = rows.repartitionByRange(max(1, n_buckets), *order).withColumn("bucket", F.spark_partition_id())
+    placed = rows.repartitionByRange(max(1, n_buckets), *order).withColumn("part", F.spark_partition_id())
     placed = shared_checkpoint(placed)
-    facts = placed.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.min("label").alias("label_low"), F.max("label").alias("label_high"), F.count_if("asks").alias("asking")).orderBy("dim", "bucket")
-    buckets = [r.asDict() | {"tiles": tiles_of(r.n, r.dim)} for r in facts.collect()]  # at most BUCKETS rows and one more a dimension
+    facts = placed.groupBy("dim", "part").agg(F.count("*").alias("n"), F.min("label").alias("label_low"), F.max("label").alias("label_high"), F.count_if("asks").alias("asking")).orderBy("dim", "part")
+    # at most BUCKETS rows and one more a dimension; what a range of several dimensions holds of each is a bucket
+    buckets = [r.asDict() | {"bucket": k, "block": None, "tiles": tiles_of(r.n, r.dim)} for k, r in enumerate(facts.collect())]
     blocks: list[dict] = []
     for b in buckets:  # neighbouring buckets' anchors form a block of a tile or less; a bucket with more is a block of several tiles
         if not b["asking"]:
@@ -225,8 +226,9 @@ def mine(df: DataFrame, anchors: Column, vector: str = "v", vec_id: str = "vec_i
     made = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not blocks:
         return spark.createDataFrame([], made)
-    numbered = spark.createDataFrame([(b["dim"], b["bucket"], b["block"]) for b in buckets if "block" in b], "dim int, bucket int, block int")
-    asking = placed.where("asks").join(F.broadcast(numbered), ["dim", "bucket"]).groupBy("id", "label", "v").agg(F.first("norm").alias("norm"), F.min("block").alias("block"))
+    numbered = spark.createDataFrame([(b["dim"], b["part"], b["bucket"], b["block"]) for b in buckets], "dim int, part int, bucket int, block int")
+    placed = placed.join(F.broadcast(numbered), ["dim", "part"])
+    asking = placed.where("asks").groupBy("id", "label", "v").agg(F.first("norm").alias("norm"), F.min("block").alias("block"))
     asking = shared_checkpoint(asking.withColumn("anchor", F.monotonically_increasing_id()))
     placed = placed.select("bucket", "id", "label", "norm", "v", "turn")
     open_ = [F.lit(x).cast("long").alias(c) for c, x in (("slot", 0), ("low", LOW), ("high", HIGH), ("least", LOW))]
@@ -244,5 +246,5 @@ def mine(df: DataFrame, anchors: Column, vector: str = "v", vec_id: str = "vec_i
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of the vectors whose id is divisible by 50; every seventh id counts under the next label."""
     rows = table(spark, sf_dir, "embeddings").where(usable("embedding", "label", "vec_id"))
-    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return mine(rows.select("vec_id", moved.alias("label"), scaled("embedding").alias("v")), F.col("vec_id") % 50 == 0)

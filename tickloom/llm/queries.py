@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tickloom.llm.alignment import op12_token_alignment
 from tickloom.llm.embedding_dedup import op7_embedding_dedup
+from tickloom.llm.hard_negatives import op13_hard_negatives
 from tickloom.llm.lang_id import op11_lang_id
 from tickloom.llm.license_scan import OP1_SQL, op1_license_scan
 from tickloom.llm.line_dedup import OP10_SQL, op10_line_dedup
@@ -28,6 +29,7 @@ LLM_QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_lang_id": op11_lang_id,
     "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 LLM_ORACLE_SQL = {
