@@ -82,3 +82,44 @@ def test_scores_equal_a_plain_replay(spark):
         z = model.bias + sum(v for b, v in model.weights.items() if b in buckets)
         assert math.isclose(got[k], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
     assert model.weights and min(got[k] for k in range(0, 240, 3)) > 0.7
+
+
+def restorer_of(words):
+    return toxicity.Restorer(toxicity.smooth(toxicity.gram_counts([words] * 50)))
+
+
+PROSE = "idiot clown moron stupid worthless asshole ass hole the that with from this and very plain prose about nothing house garden hello"
+
+
+def test_marks_at_the_edges_are_letters_or_ornament():
+    restorer = restorer_of(PROSE)
+    wanted = [("@$$h0l3", "asshole"), ("@$$", "ass"), ("!d!0t", "idiot"), ("idiot$$$", "idiot"), ("hello!", "hello"), ("(with", "with"), ("the###", "the"), ("**st*p*d**", "stupid"), ("...the", "the"), ("455", "455"), ("$100", "$100")]
+    for token, want in wanted:
+        assert restorer.word(token) == [want], token
+    assert restorer.word("...") == restorer.word("###") == []
+    assert restorer.spaced("i\nd   i       o t\n\nand") == ["idiot"]
+
+
+def test_long_tokens_end_soon():
+    import time
+
+    restorer, start = restorer_of(PROSE), time.perf_counter()
+    assert "".join(restorer.word("foo" + "-" * 100_000 + "bar")).startswith("fo")
+    for token in ("a" + "*" * 100_000, "|---" * 30_000 + "|", "*#" * 50_000 + "a", "x" * 300_000, "a" + "*b" * 50_000, "=*" * 20_000 + "foo"):
+        restorer.word(token)
+    restorer.spaced("x y " * 20_000)
+    assert time.perf_counter() - start < 60
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(restorer.model, 0.0, {toxicity.bucket("idiot"): 2.0}))
+    assert scorer.score("1d10t " + "y" * 1000) > 0.8 and max(map(len, scorer.seen)) <= toxicity.LONGEST
+    assert scorer.found("-" * 200 + "1d10t") == scorer.found("1d10t") and all(len(t) <= toxicity.LONGEST for t in scorer.hot)
+
+
+@pytest.mark.parametrize("token", ["st*p*d", "f***", "a**b*", "1*0#t"])
+def test_skipped_steps_change_nothing(token, monkeypatch):
+    """A mark that can only be dropped costs all readings the same."""
+    model = some_model(7)
+    monkeypatch.setattr(toxicity, "MASKED", 1)
+    arcs = [*toxicity._arcs(token), [(END, 0.0)]]
+    assert any(len(a) == 1 and a[0][0] == -1 for a in arcs[:-1])
+    best = max((value_of(p, model) for p in itertools.product(*arcs)), key=lambda x: x[0])
+    assert toxicity.viterbi(token, model) == reading(best[1])

@@ -28,25 +28,36 @@ GRAMS = CODES**ORDER
 PRIOR = 4.0
 #: Letters that a character may stand for. Common substitutions.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
+#: Marks that may stand for any letter, and marks of LEET that seldom stand for nothing. Fixed values.
+WILD, LIKE_LETTERS = "*#?%&", "@$€£"
 #: Channel costs in nats.
 COST_LEET, COST_ANY, COST_DROP, COST_SPLIT, COST_GAP, COST_GAP_SPLIT, COST_REPEAT_DROP, COST_REPEAT_KEEP = 1.5, 4.5, 2.0, 2.5, 0.2, 3.0, 0.4, 2.0
+#: Cost of dropping a mark of LIKE_LETTERS, and of dropping any mark of a token's tail, where punctuation and ornaments stand.
+COST_LETTERLIKE_DROP, COST_TAIL_DROP = 6.0, 0.5
+#: The channel hides at most this many letters of a stretch behind WILD marks, and repeats a mark or a digit at most this often: what is beyond is dropped.
+MASKED, REPEATED = 8, 8
+#: Characters of a stretch that are decoded together; a longer one is read in pieces of this length.
+STRETCH = 256
 #: Steps of the search with more states times arcs than this are worked as arrays; the result is the same.
 DENSE = 4096
-#: Mean log-probability of a character from which on a reading of digits and marks alone counts as a word, and its letters at least.
+#: Mean log-probability of a character from which on a reading of digits and marks alone counts as a word, and its letters at least if there are
+#: digits only: a shorter number stays a number.
 LIKELY, LIKELY_LETTERS = -2.3, 4
 #: Labelled rows that the model is fitted on at most, hash buckets of words, features at most, and the least evidence for one.
 SAMPLE_ROWS, BUCKET_BITS, MAX_FEATURES, MIN_EVIDENCE, MIN_ROWS = 6_000, 22, 512, 25.0, 6.0
 #: Lengths of the beginnings of words that count as features too.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
-#: Distinct words that a worker remembers.
-CACHED = 300_000
+#: Distinct words that a worker remembers, and characters of the longest one.
+CACHED, LONGEST = 300_000, 64
 
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,3}\S){2,}(?!\S)")
-_EDGE = re.compile(r"^(?:[^\w\s]{2,}|[^\w\s@$!|+(<€£¡])+|(?:[^\w\s]{2,}|[^\w\s@$+€£])+$")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){2,}+")
+_RUN = re.compile(r"([^a-z\s])\1{%d,}" % REPEATED)
 _TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _DOUBLED = re.compile(r"(?=[a-z]+\Z)[a-z]*?([a-z])\1")
-_LEET_ALONE = re.compile("[" + re.escape("".join(LEET)) + "]{4,}")
+_LEET_ALONE = re.compile("[" + re.escape("".join(LEET)) + "]{2,}")
+_MARKED = frozenset(LEET)
+_CHANNEL = _MARKED | frozenset(WILD)
 _LETTER = re.compile(r"[a-z]")
 
 _CODE = np.full(256, END, dtype=np.int32)
@@ -104,12 +115,33 @@ def smooth(counts: np.ndarray) -> np.ndarray:
     return np.log(chance).astype(np.float32).ravel()
 
 
+def _inside(token: str, kept: frozenset[str]) -> str:
+    """A token without the marks at its edges that are not kept."""
+    lo, hi = 0, len(token)
+    while lo < hi and not (token[lo].isalnum() or token[lo] in kept):
+        lo += 1
+    while hi > lo and not (token[hi - 1].isalnum() or token[hi - 1] in kept):
+        hi -= 1
+    return token[lo:hi]
+
+
+def core_of(token: str) -> str:
+    """A token without the marks at its edges that the channel does not use there: WILD marks hide letters inside a word, or
+    around a single one (f***); at the edges of more they are ornament."""
+    core = _inside(token, _MARKED)
+    return core if len(core) > 1 else _inside(token, _CHANNEL)
+
+
 def _arcs(segment: str) -> list[list[tuple[int, float]]]:
     """For each character of a segment the codes it may emit (-1: none) and their costs. Gaps do not hide a repetition."""
-    arcs, solid, at = [], [c for c in segment if not c.isspace()], -1
-    for ch in segment:
+    arcs, solid, at, masked = [], [c for c in segment if not c.isspace()], -1, 0
+    tail = len(segment)
+    while tail > 0 and not segment[tail - 1].isalnum():
+        tail -= 1
+    for place, ch in enumerate(segment):
         at += not ch.isspace()
         same = at > 0 and not ch.isspace() and solid[at - 1] == ch
+        ends = [(-1, COST_TAIL_DROP)] if place >= tail > 0 else []
         if "a" <= ch <= "z":
             code = ord(ch) - 97
             triple = same and (at > 1 and solid[at - 2] == ch or at + 1 < len(solid) and solid[at + 1] == ch)
@@ -118,13 +150,15 @@ def _arcs(segment: str) -> list[list[tuple[int, float]]]:
             arcs.append([(-1, COST_GAP), (END, COST_GAP_SPLIT)])
         elif ch in LEET:
             repeat = [(-1, COST_REPEAT_DROP)] if same else []
-            arcs.append([*((ord(c) - 97, COST_LEET) for c in LEET[ch]), *(repeat or [(-1, COST_DROP + 1.0)]), (END, COST_SPLIT + 1.0)])
+            drop, split = (COST_LETTERLIKE_DROP, COST_LETTERLIKE_DROP) if ch in LIKE_LETTERS else (COST_DROP + 1.0, COST_SPLIT + 1.0)
+            arcs.append([*((ord(c) - 97, COST_LEET) for c in LEET[ch]), *(repeat or ends or [(-1, drop)]), (END, split)])
         elif ch.isalpha():
             arcs.append([(OTHER, 0.0), *([(-1, COST_REPEAT_DROP)] if same else [])])
-        elif ch in "*#?%&":
-            arcs.append([*((c, COST_ANY) for c in range(26)), (-1, COST_DROP), (END, COST_SPLIT)])
+        elif ch in WILD:
+            masked += 1
+            arcs.append([*((c, COST_ANY) for c in range(26)), *(ends or [(-1, COST_DROP)]), (END, COST_SPLIT)] if masked <= MASKED else [(-1, COST_DROP)])
         else:
-            arcs.append([(-1, COST_DROP / 2), (END, COST_SPLIT / 2)])
+            arcs.append(ends and [*ends, (END, COST_SPLIT / 2)] or [(-1, COST_DROP / 2), (END, COST_SPLIT / 2)])
     return arcs
 
 
@@ -174,6 +208,8 @@ def viterbi(segment: str, model: list[float] | np.ndarray, whole: np.ndarray | N
     modulus = CODES ** (ORDER - 1)
     states: dict[int, tuple[float, tuple | None]] = {_START: (0.0, None)}
     for arcs in [*_arcs(segment), [(END, 0.0)]]:
+        if len(arcs) == 1 and arcs[0][0] == -1:
+            continue  # the same cost for all
         if len(states) * len(arcs) > DENSE:
             states = _dense_step(states, arcs, np.asarray(model, dtype=np.float64) if whole is None else whole)
             continue
@@ -203,26 +239,35 @@ class Restorer:
 
     model: np.ndarray
     quick: list[float] = field(default_factory=list, repr=False)
+    last: tuple[str, list[str]] = ("", [])
 
     def word(self, token: str) -> list[str]:
-        """Words that a token without white space (lower case) stands for."""
-        core = _EDGE.sub("", token)
+        """Words that a token without white space (lower case) stands for. Every token with a character of the channel, and with a letter
+        or a likely reading, is decoded."""
+        core = core_of(token)
         if core.isalpha() and not _TRIPLE.search(core) and not _DOUBLED.match(core):
             return [core]
         if _LETTER.search(core):
             return self.segment(core)
-        if _LEET_ALONE.fullmatch(core) and self.likely(words := self.segment(core)):
+        if _LEET_ALONE.fullmatch(core) and self.likely(words := self.segment(core), LIKELY_LETTERS if core.isdigit() else 1):
             return words
-        return [core] if core else []
+        return [core] if any(map(str.isalnum, core)) else []
 
     def segment(self, text: str) -> list[str]:
         """Words that a suspicious stretch stands for, decoded."""
         if not self.quick:
             self.quick = self.model.tolist()
-        return viterbi(text, self.quick, self.model).split()
+        text = _RUN.sub(lambda m: m.group()[:REPEATED], text)
+        return [w for k in range(0, len(text), STRETCH) for w in self.piece(text[k : k + STRETCH])]
+
+    def piece(self, text: str) -> list[str]:
+        """Words of a stretch of at most STRETCH characters; the last full piece is remembered, since long stretches repeat themselves."""
+        if text != self.last[0]:
+            self.last = (text, viterbi(text, self.quick, self.model).split())
+        return self.last[1]
 
-    def likely(self, words: list[str]) -> bool:
-        """Whether the character model takes the words for words of the corpus."""
+    def likely(self, words: list[str], letters: int) -> bool:
+        """Whether the words have so many letters, and the character model takes them for words of the corpus."""
         total, n = 0.0, 0
         for word in words:
             state = _START
@@ -230,7 +275,7 @@ class Restorer:
                 total += self.quick[state * CODES + code]
                 state = (state * CODES + code) % CODES ** (ORDER - 1)
             n += len(word)
-        return n >= LIKELY_LETTERS and total >= LIKELY * (n + len(words))
+        return n >= letters and total >= LIKELY * (n + len(words))
 
     def spaced(self, text: str) -> list[str]:
         """Words behind runs of single characters."""
@@ -286,8 +331,10 @@ class Scorer:
         for token in words - self.seen:
             if hits := frozenset(b for w in self.restorer.word(token) for b in word_buckets(w) if b in weights):
                 self.hot[token] = hits
-        self.seen |= words
         found: set[int] = set().union(*(self.hot[t] for t in words & self.hot.keys()))
+        self.seen.update(w for w in words if len(w) <= LONGEST)
+        for token in [w for w in words & self.hot.keys() if len(w) > LONGEST]:
+            del self.hot[token]
         found.update(b for w in self.restorer.spaced(low) for b in word_buckets(w) if b in weights)
         if len(self.seen) > CACHED:
             self.seen, self.hot = set(), {}
