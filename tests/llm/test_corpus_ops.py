@@ -269,3 +269,24 @@ def test_lines_of_edge_rows(edge_docs, no_docs):
     got = line_dedup.drop_boilerplate(edge_docs, min_sites=2).collect()
     assert len(got) == edge_docs.count()
     assert line_dedup.drop_boilerplate(no_docs).count() == 0
+
+
+def test_lines_of_one_huge_text_go_in_linear_time(spark):
+    import time
+
+    n = 400_000
+    body = "\n".join(f"line number {k} that stands on two sites" for k in range(n))
+    docs = spark.createDataFrame([(1, "a", body), (2, "b", "first of all\n" + body + "\nlast of all")], "doc_id long, source string, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs, min_sites=2).collect()}
+    assert got[1].text == body and got[2].text == "first of all\nlast of all" and got[2].n_removed == n
+    assert time.perf_counter() - start < 60
+
+
+def test_stretches_between_removed_lines(spark):
+    import itertools
+
+    rows = [("abcde"[:n], list(gone)) for n in range(1, 6) for k in range(n + 1) for gone in itertools.combinations(range(n), k)]
+    df = spark.createDataFrame(rows, "s string, gone array<int>").select("s", "gone", F.filter(F.split("s", ""), lambda c: c != "").alias("lines"))
+    for r in df.select("s", "gone", line_dedup.without_lines(F.col("lines"), F.shuffle("gone")).alias("kept")).collect():
+        assert r.kept == [c for k, c in enumerate(r.s) if k not in r.gone]

@@ -38,6 +38,18 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("sites") >= min_sites / BAND)
 
 
+def without_lines(lines: Column, gone: Column) -> Column:
+    """lines without those at the positions gone (from 0, distinct): the stretches between two neighbouring positions, in one walk."""
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort(gone), F.array(F.size(lines)))
+
+    def stretches(s: Column) -> Column:
+        between = lambda k: F.slice(s["lines"], F.get(s["ends"], k - 1) + 2, F.get(s["ends"], k) - F.get(s["ends"], k - 1) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(s["ends"]) - 1), between))
+
+    # the arrays are bound by an outer lambda, since an expression inside one is evaluated for each element
+    return F.transform(F.array(F.struct(lines.alias("lines"), ends.alias("ends"))), stretches)[0]
+
+
 def drop_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Remove lines that stand on at least min_sites sites, but for their first document.
 
@@ -68,7 +80,7 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
     )
     old = F.col("row").getField(text)
     lines = F.split(old, "\n")
-    kept = F.array_join(F.filter(lines, lambda line, pos: ~F.array_contains("gone", pos)), "\n")
+    kept = F.array_join(without_lines(lines, F.col("gone")), "\n")
     return joined.select(
         *[(F.when(F.col("gone").isNull(), old).otherwise(kept) if c.lower() == text.lower() else F.col("row").getField(c)).alias(c) for c in without(docs, "n_lines", "n_removed")],
         F.when(old.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
