@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import named, shared_checkpoint, table, without
+from tickloom.llm.common import join_hot, named, shared_checkpoint, table, without
 
 #: Hex digits of the hash, and digits that count after each refinement: 4096 buckets, 4096 within the boundary bucket, and what is left in that.
 HASH_DIGITS, STEPS = 15, (3, 6, 15)
 #: A document is taken at most this often.
 MAX_REPEATS = 3
-#: Tables of one row a source are broadcast up to this many rows (some MB), and joined by a shuffle beyond.
+#: Tables of one row a source are broadcast up to this many rows (some MB); beyond, those of the large sources are, and the others are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -46,11 +46,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     Sources in code-point order (null last) take the weights in turn and share the total size in proportion to them; a target
     stops at max_repeats times the size, and the excess is shared by the others until none is above. A target so is
     min(max_repeats * size, level * weight), where a source that is full at one level stays full at the next. Sources with equal
-    ratios of size to weight fill together. Empty sources get 0.
+    ratios of size to weight fill together. Empty sources get 0. Other columns of sizes pass.
     """
+    others = [c for c in sizes.columns if c not in ("source", "source_size")]
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     full = F.col("source_size") * float(max_repeats)
-    shares = shared_checkpoint(ranked(sizes).select("source", "source_size", weight.alias("weight"), full.alias("full")))
+    shares = shared_checkpoint(ranked(sizes).select("source", "source_size", *others, weight.alias("weight"), full.alias("full")))
     level, before = 0.0, None
     while True:
         open_ = F.col("full") > level * F.col("weight")
@@ -58,34 +59,35 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
         if sums["weight"] is None or sums["n"] == before:
             break
         level, before = ((sums["all"] or 0) - (sums["filled"] or 0.0)) / sums["weight"], sums["n"]
-    return shares.select("source", "source_size", F.least(F.col("full"), F.lit(level) * F.col("weight")).alias("target"))
+    return shares.select("source", "source_size", *others, F.least(F.col("full"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def thresholds(slim: DataFrame, budgets: DataFrame, few: bool = False) -> DataFrame:
-    """Hash value of each source below which documents get one repeat more: columns source, base, cut.
+    """Hash value of each source below which documents get one repeat more: columns key, base, cut.
 
-    slim(source, size, digits) has a hash of HASH_DIGITS hex digits; budgets is of targets(). base is the number of
+    slim(key, size, digits) has a hash of HASH_DIGITS hex digits; budgets is of targets(), with key and docs (rows of slim). base is the number of
     whole repeats; cut is null where nothing remains to be taken beyond them. At the last digit the boundary value is
     taken if that brings the sum nearer to the budget. few: there are so few sources that their rows may be broadcast. Histograms
     are combined before the shuffle; each step reads only the documents of the boundary buckets of the step before.
     """
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
-    goal = budgets.select("source", whole.alias("base"), (F.col("target") - whole * F.col("source_size")).alias("rest"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    goal = budgets.select("key", "docs", whole.alias("base"), (F.col("target") - whole * F.col("source_size")).alias("rest"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    total = 0 if few else slim.count()
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     for digits in STEPS:
-        bounds = goal.select(F.col("source").alias("of"), "prefix")
-        inside = slim.join(F.broadcast(bounds) if few else bounds, F.col("source").eqNullSafe(F.col("of")) & F.col("digits").startswith(F.col("prefix")))
-        histogram = inside.groupBy("source", F.substring("digits", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
-        sums = histogram.withColumn("under", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumnRenamed("source", "of")
-        last = goal.drop("words")
-        sums = sums.join(F.broadcast(last) if few else last, F.col("source").eqNullSafe(F.col("of")))
+        bounds = goal.select("key", "prefix", "docs")
+        inside = slim.join(F.broadcast(bounds), "key") if few else join_hot(slim, bounds, ["key"], "docs", total)
+        histogram = inside.where(F.col("digits").startswith(F.col("prefix"))).groupBy("key", F.substring("digits", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"))
+        sums = histogram.withColumn("under", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        last = goal.drop("words", "prefix")
+        sums = sums.join(F.broadcast(last) if few else last, "key")
         # the boundary: the last bucket that begins within the budget
-        found = sums.where(F.col("below") + F.col("under") <= F.col("rest")).groupBy("source", "base", "rest").agg(
+        found = sums.where(F.col("below") + F.col("under") <= F.col("rest")).groupBy("key", "docs", "base", "rest").agg(
             F.max_by(F.struct(F.col("bucket").alias("prefix"), (F.col("below") + F.col("under")).alias("below"), "words"), "bucket").alias("b")
         )
-        goal = shared_checkpoint(found.select("source", "base", "rest", "b.prefix", "b.below", "b.words"))
+        goal = shared_checkpoint(found.select("key", "docs", "base", "rest", "b.prefix", "b.below", "b.words"))
     near = F.abs(F.col("below") + F.col("words") - F.col("rest")) < F.abs(F.col("rest") - F.col("below"))
-    return goal.select("source", "base", F.when(near, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("cut"))
+    return goal.select("key", "base", F.when(near, F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix")).alias("cut"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -100,14 +102,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     made = ["mix_size", "mix_source_size", "mix_target", "mix_repeats"]
     kept = without(docs, *made)
     digits = F.substring(F.md5(F.concat_ws("|", named(doc_id).cast("string"), F.md5(F.coalesce(named(text), F.lit(""))))), 1, HASH_DIGITS)
-    rows = docs.select(F.struct(*map(named, kept)).alias("row"), named(source).alias("source"), word_count(named(text)).alias("size"), digits.alias("digits"))
+    key = F.coalesce(F.concat(F.lit("="), named(source).cast("string")), F.lit(""))  # null is a source too
+    rows = docs.select(F.struct(*map(named, kept)).alias("row"), named(source).alias("source"), key.alias("key"), word_count(named(text)).alias("size"), digits.alias("digits"))
     slim = shared_checkpoint(rows.drop("row"))
-    budgets = shared_checkpoint(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
+    sizes = slim.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    budgets = shared_checkpoint(targets(sizes, weights, max_repeats))
     few = budgets.count() <= BROADCAST_SOURCES
-    cuts = thresholds(slim, budgets, few).withColumnRenamed("source", "cut_source")
-    plan = budgets.withColumnRenamed("source", "of").join(cuts, F.col("of").eqNullSafe(F.col("cut_source")), "left")
+    cuts = thresholds(slim.drop("source"), budgets, few)
+    plan = budgets.drop("source").join(F.broadcast(cuts) if few else cuts, "key", "left")
+    joined = rows.join(F.broadcast(plan), "key") if few else join_hot(rows, plan, ["key"], "docs", slim.count(), by=["digits"])
     once = F.when(F.col("digits") < F.col("cut"), 1).otherwise(0)
-    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of"))).select(
+    return joined.select(
         *(F.col("row").getField(c).alias(c) for c in kept),
         F.col("size").alias("mix_size"),
         F.col("source_size").alias("mix_source_size"),
