@@ -113,3 +113,17 @@ def test_query_columns(spark, tmp_path):
         assert (row.media_bytes, row.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
         assert row.feature.startswith(f"{len(payload) // 576}x576x1 {np.frombuffer(payload, np.uint8).mean():.6f} ")
     assert got[1][1:] == got[4][1:] and len(got) == 5
+
+
+def test_blocks_that_share_their_bytes_are_no_bomb():
+    rows, width = 64, 1_000_000
+    chunk = zlib.compress(bytes(rows * width), 9)
+    strips, at = 40, 8
+    ifd = at + len(chunk)
+    lists = ifd + 2 + 12 * 8 + 4
+    entry = lambda tag, kind, n, value: struct.pack("<HHII", tag, kind, n, value)
+    tags = [entry(256, 4, 1, width), entry(257, 4, 1, rows * strips), entry(258, 3, 1, 8), entry(259, 3, 1, 8), entry(273, 4, strips, lists), entry(277, 3, 1, 1), entry(278, 4, 1, rows), entry(279, 4, strips, lists + 4 * strips)]
+    data = b"II*\0" + struct.pack("<I", ifd) + chunk + struct.pack("<H", len(tags)) + b"".join(tags) + b"\0" * 4 + struct.pack(f"<{strips}I", *[at] * strips) + struct.pack(f"<{strips}I", *[len(chunk)] * strips)
+    assert len(data) < 70_000
+    (page,) = tiff.read_pages(data)
+    assert "cannot hold" in page["error"] and page["pixels"] is None

@@ -221,6 +221,13 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
     planes, together = (samples, 1) if planar == 2 else (1, samples)
     if len(places) != len(sizes) or len(places) != across * down * planes:
         raise ValueError(f"{len(places)} blocks in place of {across * down * planes}")
+    # blocks may share stored bytes, but a page holds no more than its distinct bytes can
+    stored, end = 0, 0
+    for place, size in sorted(zip(places, sizes, strict=True)):
+        stored += max(0, min(place + size, len(data)) - max(place, end))
+        end = max(end, min(place + size, len(data)))
+    if width * height * samples * bits > 8 * stored * EXPANSION[code]:
+        raise ValueError(f"{stored} stored bytes cannot hold {width} x {height} x {samples} samples")
     blocks = []
     for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
         top = k // across % down * block_h
