@@ -1,6 +1,7 @@
 """Licences, SentencePiece, token counts, TIFF: row by row against plain versions."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -178,6 +179,16 @@ def test_each_known_sentence_has_a_cue():
     cue = re.compile(license_scan.CUES)
     assert all(cue.search(s) for s in license_scan.SENTENCES)
     assert len(license_scan.SENTENCES) < 200
+    for lead in itertools.product(*license_scan.LEADS):
+        for name in license_scan.NAMES:
+            assert cue.search("".join(lead) + name), name
+            assert cue.search(("".join(lead) + name).replace(" ", "\n# "))
+    assert all(cue.search(s) for s in [*license_scan.PARTS, *license_scan.TAGS])
+
+
+def test_references_as_people_write_them(spark):
+    texts = ["Released under CC0 1.0.", "Distributed under CC BY 4.0.", "This project is licensed under the MIT License - see the LICENSE file for details.", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "Available under\nthe terms of the GPLv3."]
+    assert licences(spark, *texts) == ["CC0-1.0", "CC-BY-4.0", "MIT", "CC-BY-4.0", "GPL-3.0-only"]
 
 
 def test_licences_of_edge_rows(edge_docs, no_docs):

@@ -98,11 +98,22 @@ NAMES = {
     "gnu lesser general public license version 2 1": "Lgpl21Ref",
     "gnu lesser general public license version 3": "Lgpl3Ref",
     "gnu affero general public license version 3": "Agpl3Ref",
+    "gplv2": "Gpl2Ref",
+    "gpl v2": "Gpl2Ref",
+    "gplv3": "Gpl3Ref",
+    "gpl v3": "Gpl3Ref",
+    "lgplv3": "Lgpl3Ref",
+    "agplv3": "Agpl3Ref",
+    "creative commons attribution 4 0 international license": "CcByRef",
+    "creative commons attribution sharealike 4 0 international license": "CcBySaRef",
+    "creative commons attribution noncommercial 4 0 international license": "CcByNcRef",
     "cc by 4 0": "CcByRef",
     "cc by sa 4 0": "CcBySaRef",
     "cc by nc 4 0": "CcByNcRef",
     "cc0 1 0": "Cc0Ref",
 }
+#: What may follow a reference in its sentence.
+TAILS = ("see the license file", "see the license file for details", "see license for details", "see the license file for more details")
 #: Identifiers of licences in one-line tags (fixed values of the SPDX list).
 SPDX = ["MIT", "ISC", "Zlib", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0"]
 _letters = lambda name: "".join(c for c in name if c.isalnum())
@@ -133,8 +144,8 @@ RULES = [
     *((name, f"<Spdx{_letters(name)}>") for name in SPDX),
     ("Unmatched", "(<[A-Za-z0-9]+>)+"),
 ]
-#: Each known sentence holds one of these words, so texts without any need no cutting.
-CUES = "(?i)licen[cs]e|permi(t|ssion)|copyright|redistribut|warrant|rights(?:[^a-z0-9]+(?:rem|dnl))?[^a-z0-9]+reserved|compliance|unencumbered"
+#: Each known sentence and reference holds one of these words, so texts without any need no cutting.
+CUES = "(?i)licen[cs]e|cc0|cc(?:[^a-z0-9]+(?:rem|dnl))?[^a-z0-9]+by|gpl|creative|permi(t|ssion)|copyright|redistribut|warrant|rights(?:[^a-z0-9]+(?:rem|dnl))?[^a-z0-9]+reserved|compliance|unencumbered"
 #: A sentence ends at a line feed or at a full stop, colon, semicolon or such before white space or the end.
 SENTENCE_END = r"\n+|[.;:!?]+(\s+|$)"
 #: What the lower-case text turns into, step by step: words and marks with single blanks between them. The marks are capitals, which
@@ -163,13 +174,14 @@ def sentence_ids(text: Column) -> Column:
         by_first.setdefault(key.split(" ", 1)[0], []).append(key.split(" ", 1)[1])
     whole = "|".join(f"{first} (?:{'|'.join(rest)})" for first, rest in by_first.items())
     lead = "".join(f"(?:{'|'.join(sorted(choice, key=len, reverse=True))})" for choice in LEADS)
-    names = "|".join(sorted(NAMES, key=len, reverse=True))
+    names = f"(?:{'|'.join(sorted(NAMES, key=len, reverse=True))})(?: (?:{'|'.join(sorted(TAILS, key=len, reverse=True))}))?"
     # of a whole sentence and a reference that start together, the longer one
-    either = f"(?:{whole})(?= [{_ENDS}])|{lead}(?:{names})(?= [{_ENDS}])".replace(" ", f" (?:[{_INSIDE}] )?").replace(f"(?= (?:[{_INSIDE}] )?[", "(?= [")
+    either = f"(?:{whole})(?= [{_ENDS}])|{lead}{names}(?= [{_ENDS}])".replace(" ", f" (?:[{_INSIDE}] )?").replace(f"(?= (?:[{_INSIDE}] )?[", "(?= [")
     found = F.regexp_extract_all(F.concat(F.lit("H "), F.trim(marked), F.lit(" H")), F.lit(f"(?<=[{_ENDS}] )(?:{either})"), F.lit(0))
     known = F.create_map(*(F.lit(x) for pair in {**keys, **NAMES}.items() for x in pair))
     plain = lambda s: F.regexp_replace(s, f" [{_INSIDE}](?= )", "")
-    return F.transform(found, lambda s: F.coalesce(known[plain(s)], known[F.regexp_replace(plain(s), f"^{lead}", "")]))
+    tail = f" (?:{'|'.join(TAILS)})$"
+    return F.transform(found, lambda s: F.coalesce(known[plain(s)], known[F.regexp_replace(F.regexp_replace(plain(s), f"^{lead}", ""), tail, "")]))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -203,7 +215,7 @@ def _oracle() -> str:
     leads = [""]
     for choice in LEADS:
         leads = [x + y for x in leads for y in choice]
-    known = {**{lead + name: key for lead in leads for name, key in NAMES.items()}, **SENTENCES, **TAGS}
+    known = {**{lead + name + tail: key for lead in leads for name, key in NAMES.items() for tail in ("", *(" " + t for t in TAILS))}, **SENTENCES, **TAGS}
     keys, values = ", ".join(map(quote, known)), ", ".join(map(quote, known.values()))
     steps, at = [], "i0"
     for k, (name, pattern) in enumerate(RULES):
