@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.schema import KEYS, require_columns
 from tickloom.functions.windows import diff, prev, roll, rows, running_sum, sma, strict_extreme, true_range, upto
+from tickloom.plans.blocks import HALO, before_block, blocked, ewm_blocks, supertrend_blocks, unblocked
 from tickloom.plans.kernels import EwmPlan, Spacing, Step, SuperTrend
 from tickloom.plans.scan import scan
 
@@ -35,17 +36,24 @@ class EwmSpec:
     outputs: list[str] = field(default_factory=list)
 
 
-def ewm_columns(bars: DataFrame, specs: list[EwmSpec]) -> DataFrame:
-    """All exponential columns of several indicators in one scan; equal inputs and steps are made once."""
+def ewm_columns(bars: DataFrame, specs: list[EwmSpec], block: Column | None = None) -> DataFrame:
+    """All exponential columns of several indicators in one scan; equal inputs and steps are made once.
+
+    With block (a value that does not fall as ts rises, such as the month of ts), each block of a series is a task's work, not each
+    series; see plans.blocks. Inputs may then reach one bar back.
+    """
     inputs, steps, outputs = {}, {}, []
     for spec in specs:
         inputs |= spec.inputs
         steps |= {s.out: s for s in spec.steps if s.out not in steps}
         outputs += [o for o in spec.outputs if o not in outputs]
     kept = [c for c in bars.columns if c not in outputs]
-    ready = bars.select(*kept).withColumns(inputs) if inputs else bars.select(*kept)
+    ready = bars.select(*kept) if block is None else blocked(bars.select(*kept), block)
+    ready = ready.withColumns(inputs) if inputs else ready
     reads = sorted({s.of for s in steps.values() if s.apply is None and s.of not in steps} | {c for c in inputs})
     plan = tuple(steps.values())
+    if block is not None:
+        return unblocked(ewm_blocks(ready.where(~F.col(HALO)), reads, plan, outputs)).select(*kept, *outputs)
     return scan(ready, KEYS, ["ts"], reads, ", ".join(f"`{o}` double" for o in outputs), lambda: EwmPlan(plan)).drop(*inputs)
 
 
@@ -54,9 +62,9 @@ def _ema_spec(period: int, price_col: str) -> EwmSpec:
     return EwmSpec({x: F.col(price_col).cast("double")}, [Step(f"ema_{period}", _span(period), period, x)], [f"ema_{period}"])
 
 
-def ema(bars: DataFrame, period: int = 50, price_col: str = "close") -> DataFrame:
-    """ema_{period}; NULL until period values are seen."""
-    return ewm_columns(bars, [_ema_spec(period, price_col)])
+def ema(bars: DataFrame, period: int = 50, price_col: str = "close", block: Column | None = None) -> DataFrame:
+    """ema_{period}; NULL until period values are seen. block: see ewm_columns()."""
+    return ewm_columns(bars, [_ema_spec(period, price_col)], block)
 
 
 def _macd_spec(fast: int, slow: int, signal: int) -> EwmSpec:
@@ -75,9 +83,9 @@ def _macd_spec(fast: int, slow: int, signal: int) -> EwmSpec:
     )
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """macd_line, its mean macd_signal, and their difference macd_hist."""
-    return ewm_columns(bars, [_macd_spec(fast, slow, signal)])
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, block: Column | None = None) -> DataFrame:
+    """macd_line, its mean macd_signal, and their difference macd_hist. block: see ewm_columns()."""
+    return ewm_columns(bars, [_macd_spec(fast, slow, signal)], block)
 
 
 def _rsi_spec(period: int, price_col: str = "close") -> EwmSpec:
@@ -96,9 +104,9 @@ def _rsi_spec(period: int, price_col: str = "close") -> EwmSpec:
     )
 
 
-def rsi(bars: DataFrame, period: int = 14, price_col: str = "close") -> DataFrame:
-    """rsi_{period} by Wilder means; NULL where the mean loss is 0."""
-    return ewm_columns(bars, [_rsi_spec(period, price_col)])
+def rsi(bars: DataFrame, period: int = 14, price_col: str = "close", block: Column | None = None) -> DataFrame:
+    """rsi_{period} by Wilder means; NULL where the mean loss is 0. block: see ewm_columns()."""
+    return ewm_columns(bars, [_rsi_spec(period, price_col)], block)
 
 
 def _stoch_of_rsi(bars: DataFrame, rsi_col: str, period: int, k_period: int, d_period: int) -> DataFrame:
@@ -123,9 +131,9 @@ def _atr_spec(period: int, least: int | None = None) -> EwmSpec:
     return EwmSpec({tr: true_range()}, [Step(f"atr_{period}", 1.0 / period, period if least is None else least, tr)], [f"atr_{period}"])
 
 
-def atr(bars: DataFrame, period: int = 14, least: int | None = None) -> DataFrame:
-    """atr_{period}: Wilder mean of the true range; NULL until `least` (period by default) values are seen."""
-    return ewm_columns(bars, [_atr_spec(period, least)])
+def atr(bars: DataFrame, period: int = 14, least: int | None = None, block: Column | None = None) -> DataFrame:
+    """atr_{period}: Wilder mean of the true range; NULL until `least` (period by default) values are seen. block: see ewm_columns()."""
+    return ewm_columns(bars, [_atr_spec(period, least)], block)
 
 
 def atrs(bars: DataFrame, periods: Sequence[int], least: int | None = None) -> DataFrame:
@@ -164,20 +172,29 @@ def _adx_spec(period: int) -> EwmSpec:
     )
 
 
-def adx(bars: DataFrame, period: int = 14) -> DataFrame:
-    """plus_di, minus_di and adx by Wilder means."""
-    return ewm_columns(bars, [_adx_spec(period)])
+def adx(bars: DataFrame, period: int = 14, block: Column | None = None) -> DataFrame:
+    """plus_di, minus_di and adx by Wilder means. block: see ewm_columns()."""
+    return ewm_columns(bars, [_adx_spec(period)], block)
 
 
-def supertrend(bars: DataFrame, period: int = 10, multiplier: float = 3.0) -> DataFrame:
-    """supertrend and supertrend_dir (1 up, -1 down); NULL in the first bar, the line also until the ATR is known."""
+def supertrend(bars: DataFrame, period: int = 10, multiplier: float = 3.0, block: Column | None = None) -> DataFrame:
+    """supertrend and supertrend_dir (1 up, -1 down); NULL in the first bar, the line also until the ATR is known. block: see ewm_columns()."""
     name = f"atr_{period}"
     had = name in bars.columns
-    out = bars if had else atr(bars, period)
+    if block is None:
+        out = bars if had else atr(bars, period)
+    else:
+        spec = _atr_spec(period)
+        out = blocked(bars, block).withColumns({**({} if had else spec.inputs), **before_block()}).where(~F.col(HALO))
+        out = out if had else ewm_blocks(out, list(spec.inputs), tuple(spec.steps), spec.outputs).drop(*spec.inputs)
     middle = (F.col("high") + F.col("low")) / 2.0
     out = out.withColumns({f"{TEMP}upper": middle + multiplier * F.col(name), f"{TEMP}lower": middle - multiplier * F.col(name)})
     out = out.withColumnsRenamed({f"{TEMP}upper": "upper", f"{TEMP}lower": "lower"})
-    out = scan(out, KEYS, ["ts"], ["close", "upper", "lower"], "supertrend double, supertrend_dir double", SuperTrend)
+    if block is None:
+        out = scan(out, KEYS, ["ts"], ["close", "upper", "lower"], "supertrend double, supertrend_dir double", SuperTrend)
+    else:
+        kept = [c for c in bars.columns if c not in ("supertrend", "supertrend_dir")]
+        out = unblocked(supertrend_blocks(out)).select(*kept, "upper", "lower", *([] if had else [name]), "supertrend", "supertrend_dir")
     return out.drop("upper", "lower", *([] if had else [name]))
 
 

@@ -101,35 +101,69 @@ class BarMoves(EwmPlan):
         return super().push(made)
 
 
+class Clamp:
+    """A value that a step (p, u) leaves as it is between p and u, and makes u otherwise. NaN limits, and no value yet (NaN), give u."""
+
+    def __init__(self) -> None:
+        self.value = np.nan
+
+    def push(self, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        out, x = [], self.value
+        for lo, hi in zip(p.tolist(), u.tolist(), strict=True):
+            if not lo <= x <= hi:
+                x = hi
+            out.append(x)
+        self.value = x
+        return np.array(out)
+
+
+def sides(falls: np.ndarray, rises: np.ndarray, side: bool) -> np.ndarray:
+    """Side after each row, true for up: a row ends a rise where falls, and begins one where rises.
+
+    Where the side before makes no difference it is forgotten; between such rows only the number of turns counts.
+    """
+    if not len(rises):
+        return np.empty(0, dtype=bool)
+    at = np.maximum.accumulate(np.where(rises != falls, np.arange(len(rises)), -1))
+    turns = np.concatenate(([0], np.cumsum(rises & falls)))
+    base = np.where(at >= 0, rises[at], side)
+    return base ^ ((turns[1:] - turns[at + 1]) % 2 == 1)
+
+
 class SuperTrend(Kernel):
-    """Bands that only tighten while the close stays inside them, and the line that flips between them."""
+    """Bands that only tighten while the close before is inside them, and the side that the close has broken out to.
+
+    The line is the lower band on the way up and the upper one on the way down. While the bands are not known the side is decided by
+    the upper one alone. A series' first bar has no side. After a bar without a close the bands begin anew.
+    """
 
     def __init__(self) -> None:
-        self.upper = self.lower = self.close = self.line = self.side = np.nan
-        self.begun = False
+        self.upper, self.lower = Clamp(), Clamp()
+        self.close, self.side, self.begun = np.nan, False, False
+
+    def walk(self, falls: np.ndarray, rises: np.ndarray) -> np.ndarray:
+        """Sides of all rows."""
+        out = sides(falls, rises, self.side)
+        self.side = bool(out[-1]) if len(out) else self.side
+        return out
 
     def push(self, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        close, upper, lower = columns["close"], columns["upper"], columns["lower"]
-        line, side = np.full(len(close), np.nan), np.full(len(close), np.nan)
-        for k in range(len(close)):
-            c, u, v = close[k], upper[k], lower[k]
-            if self.begun:
-                if self.close <= self.upper and u > self.upper:
-                    u = self.upper
-                if self.close >= self.lower and v < self.lower:
-                    v = self.lower
-                if np.isnan(self.line) or np.isnan(self.side):
-                    up = c > u
-                    new = v if up else u
-                elif self.side > 0:
-                    up = not c < v
-                    new = (v if np.isnan(self.line) else max(v, self.line)) if up else u
-                else:
-                    up = c > u
-                    new = v if up else min(u, self.line)
-                self.side, self.line = (1.0 if up else -1.0), new
-                line[k], side[k] = self.line, self.side
-            self.begun, self.upper, self.lower, self.close = True, u, v, c
+        close = np.asarray(columns["close"], dtype=float)
+        if not len(close):
+            return {"supertrend": close, "supertrend_dir": close}
+        before, lower_before = np.concatenate(([self.close], close[:-1])), -self.lower.value
+        upper = self.upper.push(before, columns["upper"])
+        lower = -self.lower.push(-before, -columns["lower"])
+        rises = close > upper
+        known = ~np.isnan(np.concatenate(([lower_before], lower[:-1])))
+        falls = np.where(known, close < lower, ~rises)
+        if not self.begun:  # the first bar decides nothing
+            rises[0], falls[0] = False, False
+        up = self.walk(falls, rises)
+        line, side = np.where(up, lower, upper), np.where(up, 1.0, -1.0)
+        if not self.begun:
+            line[0] = side[0] = np.nan
+        self.close, self.begun = float(close[-1]), True
         return {"supertrend": line, "supertrend_dir": side}
 
 

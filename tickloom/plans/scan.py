@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 class Kernel:
@@ -72,3 +73,29 @@ def scan(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[
 
     ordered = df.select(*kept, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("__row"))
     return ordered.mapInArrow(run, ", ".join(fields))
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[str], makes: str, kernel: Callable[[], Kernel]) -> DataFrame:
+    """One row a series: its keys, and the columns of the schema makes from result() of a kernel that has walked columns reads."""
+    made = df.sparkSession.createDataFrame([], makes).schema
+    schema = StructType([*df.select(*keys).schema, *made])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, done = None, None, []
+        for batch in batches:
+            keyed = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            starts = [k for k in range(len(keyed)) if k == 0 or keyed[k] != keyed[k - 1]]
+            columns = {c: _values(batch.column(len(keys) + k)) for k, c in enumerate(reads)}
+            for first, last in zip(starts, [*starts[1:], len(keyed)], strict=True):
+                if state is None or keyed[first] != current:
+                    if state is not None:
+                        done.append((*current, *(state.result()[f.name] for f in made)))
+                    current, state = keyed[first], kernel()
+                state.push({c: v[first:last] for c, v in columns.items()})
+        if state is not None:
+            done.append((*current, *(state.result()[f.name] for f in made)))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], type=kind) for k, kind in enumerate(kinds)], names=schema.names)
+
+    ordered = df.select(*keys, *(F.col(f"`{c}`") for c in reads), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("__row"))
+    return ordered.mapInArrow(run, schema)

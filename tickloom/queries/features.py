@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.windows import bar_idx, last_known
@@ -204,6 +204,35 @@ def supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.supertrend(bars(spark, sf_dir)), KEYS, ["supertrend", "supertrend_dir"])
 
 
+def _month() -> Column:
+    """Blocks of a series: its months."""
+    return F.date_trunc("month", "ts")
+
+
+@query(ORACLE_SQL["ema"])
+def ema_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ema with each month of a series a task's work."""
+    return rounded(ind.ema(ind.ema(bars(spark, sf_dir), 50, block=_month()), 200, block=_month()), KEYS, ["ema_50", "ema_200"])
+
+
+@query(ORACLE_SQL["macd"])
+def macd_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """macd with each month of a series a task's work."""
+    return rounded(ind.macd(bars(spark, sf_dir), block=_month()), KEYS, ["macd_line", "macd_signal", "macd_hist"])
+
+
+@query(ORACLE_SQL["atr_and_adx"])
+def atr_and_adx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """atr_and_adx with each month of a series a task's work."""
+    return rounded(ind.adx(ind.atr(bars(spark, sf_dir), block=_month()), block=_month()), KEYS, ["atr_14", "plus_di_14", "minus_di_14", "adx_14"])
+
+
+@query(ORACLE_SQL["supertrend"])
+def supertrend_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supertrend with each month of a series a task's work."""
+    return rounded(ind.supertrend(bars(spark, sf_dir), block=_month()), KEYS, ["supertrend", "supertrend_dir"])
+
+
 @query(f"""{B}, s AS (SELECT *, {roll_sql('avg', 'close', 20)} AS f, {roll_sql('avg', 'close', 50)} AS g FROM n),
 z AS (SELECT symbol, ts, f, g, lag(f) OVER w AS pf, lag(g) OVER w AS pg FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts))
 SELECT symbol, ts, {q6('f', 'fast_MA')}, {q6('g', 'slow_MA')}, CASE WHEN f > g AND pf <= pg THEN 1 WHEN f < g AND pf >= pg THEN -1 ELSE 0 END::INT AS "MA_Cross_Signal" FROM z""")
