@@ -1,5 +1,7 @@
 """Levels, clusters and zones against brute force."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,13 +146,65 @@ def test_mixtures_of_skewed_prices_settle(spark, method):
                 break
         else:
             raise AssertionError("brute force has not settled")
-        np.testing.assert_allclose(sorted(r.price for r in rows if r.symbol == s), np.sort(mean), atol=2e-3 * x.std())
+        got = sorted(r.price for r in rows if r.symbol == s)
+        if method == "gmm":
+            np.testing.assert_allclose(got, np.sort(mean), atol=2e-3 * x.std())
+        else:  # the best partition of all is a settled one, and none from the quantiles is better
+            squares = lambda c: (np.abs(x[:, None] - np.array(c)).min(axis=1) ** 2).sum()
+            nearest = np.abs(x[:, None] - np.array(got)).argmin(axis=1)
+            np.testing.assert_allclose(got, [x[nearest == j].mean() for j in range(k)])
+            assert squares(got) <= squares(mean) * (1 + 1e-9)
 
 
 def test_unsettled_mixtures_raise():
     price = np.sort(np.random.default_rng(3).lognormal(size=500))
     with pytest.raises(RuntimeError, match="not settled after 8 rounds"):
-        sup._settle(price, np.ones(500), 5, 8, True)
+        sup._settle(price, np.ones(500), 5, 8)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_partition_of_all_cuts(seed):
+    rng = np.random.default_rng(seed)
+    price = np.unique((rng.random(12) * rng.choice([1.0, 1e5]) + rng.choice([0.0, 1e6])).round(2))
+    times = rng.integers(1, 5, len(price)).astype(float)
+
+    def squares(ends):
+        parts = [slice(a, b) for a, b in zip((0, *ends), (*ends, len(price)), strict=True)]
+        means = [np.average(price[p], weights=times[p]) for p in parts]
+        return sum((times[p] * (price[p] - m) ** 2).sum() for p, m in zip(parts, means, strict=True)), means
+
+    for k in range(1, 6):
+        least, means = min((squares(c) for c in itertools.combinations(range(1, len(price)), k - 1)), key=lambda x: x[0])
+        got = sup.best_partition(price, times, k)
+        cuts = np.searchsorted(price, (got[1:] + got[:-1]) / 2)
+        np.testing.assert_allclose(squares(tuple(cuts))[0], least, rtol=1e-6, atol=1e-9)
+        np.testing.assert_allclose(got, means, rtol=1e-9)
+    assert sup.best_partition(price, times, 99).tolist() == pytest.approx(price.tolist())
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 4, 6, 11])
+def test_density_clusters_by_brute_force(spark, least):
+    rng = np.random.default_rng(least)
+    rows = [(s, float(p)) for s in "ab" for p in np.round(rng.random(150) * 12, 2)] + [("c", 1.0)] * 5 + [("d", 2.0), ("d", 2.3), ("e", 7.0)]
+    eps, want = 0.11, {}
+    for s in "abcd":
+        x = sorted(p for k, p in rows if k == s)
+        core = [p for p in x if sum(abs(p - q) <= eps for q in x) >= least]
+        island, place = {}, 0
+        for before, p in zip([None, *core], core, strict=False):
+            place += before is None or p - before > eps
+            island[p] = place
+        groups = {}
+        for p in x:
+            near = min((abs(p - q), q) for q in core) if core else (np.inf, 0)
+            if near[0] <= eps:
+                groups.setdefault(island[near[1]], []).append(p)
+        want[s] = sorted(np.mean(g) for g in groups.values())
+    want["e"] = [7.0]
+    df = spark.createDataFrame(rows, "symbol string, price double").repartition(3)
+    got = sup.cluster_levels(df, ["symbol"], "dbscan", eps=eps, min_samples=least).collect()
+    for s, means in want.items():
+        np.testing.assert_allclose(sorted(r.price for r in got if r.symbol == s), means)
 
 
 def test_level_stats_equal_brute_force(bars):

@@ -80,9 +80,55 @@ def sr_levels_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sup.levels_multi_tf(multi(spark, sf_dir), method="dbscan", prominence=0.05), SER, ["price"])
 
 
-@query()
+def _dense_sql(source: str, keys: list[str], eps: float, least: int, out: str) -> str:
+    """CTEs of DBSCAN for any number of neighbours: cores from a self-join, islands over cores, borders to the nearest core."""
+    k, same = ", ".join(keys), " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in keys)
+    alike = " AND ".join(f"p.{c} IS NOT DISTINCT FROM c.{c}" for c in keys)
+    return f"""{out}_s AS MATERIALIZED (SELECT *, row_number() OVER () AS id, count(*) OVER (PARTITION BY {k}) AS n FROM {source}),
+{out}_c AS MATERIALIZED (SELECT a.id, any_value(a.price) AS price, {', '.join(f'any_value(a.{c}) AS {c}' for c in keys)} FROM {out}_s a JOIN {out}_s b ON {same} AND abs(a.price - b.price) <= {eps} GROUP BY a.id HAVING count(*) >= {least}),
+{out}_i AS MATERIALIZED (SELECT *, sum(brk) OVER (PARTITION BY {k} ORDER BY price, id ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN price - lag(price) OVER (PARTITION BY {k} ORDER BY price, id) <= {eps} THEN 0 ELSE 1 END AS brk FROM {out}_c)),
+{out}_m AS (SELECT p.id, {', '.join(f'any_value(p.{c}) AS {c}' for c in keys)}, any_value(p.price) AS price, arg_min(c.isl, (abs(p.price - c.price), c.price)) AS isl FROM {out}_s p JOIN {out}_i c ON {alike} AND abs(p.price - c.price) <= {eps} WHERE p.n >= 2 GROUP BY p.id),
+{out} AS MATERIALIZED (SELECT {k}, avg(price) AS price FROM {out}_m GROUP BY {k}, isl UNION ALL SELECT {k}, price FROM {out}_s WHERE n < 2)"""
+
+
+def _dense_all(eps: float, counts: tuple[int, ...]) -> str:
+    ctes = [f"{_dense_sql('raw', SER, eps, n, f'own{n}')}, {_dense_sql(f'own{n}', ['symbol'], eps, n, f'joint{n}')}" for n in counts]
+    rows = [f"SELECT {n} AS min_samples, symbol, tf, {q6('price')} FROM own{n} UNION ALL SELECT {n}, symbol, NULL, {q6('price')} FROM joint{n}" for n in counts]
+    return f"{_RAW}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query(_dense_all(0.25, (4, 6)))
+def sr_levels_dbscan_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of at least 4, and of at least 6, prices."""
+    all_bars = multi(spark, sf_dir)
+    found = [sup.levels_multi_tf(all_bars, method="dbscan", prominence=0.25, min_samples=n).withColumn("min_samples", F.lit(n)) for n in (4, 6)]
+    return rounded(found[0].unionByName(found[1]), ["min_samples", *SER], ["price"])
+
+
+def _kmeans_sql(source: str, keys: list[str], k: int, out: str) -> str:
+    """CTEs of the partition of each series' prices into k intervals of least squares, over all cuts."""
+    names, on = ", ".join(keys), " AND ".join(f"b.{c} IS NOT DISTINCT FROM p.{c}" for c in keys)
+    cost = "p.q - b.q - (p.s - b.s) ** 2 / (p.w - b.w)"
+    layers = [f"{out}_1 AS MATERIALIZED (SELECT {names}, i, w, s, q, q - s ** 2 / w AS best, [0] AS cuts FROM {out}_p WHERE i > 0)"]
+    for c in range(2, k + 1):
+        layers.append(f"""{out}_{c} AS MATERIALIZED (SELECT {', '.join(f'p.{x}' for x in keys)}, p.i, any_value(p.w) AS w, any_value(p.s) AS s, any_value(p.q) AS q, min(b.best + {cost}) AS best, arg_min(list_append(b.cuts, b.i), b.best + {cost}) AS cuts
+ FROM {out}_p p JOIN {out}_{c - 1} b ON {on} AND b.i < p.i GROUP BY {', '.join(f'p.{x}' for x in keys)}, p.i)""")
+    ends = " UNION ALL ".join(f"SELECT {names}, i, cuts, {c} AS c FROM {out}_{c}" for c in range(1, k + 1))
+    return f"""{out}_d AS (SELECT {names}, price, count(*) AS t FROM {source} WHERE price IS NOT NULL GROUP BY {names}, price),
+{out}_m AS (SELECT {names}, sum(t * price) / sum(t) AS middle FROM {out}_d GROUP BY {names}),
+{out}_x AS (SELECT d.*, price - middle AS x, middle FROM {out}_d d JOIN {out}_m m ON {' AND '.join(f'd.{c} IS NOT DISTINCT FROM m.{c}' for c in keys)}),
+{out}_p AS MATERIALIZED (SELECT {names}, row_number() OVER v AS i, price, middle, sum(t) OVER v::DOUBLE AS w, sum(t * x) OVER v AS s, sum(t * x * x) OVER v AS q FROM {out}_x WINDOW v AS (PARTITION BY {names} ORDER BY price ROWS UNBOUNDED PRECEDING)),
+{', '.join(layers)},
+{out}_e AS (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY c DESC, i DESC) AS pick FROM (SELECT a.*, max(i) OVER (PARTITION BY {names}) AS n FROM ({ends}) a) WHERE i = n),
+{out}_u AS (SELECT {names}, unnest(list_append(cuts[2:], i)) AS hi, unnest(cuts) AS lo FROM {out}_e WHERE pick = 1),
+{out} AS MATERIALIZED (SELECT {', '.join(f'u.{c}' for c in keys)}, p.middle + (p.s - coalesce(b.s, 0)) / (p.w - coalesce(b.w, 0)) AS price FROM {out}_u u JOIN {out}_p p ON {' AND '.join(f'u.{c} IS NOT DISTINCT FROM p.{c}' for c in keys)} AND p.i = u.hi
+ LEFT JOIN {out}_p b ON {' AND '.join(f'u.{c} IS NOT DISTINCT FROM b.{c}' for c in keys)} AND b.i = u.lo)"""
+
+
+@query(f"""{_RAW}, {_kmeans_sql('raw', SER, 5, 'own')}, {_kmeans_sql('own', ['symbol'], 5, 'joint')}
+SELECT symbol, tf, {q6('price')} FROM own UNION ALL SELECT symbol, NULL, {q6('price')} FROM joint""")
 def sr_levels_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sup.levels_multi_tf(multi(spark, sf_dir), method="kmeans")
+    return rounded(sup.levels_multi_tf(multi(spark, sf_dir), method="kmeans"), SER, ["price"])
 
 
 @query()
