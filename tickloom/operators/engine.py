@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.schema import KEYS
 from tickloom.functions.windows import bar_idx, islands, rows, trailing, true_range
+from tickloom.operators.prominence import blocked_extrema
 from tickloom.operators.support import price_islands
 from tickloom.plans.kernels import Valleys
 from tickloom.plans.scan import scan
@@ -82,20 +83,26 @@ def _extrema(bars: DataFrame) -> DataFrame:
     return found.select(*KEYS, "ts", "bar_idx", "price", F.when(top, "peak").otherwise("valley").alias("kind"), F.when(top, x).otherwise(-x).alias("x"), depth.alias("prominence"), "floor")
 
 
-def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_bars: int = 3, use_wicks: str = "wicks") -> DataFrame:
+def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_bars: int = 3, use_wicks: str = "wicks", block: Column | None = None) -> DataFrame:
     """Peaks and valleys of each series: keys, ts, idx, price, kind, prominence, confidence.
 
     The price is the close, or the middle of the body for use_wicks="bodies". Without min_prominence it is half the population
     deviation of the series' prices, 1e-8 at least. Confidence is the prominence over the series' largest. A series without
-    swings gives no rows. Only extrema nearer than min_distance_bars to each other meet in a group.
+    swings gives no rows. Only extrema nearer than min_distance_bars to each other meet in a group. With block (a value that does not fall as ts
+    rises, such as the month of ts) the extrema and their prominences are found by block, not by series.
     """
     if use_wicks not in ("wicks", "close", "bodies"):
         raise ValueError(f"unknown price choice {use_wicks!r}: take wicks, close or bodies")
     price = (F.col("open") + F.col("close")) / 2.0 if use_wicks == "bodies" else F.col("close")
     everything = Window.partitionBy(*KEYS)
-    base = bars.select(*KEYS, "ts", price.alias("price")).where("price is not null").withColumn("bar_idx", bar_idx())
-    floor = F.greatest(F.lit(1e-8), F.stddev_pop("price").over(everything) * 0.5) if min_prominence is None else F.lit(float(min_prominence))
-    found, distance = _extrema(base.withColumn("floor", floor)), max(1, int(min_distance_bars))
+    base, distance = bars.select(*KEYS, "ts", price.alias("price")).where("price is not null"), max(1, int(min_distance_bars))
+    if block is None:
+        floor = F.greatest(F.lit(1e-8), F.stddev_pop("price").over(everything) * 0.5) if min_prominence is None else F.lit(float(min_prominence))
+        found = _extrema(base.withColumn("bar_idx", bar_idx()).withColumn("floor", floor))
+    elif min_prominence is None:
+        found = blocked_extrema(base, block).join(base.groupBy(*KEYS).agg(F.greatest(F.lit(1e-8), F.stddev_pop("price") * 0.5).alias("floor")), KEYS)
+    else:
+        found = blocked_extrema(base, block).withColumn("floor", F.lit(float(min_prominence)))
     if distance > 1:
         found = _thinned(found, distance)
     found = found.where(F.col("prominence") >= F.col("floor"))

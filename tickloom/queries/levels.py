@@ -332,6 +332,12 @@ def swings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(eng.swings(bars(spark, sf_dir), min_distance_bars=1), ["symbol", "ts"], ["idx", "kind", "price", "prominence", "confidence"])
 
 
+@query(ORACLE_SQL["swings_peaks"])
+def swings_peaks_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """swings_peaks with each month of a series a task's work."""
+    return rounded(eng.swings(bars(spark, sf_dir), block=F.date_trunc("month", "ts")), ["symbol", "ts"], ["idx", "kind", "price", "prominence", "confidence"])
+
+
 #: Levels of consecutive swings sw; al has each as often as it is made.
 _MOVES = f"""mv AS (SELECT symbol, rn, kind, lead(ts) OVER w AS ts, close AS s, lead(close) OVER w AS e FROM sw WINDOW w AS (PARTITION BY symbol ORDER BY rn, kind)),
 al AS (SELECT symbol, ts, rn, kind, r::DOUBLE AS ratio, e + (s - e) * (1 - r / 100) AS p, 'retracement' AS type FROM mv, {_PCT} WHERE e IS NOT NULL UNION ALL SELECT symbol, ts, rn, kind, r::DOUBLE, e + (e - s) * (r / 100), 'extension' FROM mv, {_PCT} WHERE e IS NOT NULL)"""
