@@ -14,6 +14,7 @@ from tickloom.operators.prominence import blocked_extrema
 from tickloom.operators.support import price_islands
 from tickloom.plans.kernels import Valleys
 from tickloom.plans.scan import scan
+from tickloom.sources.storage import stored
 
 #: Percent ratios of the levels.
 PERCENT_RATIOS = (23.6, 38.2, 50.0, 61.8, 78.6, 100.0, 127.2, 161.8)
@@ -300,10 +301,12 @@ def atr_zones(clusters: DataFrame, bars: DataFrame, zone_width_atr_mult: float =
 
 class FibonacciEngine:
     """From bars to levels, clusters, plans and features, lazily. The bars and levels are read several times, so they are kept in
-    Spark's cache until release(), which leaving a with block calls; cached=False keeps nothing."""
+    Spark's cache until release(), which leaving a with block calls; cached=False keeps nothing, and tables=True writes both to the
+    shared folder when they are first needed, where they stay."""
 
-    def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5, cached: bool = True) -> None:
-        self.bars, self.ratios, self.atr_window, self.eps, self.cached = bars.persist() if cached else bars, ratios, atr_window, cluster_eps_atr_mult, cached
+    def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5, cached: bool = True, tables: bool = False) -> None:
+        self.cached, self.tables = cached and not tables, tables
+        self.bars, self.ratios, self.atr_window, self.eps = self._kept(bars), ratios, atr_window, cluster_eps_atr_mult
         self._levels: DataFrame | None = None
 
     def __enter__(self) -> FibonacciEngine:
@@ -312,6 +315,9 @@ class FibonacciEngine:
     def __exit__(self, *_) -> None:
         self.release()
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return stored(df, "engine") if self.tables else df.persist() if self.cached else df
+
     def release(self) -> None:
         """Drop what is cached."""
         if self.cached:
@@ -324,8 +330,7 @@ class FibonacciEngine:
 
     def levels(self) -> DataFrame:
         if self._levels is None:
-            made = levels_of_swings(self.swings(), self.ratios)
-            self._levels = made.persist() if self.cached else made
+            self._levels = self._kept(levels_of_swings(self.swings(), self.ratios))
         return self._levels
 
     def clusters(self) -> DataFrame:

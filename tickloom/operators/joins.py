@@ -101,12 +101,14 @@ def filter_levels_by_news(levels: DataFrame, news: DataFrame | None, current_tim
 def observation_windows(base: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """For each base time (symbol, ts) and timeframe of bars the last n bars up to it, flattened oldest first as open, high, low,
     close, NULL where there are fewer: symbol, ts, tf, window."""
-    frames = Window.partitionBy("symbol", "tf").orderBy("ts").rowsBetween(-(n - 1), 0)
-    packed = bars.withColumn("__w", F.collect_list(F.array("open", "high", "low", "close")).over(frames))
+    series = Window.partitionBy("symbol", "tf").orderBy("ts")
+    numbered = bars.select("symbol", "tf", "ts", F.row_number().over(series).alias("__n"), F.collect_list(F.array("open", "high", "low", "close")).over(series.rowsBetween(-(n - 1), 0)).alias("__w"))
     # all timeframes, one array in one row, meet each time by a constant key
     frames_of_all = bars.agg(F.collect_set("tf").alias("tfs")).withColumn("__one", F.lit(1))
     times = base.select("symbol", "ts").distinct().withColumn("__one", F.lit(1)).join(F.broadcast(frames_of_all), "__one").select("symbol", "ts", F.explode("tfs").alias("tf"))
-    found = asof_join(times, packed.select("symbol", "tf", "ts", "__w"), ["symbol", "tf"])
+    # the as-of join carries the places of bars only; their windows come to the few that were met
+    found = asof_join(times, numbered.select("symbol", "tf", "ts", "__n"), ["symbol", "tf"], columns=["__n"]).drop("asof_ts")
+    found = found.join(numbered.select("symbol", "tf", "__n", "__w"), ["symbol", "tf", "__n"], "left")
     empty = F.lit(None).cast("double")
     flat = F.coalesce(F.flatten("__w"), F.array().cast("array<double>"))
     return found.select("symbol", "ts", "tf", F.concat(F.array_repeat(empty, F.lit(4 * n) - F.size(flat)), flat).alias("window"))

@@ -10,6 +10,7 @@ from tickloom.operators.joins import asof_join, observation_windows
 from tickloom.operators.risk import time_features
 from tickloom.operators.support import levels_multi_tf
 from tickloom.plans.pipeline import build_features
+from tickloom.sources.storage import stored
 
 #: Indicators whose divergences an observation holds. Fixed values.
 DIVERGENCES = ("rsi_14", "stochrsi_k_14_3", "macd_line", "cci_20", "mfi_14")
@@ -46,9 +47,9 @@ def observations(states: DataFrame, bars: DataFrame, n: int = 15, base_tf: str |
     timeframe to its last n bars flattened (oldest first, NULL where there are fewer).
 
     bars holds all timeframes; base_tf is the states' own unless given. Levels come from all bars, as in the reference: they are
-    context of an episode, not known at each step. States and bars are read several times and are kept in Spark's cache.
+    context of an episode, not known at each step. States and bars are read several times and are written to the shared folder, where they stay.
     """
-    states, bars = states.persist(), bars.persist()
+    states, bars = stored(states, "states"), stored(bars, "bars")
     out = time_features(states)
     base = bars.join(states.select("tf").distinct(), "tf", "left_semi") if base_tf is None else bars.where(F.col("tf") == base_tf)
     features = divergence_features(base)

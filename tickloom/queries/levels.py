@@ -10,6 +10,7 @@ from tickloom.operators import fibonacci as fib
 from tickloom.operators import support as sup
 from tickloom.operators.bars import resample_bars
 from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, indexed_sql, q6, r6, rounded
+from tickloom.sources.storage import stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -33,8 +34,8 @@ MULTI = f"WITH RECURSIVE {bars_sql('H1', 'h1')}, {bars_sql('H4', 'h4')}, {bars_s
 
 
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of three timeframes in one frame; the longer ones are made of the hourly ones, so that ticks are combined once."""
-    hourly = bars(spark, sf_dir, "H1")
+    """Bars of three timeframes in one frame; the longer ones are made of the hourly ones, a table that is made of the ticks once."""
+    hourly = stored(bars(spark, sf_dir, "H1"), "hourly")
     return hourly.unionByName(resample_bars(hourly, "H4")).unionByName(resample_bars(hourly, "D1"))
 
 
@@ -201,6 +202,28 @@ def golden_zone_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["symbol", "ts"], ["g_low", "g_high", "center", "distance_abs", "distance_rel", "in_zone", "nearest_level", "nearest_ratio", "nearest_dist_abs"])
 
 
+@query(f"""{_LEGS}, d AS (SELECT symbol, max(high) AS hi, min(low) AS lo FROM d1 GROUP BY symbol), z AS (SELECT b.symbol, b.ts, b.close AS price, h.hi - 0.786 * (h.hi - h.lo) AS g0, d.hi - 0.618 * (d.hi - d.lo) + 1 AS g1 FROM h1 b JOIN legs h ON h.symbol = b.symbol AND h.tf = 'H1' LEFT JOIN d ON d.symbol = b.symbol AND d.symbol <> 'view'),
+y AS (SELECT symbol, ts, price, coalesce(g1, h61) AS g1, g0, g1 IS NULL AS calc FROM (SELECT z.*, h.hi - 0.618 * (h.hi - h.lo) AS h61 FROM z JOIN legs h ON h.symbol = z.symbol AND h.tf = 'H1')),
+x AS (SELECT *, least(g0, g1) AS gl, greatest(g0, g1) AS gh, abs(g1 - price) <= abs(g0 - price) AS one FROM y)
+SELECT symbol, ts, {q6('gl', 'g_low')}, {q6('gh', 'g_high')}, {q6('CASE WHEN price < gl THEN gl - price WHEN price > gh THEN price - gh ELSE 0 END', 'distance_abs')}, price BETWEEN gl AND gh AS in_zone, (CASE WHEN one THEN 0.618 ELSE 0.786 END)::DOUBLE AS nearest_ratio, CASE WHEN calc THEN 'calc' ELSE 'retracement' END AS source FROM x""")
+def golden_zone_given_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """golden_zone_distance of hourly closes, with the level at 0.618 named by the daily legs (one symbol has none) and the other computed."""
+    hourly = stored(bars(spark, sf_dir, "H1"), "hourly")
+    own = fib.extreme_legs(hourly).select("symbol", F.col("high").alias("swing_high"), F.col("low").alias("swing_low"))
+    daily = fib.extreme_legs(resample_bars(hourly, "D1")).where("symbol <> 'view'")
+    given = daily.select("symbol", F.lit(None).cast("double").alias("ratio"), (F.col("high") - 0.618 * (F.col("high") - F.col("low")) + 1.0).alias("price"), F.lit("R_0.618").alias("level_name"))
+    out = fib.golden_zone_distance(hourly.select("symbol", "ts", F.col("close").alias("price")).join(own, "symbol"), given, ["symbol"])
+    out = out.withColumn("source", F.col("members")[0]["source"])
+    return rounded(out, ["symbol", "ts"], ["g_low", "g_high", "distance_abs", "in_zone", "nearest_ratio", "source"])
+
+
+@query(f"""WITH {bars_sql('D1')}, p AS (SELECT *, (high + low + close) / 3 AS p FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+SELECT symbol, ts, {q6('p', 'pivot')}, {q6('2 * p - low', 'r1')}, {q6('2 * p - high', 's1')}, {q6('p + (high - low)', 'r2')}, {q6('p - (high - low)', 's2')} FROM p""")
+def pivots_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivots of the last bar of each series."""
+    return rounded(sup.pivots(bars(spark, sf_dir, "D1")), ["symbol", "ts"], ["pivot", "r1", "s1", "r2", "s2"])
+
+
 @query(f"""{_LEGS}, p AS (SELECT symbol, tf, hi - 0.618 * (hi - lo) AS entry, lo AS stop, hi AS target FROM legs)
 SELECT symbol, tf, {q6('entry')}, stop, target, CASE WHEN entry = stop THEN 'inf'::DOUBLE ELSE round((abs(target - entry) / abs(entry - stop))::DOUBLE, 4) END AS rr FROM p""")
 def risk_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +440,7 @@ cs AS (SELECT cl.*, hits, bounce, (hits > 0)::INT::DOUBLE AS hit_rate, cl.n * (1
 @query(f"""{_ENGINE} SELECT symbol, tf, row_number() OVER (PARTITION BY symbol ORDER BY isl) - 1 AS cluster_id, {q6('price')}, n AS members, {q6('member_low')}, {q6('member_high')}, n AS tf_members, {q6('strength')},
  hits AS touch_count, hits AS hit_count, {q6('hit_rate')}, {q6('bounce', 'avg_bounce')}, rank FROM cs""")
 def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = eng.FibonacciEngine(bars(spark, sf_dir), cached=False).clusters()
+    out = eng.FibonacciEngine(bars(spark, sf_dir), tables=True).clusters()
     out = out.withColumns({"member_low": F.array_min("members"), "member_high": F.array_max("members"), "tf_members": F.col("timeframes")["H1"].cast("long"), "members": F.size("members").cast("long")})
     return rounded(out, SER, ["cluster_id", "price", "members", "member_low", "member_high", "tf_members", "strength", "touch_count", "hit_count", "hit_rate", "avg_bounce", "rank"])
 
@@ -426,5 +449,5 @@ def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 sl AS (SELECT DISTINCT symbol, tf, unnest(range(30)) AS pos FROM cs)
 SELECT sl.symbol, sl.tf, sl.pos::INT AS pos, {q6('coalesce(vt.v[1 + sl.pos % 6], 0)', 'value')} FROM sl LEFT JOIN vt ON vt.symbol = sl.symbol AND vt.rank = 1 + sl.pos // 6""")
 def engine_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = eng.FibonacciEngine(bars(spark, sf_dir), cached=False).vector()
+    out = eng.FibonacciEngine(bars(spark, sf_dir), tables=True).vector()
     return rounded(out.select(*SER, F.posexplode("vector").alias("pos", "value")), SER, ["pos", "value"])

@@ -13,6 +13,7 @@ from tickloom.operators import risk
 from tickloom.operators import simulator as sim
 from tickloom.queries import features
 from tickloom.queries.base import TRUE_RANGE, bars, bars_sql, events, ewm_sql, indexed_sql, q6, r6, rounded
+from tickloom.queries.levels import multi
 from tickloom.sources import market
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -207,7 +208,7 @@ def performance_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = bars(spark, sf_dir).unionByName(bars(spark, sf_dir, "H4")).unionByName(bars(spark, sf_dir, "D1"))
+    frames = multi(spark, sf_dir)
     states = sim.simulate(steps(spark, sf_dir)).select("symbol", "tf", "ts", "price", "balance", "equity", "n_positions", "net_volume")
     return obs.observations(states, frames, 15)
 
