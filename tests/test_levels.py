@@ -251,3 +251,28 @@ def test_engine_composes(bars):
     assert e.plans(eng.OrderPlanner(pip_value=1.0)).where("lot_size < 0.01").count() == 0
     new = df.limit(1).withColumn("close", F.lit(1e6))
     assert e.with_bars(new).bars.where("close = 1e6").count() == 1 and e.with_bars(new).bars.count() == df.count()
+
+
+@pytest.mark.parametrize("digits", [1, 3, 5])
+def test_stretches_change_no_sweep(spark, monkeypatch, digits):
+    """Sweeps by stretch against sweeps of whole keys, on prices with gaps, negative ones and zero among them."""
+    monkeypatch.setattr(fib, "DIGITS", digits)
+    rng = np.random.default_rng(8)
+    rows = []
+    for s, spread in (("a", 0.001), ("b", 0.02), ("c", 0.2), (None, 0.01)):
+        price, sign = 1.0, -1.0 if s == "c" else 1.0
+        for _ in range(150):
+            price *= 1 + rng.exponential(spread)
+            rows.append((s, str(rng.choice(["H1", "H4", "D1"])), "retracement", float(rng.choice([0.5, 0.618])), float(sign * price)))
+    rows += [("d", "H1", "extension", 0.5, x) for x in (-1.0, -0.0005, 0.0, 0.0004, 0.0008, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, method string, ratio double, price double").repartition(4)
+    whole = lambda df, *_: df.withColumn(fib.STRETCH, F.lit(0))
+    params = [fib.ClusterParams(rel_tolerance=0.003), fib.ClusterParams(rel_tolerance=0.05, min_hits=1), fib.ClusterParams(tolerance_mode="abs", abs_tolerance=0.01)]
+    runs = [lambda p=p: fib.cluster_levels(df, ["symbol"], p) for p in params] + [lambda: fib.golden_zones(df.where("price > 0"), ["symbol"], min_members=1), lambda: fib.golden_zones(df, ["symbol"], 0.02, 0.01, 1)]
+    for run in runs:
+        by_stretch = sorted(run().collect(), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(fib, "safe_cuts", whole)
+            assert by_stretch == sorted(run().collect(), key=str)
+    cut = fib.safe_cuts(df, ["symbol"], "price", "price", lambda a, b: b - a > 0.003 * F.greatest(F.abs(a), F.abs(b)))
+    assert cut.count() == len(rows) and cut.where("symbol = 'c'").select(fib.STRETCH).distinct().count() > 20

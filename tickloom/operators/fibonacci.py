@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -193,6 +194,33 @@ def _weight(x: Column, weights: dict) -> Column:
     return F.coalesce(F.create_map(*(F.lit(v) for pair in weights.items() for v in pair))[x], F.lit(1.0))
 
 
+#: Column that numbers the stretches of prices that a sweep cannot join, and the significant digits of a bucket of prices.
+STRETCH, DIGITS = "__stretch", 3
+#: What a reach is raised by, for the rounding of means.
+ROUNDING = 1 + 1e-9
+
+
+def safe_cuts(df: DataFrame, keys: list[str], low: str, high: str, apart: Callable[[Column, Column], Column]) -> DataFrame:
+    """df(keys, low, high, ...) with STRETCH: rows of different stretches never meet in an ascending sweep, so each is swept by itself.
+
+    apart(h, l) says whether everything up to a highest end h is out of reach of all that begins at l or above. Prices are cut into
+    buckets of DIGITS significant digits; what is compared along a key are buckets, one row each, so that one key's rows are spread over
+    tasks wherever there is such a gap. Rows without a price are a stretch of their own.
+    """
+    x = F.col(low)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (DIGITS - 1))
+    bucketed = df.withColumn("__bucket", F.when(x == 0, F.lit(0.0)).otherwise(F.floor(x / unit) * unit))
+    facts = bucketed.where("__bucket is not null").groupBy(*keys, "__bucket").agg(F.min(low).alias("__first"), F.max(high).alias("__most"))
+    line = Window.partitionBy(*keys).orderBy("__first")
+    before = F.max("__most").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    facts = facts.withColumn("__cut", F.coalesce(apart(before, F.col("__first")), F.lit(False)))
+    facts = facts.select(*(F.col(k).alias(f"__key{n}") for n, k in enumerate(keys)), F.col("__bucket").alias("__of"), F.sum(F.col("__cut").cast("long")).over(line).alias(STRETCH))
+    same = F.col("__bucket") == F.col("__of")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{n}"))
+    return bucketed.join(facts, same, "left").select(*df.columns, STRETCH)
+
+
 def cluster_levels(levels: DataFrame, keys: list[str], params: ClusterParams | None = None, sort_by: str = "score") -> DataFrame:
     """Clusters of levels(keys, tf, method, ratio, price) around running means, in an ascending sweep.
 
@@ -201,9 +229,12 @@ def cluster_levels(levels: DataFrame, keys: list[str], params: ClusterParams | N
     """
     p = params or ClusterParams()
     relative, absolute = (p.rel_tolerance, None) if p.tolerance_mode == "rel" else (None, p.abs_tolerance or 0.0)
-    swept = scan(levels, keys, ["price", "tf", "ratio"], ["price"], "cluster long", lambda: RunningMeanClusters(relative, absolute))
+    # a gap that is wider than the tolerance of its ends also is for any mean below it
+    reach = (lambda a, b: F.greatest(F.abs(a), F.abs(b)) * relative) if relative is not None else (lambda a, b: F.lit(absolute))
+    cut = safe_cuts(levels, keys, "price", "price", lambda a, b: (b - a) > reach(a, b) * ROUNDING) if relative is None or relative < 1 else levels.withColumn(STRETCH, F.lit(0))
+    swept = scan(cut, [*keys, STRETCH], ["price", "tf", "ratio"], ["price"], "cluster long", lambda: RunningMeanClusters(relative, absolute))
     score = _weight(F.lower("method"), p.method_weights) * _weight(F.col("ratio"), p.ratio_weights) * _weight(F.upper("tf"), p.timeframe_weights)
-    out = swept.groupBy(*keys, "cluster").agg(
+    out = swept.groupBy(*keys, STRETCH, "cluster").agg(
         F.min("price").alias("price_min"),
         F.max("price").alias("price_max"),
         F.avg("price").alias("center"),
@@ -225,10 +256,14 @@ def golden_zones(levels: DataFrame, keys: list[str], zone_width_pct: float = 0.0
     """Zones of levels(keys, tf, ratio, price): each level's band joins the first zone that it touches, and touching zones merge.
 
     Columns keys, low, high, center, timeframes (their number), members, strength, rank (by falling strength). Zones with fewer
-    than min_members timeframes are left out. Two sorted scans keep only the zones that a later level can still touch.
+    than min_members timeframes are left out. Two sorted scans keep only the zones that a later level can still touch, and walk each
+    stretch of prices between gaps that nothing reaches over by itself.
     """
     half = F.col("price") * (zone_width_pct / 2.0)
     bands = levels.withColumns({"__low": F.col("price") - half, "__high": F.col("price") + half})
+    # above a price of 0 the reach of a band grows less than its lower end
+    bands = safe_cuts(bands, keys, "__low", "__high", lambda a, b: (a > 0) & (b - a > b / (1.0 - zone_width_pct / 2.0) * merge_gap_pct * ROUNDING)) if 0 <= zone_width_pct / 2.0 + merge_gap_pct < 1 else bands.withColumn(STRETCH, F.lit(0))
+    keys, told = [*keys, STRETCH], keys
     first = scan(bands, keys, ["__low", "tf", "ratio"], ["__low", "__high"], "__zone long", lambda: FirstFitZones(merge_gap_pct))
     boxes = first.groupBy(*keys, "__zone").agg(F.min("__low").alias("__zlow"), F.max("__high").alias("__zhigh"))
     merged = scan(boxes, keys, ["__zlow", "__zone"], ["__zlow", "__zhigh"], "__merged long", lambda: MergedZones(merge_gap_pct))
@@ -245,8 +280,8 @@ def golden_zones(levels: DataFrame, keys: list[str], zone_width_pct: float = 0.0
         F.sort_array(F.collect_list(F.struct("price", "tf", "ratio"))).alias("members"),
     )
     out = out.withColumn("strength", F.col("timeframes") * 2.0 + F.col("__near") + 0.5 * F.col("__golden")).where(F.col("timeframes") >= min_members)
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("strength"), "low")).cast("long"))
-    return out.select(*keys, "low", "high", ((F.col("low") + F.col("high")) / 2.0).alias("center"), "timeframes", "members", "strength", "rank")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(*told).orderBy(F.desc("strength"), "low")).cast("long"))
+    return out.select(*told, "low", "high", ((F.col("low") + F.col("high")) / 2.0).alias("center"), "timeframes", "members", "strength", "rank")
 
 
 def top_zones(zones: DataFrame, n: int = 3) -> DataFrame:
