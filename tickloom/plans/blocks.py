@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
 from tickloom.functions.schema import KEYS
 from tickloom.functions.windows import prev
@@ -30,9 +31,12 @@ def blocked(bars: DataFrame, block: Column) -> DataFrame:
     block must not fall as ts rises within a series. Windows of the series then partition by block, and reach one bar back.
     """
     named = bars.withColumns({TF: F.col("tf"), BLOCK: block})
-    last = named.groupBy("symbol", TF, BLOCK).agg(F.max_by(F.struct(*bars.columns), "ts").alias("last"))
-    before = last.withColumn("last", F.lag("last").over(Window.partitionBy("symbol", TF).orderBy(BLOCK))).where("last is not null")
-    halo = before.select(*(F.col("last")[c].alias(c) for c in bars.columns), TF, BLOCK, F.lit(True).alias(HALO))
+    # one value a column, so that the aggregate hashes and does not sort; what is no number or time is null in a halo
+    plain = [f.name for f in bars.schema if isinstance(f.dataType, (NumericType, DatetimeType, BooleanType)) and f.name != "ts"]
+    last = named.groupBy("symbol", TF, BLOCK).agg(F.max("ts").alias("ts"), *(F.max_by(F.col(f"`{c}`"), "ts").alias(c) for c in plain))
+    line = Window.partitionBy("symbol", TF).orderBy(BLOCK)
+    before = last.select("symbol", TF, BLOCK, *(F.lag(F.col(f"`{c}`")).over(line).alias(c) for c in ("ts", *plain))).where("ts is not null")
+    halo = before.select(*(F.col(f"`{f.name}`") if f.name in ("symbol", "ts", *plain) else F.lit(None).cast(f.dataType).alias(f.name) for f in bars.schema), TF, BLOCK, F.lit(True).alias(HALO))
     both = named.withColumn(HALO, F.lit(False)).unionByName(halo)
     return both.withColumn("tf", F.concat(F.coalesce(TF, F.lit("")), F.lit("\1"), F.coalesce(F.col(BLOCK).cast("string"), F.lit(""))))
 
@@ -164,7 +168,7 @@ def ewm_blocks(ready: DataFrame, reads: list[str], steps: tuple[Step, ...], outp
         have = frozenset(seeded)
         states = [f"__{part}_{n}" for n in sorted(have) for part in ("y", "w", "seen")]
         fields = [f"{f}_{s.out}" for s in folded for f in EwmSummary.fields]
-        summaries = fold(ready, [*KEYS, TF, BLOCK], ["ts"], [*reads, *states], ", ".join(f"`{f}` double" for f in fields), lambda have=have, folded=folded: FoldPlan(steps, set(have), folded))
+        summaries = fold(ready, [*KEYS, TF, BLOCK], ["ts"], [*reads, *states], ", ".join(f"`{f}` double" for f in fields), lambda have=have, folded=folded: FoldPlan(steps, set(have), folded), KEYS)
         makes = ", ".join(f"`__{part}_{s.out}` double" for s in folded for part in ("y", "w", "seen"))
         ready = started(ready, summaries, fields, makes, lambda folded=folded: ComposeMeans(folded))
         seeded |= {s.out for s in folded}
@@ -339,10 +343,10 @@ def supertrend_blocks(ready: DataFrame) -> DataFrame:
     first = F.first("__before").over(Window.partitionBy(*KEYS).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     ready = ready.withColumn("__before_0", first)
     keys = [*KEYS, TF, BLOCK]
-    bands = fold(ready, keys, ["ts"], ["__before", "upper", "lower"], "upper_map array<array<double>>, lower_map array<array<double>>", FoldBands)
+    bands = fold(ready, keys, ["ts"], ["__before", "upper", "lower"], "upper_map array<array<double>>, lower_map array<array<double>>", FoldBands, KEYS)
     ready = started(ready, bands, ["upper_map", "lower_map"], "__upper_0 double, __lower_0 double", ComposeBands)
     reads = ["close", "upper", "lower", "__before_0", "__later", "__upper_0", "__lower_0"]
-    side = fold(ready, keys, ["ts"], reads, "from_down double, from_up double", FoldSide)
+    side = fold(ready, keys, ["ts"], reads, "from_down double, from_up double", FoldSide, KEYS)
     ready = started(ready, side, ["from_down", "from_up"], "__side_0 double", ComposeSide)
     made = scan(ready, KEYS, ["ts"], [*reads, "__side_0"], "supertrend double, supertrend_dir double", SeededTrend)
     return made.drop("__before", "__before_0", "__later", "__upper_0", "__lower_0", "__side_0")

@@ -75,8 +75,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[
     return ordered.mapInArrow(run, ", ".join(fields))
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[str], makes: str, kernel: Callable[[], Kernel]) -> DataFrame:
-    """One row a series: its keys, and the columns of the schema makes from result() of a kernel that has walked columns reads."""
+def fold(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[str], makes: str, kernel: Callable[[], Kernel], by: list[str] | None = None) -> DataFrame:
+    """One row a series: its keys, and the columns of the schema makes from result() of a kernel that has walked columns reads.
+
+    by are keys that tell the series apart without the others, where a window over them has stood before (all keys by default)."""
     made = df.sparkSession.createDataFrame([], makes).schema
     schema = StructType([*df.select(*keys).schema, *made])
     kinds = [to_arrow_type(f.dataType) for f in schema]
@@ -97,5 +99,5 @@ def fold(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[
             done.append((*current, *(state.result()[f.name] for f in made)))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], type=kind) for k, kind in enumerate(kinds)], names=schema.names)
 
-    ordered = df.select(*keys, *(F.col(f"`{c}`") for c in reads), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("__row"))
+    ordered = df.select(*keys, *(F.col(f"`{c}`") for c in reads), F.row_number().over(Window.partitionBy(*(by or keys)).orderBy(*order)).alias("__row"))
     return ordered.mapInArrow(run, schema)
