@@ -123,3 +123,15 @@ def test_skipped_steps_change_nothing(token, monkeypatch):
     assert any(len(a) == 1 and a[0][0] == -1 for a in arcs[:-1])
     best = max((value_of(p, model) for p in itertools.product(*arcs)), key=lambda x: x[0])
     assert toxicity.viterbi(token, model) == reading(best[1])
+
+
+def test_doubled_letters_by_enumeration_equal_the_search():
+    rng = np.random.default_rng(9)
+    for seed in range(3):
+        restorer = toxicity.Restorer(some_model(seed))
+        restorer.segment("a")
+        for _ in range(150):
+            word = "".join(rng.choice(list("abcl"), rng.integers(2, 9)))
+            if any(word[k] == word[k - 1] == word[k - 2] for k in range(2, len(word))):
+                continue
+            assert restorer.doubled(word) == toxicity.viterbi(word, restorer.quick, restorer.model).split(), word

@@ -34,6 +34,8 @@ WILD, LIKE_LETTERS = "*#?%&", "@$€£"
 COST_LEET, COST_ANY, COST_DROP, COST_SPLIT, COST_GAP, COST_GAP_SPLIT, COST_REPEAT_DROP, COST_REPEAT_KEEP = 1.5, 4.5, 2.0, 2.5, 0.2, 3.0, 0.4, 2.0
 #: Cost of dropping a mark of LIKE_LETTERS, and of dropping any mark of a token's tail, where punctuation and ornaments stand.
 COST_LETTERLIKE_DROP, COST_TAIL_DROP = 6.0, 0.5
+#: Cost of dropping one of a doubled letter.
+COST_DOUBLE_DROP = 3.0
 #: The channel hides at most this many letters of a stretch behind WILD marks, and repeats a mark or a digit at most this often: what is beyond is dropped.
 MASKED, REPEATED = 8, 8
 #: Characters of a stretch that are decoded together; a longer one is read in pieces of this length.
@@ -135,9 +137,7 @@ def core_of(token: str) -> str:
 def _arcs(segment: str) -> list[list[tuple[int, float]]]:
     """For each character of a segment the codes it may emit (-1: none) and their costs. Gaps do not hide a repetition."""
     arcs, solid, at, masked = [], [c for c in segment if not c.isspace()], -1, 0
-    tail = len(segment)
-    while tail > 0 and not segment[tail - 1].isalnum():
-        tail -= 1
+    tail = len(segment) if segment[-1:].isalnum() else next((k + 1 for k in range(len(segment) - 1, -1, -1) if segment[k].isalnum()), 0)
     for place, ch in enumerate(segment):
         at += not ch.isspace()
         same = at > 0 and not ch.isspace() and solid[at - 1] == ch
@@ -145,7 +145,7 @@ def _arcs(segment: str) -> list[list[tuple[int, float]]]:
         if "a" <= ch <= "z":
             code = ord(ch) - 97
             triple = same and (at > 1 and solid[at - 2] == ch or at + 1 < len(solid) and solid[at + 1] == ch)
-            arcs.append([(code, 0.0 if not same else COST_REPEAT_KEEP if triple else 0.0), *([(-1, COST_REPEAT_DROP if triple else 3.0)] if same else [])])
+            arcs.append([(code, 0.0 if not same else COST_REPEAT_KEEP if triple else 0.0), *([(-1, COST_REPEAT_DROP if triple else COST_DOUBLE_DROP)] if same else [])])
         elif ch.isspace():
             arcs.append([(-1, COST_GAP), (END, COST_GAP_SPLIT)])
         elif ch in LEET:
@@ -247,12 +247,35 @@ class Restorer:
         core = core_of(token)
         if core.isalpha() and not _TRIPLE.search(core) and not _DOUBLED.match(core):
             return [core]
+        if core.isascii() and core.isalpha() and len(core) <= STRETCH and not _TRIPLE.search(core):
+            return self.doubled(core)
         if _LETTER.search(core):
             return self.segment(core)
         if _LEET_ALONE.fullmatch(core) and self.likely(words := self.segment(core), LIKELY_LETTERS if core.isdigit() else 1):
             return words
         return [core] if any(map(str.isalnum, core)) else []
 
+    def chance(self, word: str) -> float:
+        """Log-probability of a word of a to z and of its end."""
+        total, state = 0.0, _START
+        for code in [*(ord(c) - 97 for c in word), END]:
+            total += self.quick[state * CODES + code]
+            state = (state * CODES + code) % CODES ** (ORDER - 1)
+        return total
+
+    def doubled(self, word: str) -> list[str]:
+        """The best reading of letters of which some are doubled: the lattice has no other choice than to drop one of a pair, so few pairs
+        are enumerated."""
+        if not self.quick:
+            self.quick = self.model.tolist()
+        pairs = [k for k in range(1, len(word)) if word[k] == word[k - 1]]
+        if len(pairs) > 3:
+            return self.segment(word)
+        readings = {word: 0.0}
+        for k in reversed(pairs):  # from the end, so that places before stay
+            readings |= {w[:k] + w[k + 1 :]: cost + COST_DOUBLE_DROP for w, cost in readings.items()}
+        return [max(readings, key=lambda w: self.chance(w) - readings[w])]
+
     def segment(self, text: str) -> list[str]:
         """Words that a suspicious stretch stands for, decoded."""
         if not self.quick:
@@ -268,13 +291,8 @@ class Restorer:
 
     def likely(self, words: list[str], letters: int) -> bool:
         """Whether the words have so many letters, and the character model takes them for words of the corpus."""
-        total, n = 0.0, 0
-        for word in words:
-            state = _START
-            for code in [*(ord(c) - 97 for c in word if c != "~"), END]:
-                total += self.quick[state * CODES + code]
-                state = (state * CODES + code) % CODES ** (ORDER - 1)
-            n += len(word)
+        plain = ["".join(c for c in w if c != "~") for w in words]
+        total, n = sum(map(self.chance, plain)), sum(map(len, words))
         return n >= letters and total >= LIKELY * (n + len(words))
 
     def spaced(self, text: str) -> list[str]:
@@ -300,7 +318,10 @@ def bucket(feature: str) -> int:
 
 def word_buckets(word: str) -> list[int]:
     """Buckets of a word and of its beginnings that more letters follow, which gather a stem's forms."""
-    return [bucket(word), *(bucket(f"{word[:k]}+") for k in STEMS if len(word) > k)]
+    if not word.isascii():
+        return [bucket(word), *(bucket(f"{word[:k]}+") for k in STEMS if len(word) > k)]
+    raw, digest, shift = word.encode(), xxhash.xxh3_64_intdigest, 64 - BUCKET_BITS  # a byte a character
+    return [digest(raw) >> shift, *[digest(raw[:k] + b"+") >> shift for k in STEMS if len(raw) > k]]
 
 
 @dataclass
@@ -329,8 +350,8 @@ class Scorer:
         words = set(low.split())
         weights = self.model.weights
         for token in words - self.seen:
-            if hits := frozenset(b for w in self.restorer.word(token) for b in word_buckets(w) if b in weights):
-                self.hot[token] = hits
+            if hits := [b for w in self.restorer.word(token) for b in word_buckets(w) if b in weights]:
+                self.hot[token] = frozenset(hits)
         found: set[int] = set().union(*(self.hot[t] for t in words & self.hot.keys()))
         self.seen.update(w for w in words if len(w) <= LONGEST)
         for token in [w for w in words & self.hot.keys() if len(w) > LONGEST]:
