@@ -62,20 +62,21 @@ def _thinned(found: DataFrame, distance: int) -> DataFrame:
     return single.unionByName(several).select(*KEYS, "kind", "e.*").select(*found.columns)
 
 
-def _extrema(bars: DataFrame) -> DataFrame:
-    """Local maxima and minima of the price (the middle of a plateau) with their prominence: keys, ts, bar_idx, price, kind, x,
-    prominence, floor.
+def _extrema(bars: DataFrame, plateaus: bool = True) -> DataFrame:
+    """Local maxima and minima of the price (the middle of a plateau, or single bars only without plateaus) with their prominence:
+    keys, ts, bar_idx, price, kind, x, prominence, floor.
 
     Plateaus and their neighbours are windows; the valley (hill) on either side back to the last higher (lower) value is one
     scan in each direction. x is the price, negative for minima, so that larger is more extreme.
     """
     w = Window.partitionBy(*KEYS).orderBy("bar_idx")
-    near = bars.withColumns({"before": F.lag("price").over(w), "after": F.lead("price").over(w)})
-    flat = near.withColumn("run", islands(KEYS, ["bar_idx"], F.col("price") != F.col("before")))
-    run = Window.partitionBy(*KEYS, "run").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    flat = flat.withColumns({"before": F.first("before").over(run), "after": F.last("after").over(run), "middle": F.floor((F.min("bar_idx").over(run) + F.max("bar_idx").over(run)) / 2)})
+    flat = bars.withColumns({"before": F.lag("price").over(w), "after": F.lead("price").over(w), "middle": F.col("bar_idx")})
+    if plateaus:
+        flat = flat.withColumn("run", islands(KEYS, ["bar_idx"], F.col("price") != F.col("before")))
+        run = Window.partitionBy(*KEYS, "run").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        flat = flat.withColumns({"before": F.first("before").over(run), "after": F.last("after").over(run), "middle": F.floor((F.min("bar_idx").over(run) + F.max("bar_idx").over(run)) / 2)}).drop("run")
     schema = "low_since double, high_since double"
-    left = scan(flat.drop("run"), KEYS, ["bar_idx"], ["price"], schema, Valleys).withColumnsRenamed({"low_since": "low_left", "high_since": "high_left"})
+    left = scan(flat, KEYS, ["bar_idx"], ["price"], schema, Valleys).withColumnsRenamed({"low_since": "low_left", "high_since": "high_left"})
     both = scan(left, KEYS, [F.desc("bar_idx")], ["price"], schema, Valleys)
     x = F.col("price")
     top, bottom = (x > F.col("before")) & (x > F.col("after")), (x < F.col("before")) & (x < F.col("after"))
@@ -84,13 +85,14 @@ def _extrema(bars: DataFrame) -> DataFrame:
     return found.select(*KEYS, "ts", "bar_idx", "price", F.when(top, "peak").otherwise("valley").alias("kind"), F.when(top, x).otherwise(-x).alias("x"), depth.alias("prominence"), "floor")
 
 
-def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_bars: int = 3, use_wicks: str = "wicks", block: Column | None = None) -> DataFrame:
+def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_bars: int = 3, use_wicks: str = "wicks", block: Column | None = None, plateaus: bool = True) -> DataFrame:
     """Peaks and valleys of each series: keys, ts, idx, price, kind, prominence, confidence.
 
     The price is the close, or the middle of the body for use_wicks="bodies". Without min_prominence it is half the population
     deviation of the series' prices, 1e-8 at least. Confidence is the prominence over the series' largest. A series without
     swings gives no rows. Only extrema nearer than min_distance_bars to each other meet in a group. With block (a value that does not fall as ts
-    rises, such as the month of ts) the extrema and their prominences are found by block, not by series.
+    rises, such as the month of ts) the extrema and their prominences are found by block, not by series. A plateau counts once, in
+    its middle; without plateaus only a bar above (below) both neighbours counts, as the queries' SQL says.
     """
     if use_wicks not in ("wicks", "close", "bodies"):
         raise ValueError(f"unknown price choice {use_wicks!r}: take wicks, close or bodies")
@@ -99,7 +101,7 @@ def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_ba
     base, distance = bars.select(*KEYS, "ts", price.alias("price")).where("price is not null"), max(1, int(min_distance_bars))
     if block is None:
         floor = F.greatest(F.lit(1e-8), F.stddev_pop("price").over(everything) * 0.5) if min_prominence is None else F.lit(float(min_prominence))
-        found = _extrema(base.withColumn("bar_idx", bar_idx()).withColumn("floor", floor))
+        found = _extrema(base.withColumn("bar_idx", bar_idx()).withColumn("floor", floor), plateaus)
     elif min_prominence is None:
         found = blocked_extrema(base, block).join(base.groupBy(*KEYS).agg(F.greatest(F.lit(1e-8), F.stddev_pop("price") * 0.5).alias("floor")), KEYS)
     else:
@@ -304,8 +306,8 @@ class FibonacciEngine:
     Spark's cache until release(), which leaving a with block calls; cached=False keeps nothing, and tables=True writes both to the
     shared folder when they are first needed, where they stay."""
 
-    def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5, cached: bool = True, tables: bool = False) -> None:
-        self.cached, self.tables = cached and not tables, tables
+    def __init__(self, bars: DataFrame, ratios: tuple[float, ...] = PERCENT_RATIOS, atr_window: int = 14, cluster_eps_atr_mult: float = 0.5, cached: bool = True, tables: bool = False, plateaus: bool = True) -> None:
+        self.cached, self.tables, self.plateaus = cached and not tables, tables, plateaus
         self.bars, self.ratios, self.atr_window, self.eps = self._kept(bars), ratios, atr_window, cluster_eps_atr_mult
         self._levels: DataFrame | None = None
 
@@ -326,7 +328,7 @@ class FibonacciEngine:
                 self._levels.unpersist()
 
     def swings(self) -> DataFrame:
-        return swings(self.bars)
+        return swings(self.bars, plateaus=self.plateaus)
 
     def levels(self) -> DataFrame:
         if self._levels is None:
@@ -353,5 +355,5 @@ class FibonacciEngine:
         both = self.bars.withColumn("__new", F.lit(0)).unionByName(new_bars.withColumn("__new", F.lit(1)), allowMissingColumns=True)
         rest = [c for c in self.bars.columns if c not in (*KEYS, "ts")]
         merged = both.groupBy(*KEYS, "ts").agg(F.max_by(F.struct(*rest), "__new").alias("bar")).select(*KEYS, "ts", "bar.*")
-        return FibonacciEngine(merged.select(*self.bars.columns), self.ratios, self.atr_window, self.eps, self.cached)
+        return FibonacciEngine(merged.select(*self.bars.columns), self.ratios, self.atr_window, self.eps, self.cached, plateaus=self.plateaus)
 
