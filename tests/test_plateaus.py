@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import engine as eng
 
@@ -68,6 +69,10 @@ def test_swings_peaks(spark, flat_events):
     same_as_sql(spark, flat_events, "swings_peaks")
 
 
+def test_swings_peaks_blocks(spark, flat_events):
+    same_as_sql(spark, flat_events, "swings_peaks_blocks")
+
+
 def test_plateaus_stay_unless_left_out(spark):
     """By default a plateau is a swing in its middle; without plateaus single bars alone are, with prominences over all bars."""
     values = [1.0, 5.0, 5.0, 5.0, 2.0, 4.0, 0.0, 3.0, 1.0]
@@ -78,3 +83,15 @@ def test_plateaus_stay_unless_left_out(spark):
     single = {(r.idx, r.kind, r.prominence) for r in eng.swings(df, **options, plateaus=False).collect()}
     assert all_of == {(2, "peak", 4.0), (4, "valley", 2.0), (5, "peak", 2.0), (6, "valley", 3.0), (7, "peak", 2.0)}
     assert single == {s for s in all_of if s[0] != 2}
+
+
+def test_blocks_leave_plateaus_out(spark):
+    """Blocks of any size, plateaus across their borders included, give what whole series give."""
+    values = np.random.default_rng(5).integers(0, 4, 120).astype(float).tolist()
+    rows = [("AAA", "H1", datetime.datetime(2025, 1, 1) + datetime.timedelta(hours=k), x, x) for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp_ntz, open double, close double")
+    options = {"min_prominence": 0.5, "min_distance_bars": 1, "plateaus": False}
+    whole = sorted(eng.swings(df, **options).collect())
+    assert whole and {r.idx for r in whole} == {k for k in range(1, 119) if (values[k] - values[k - 1]) * (values[k] - values[k + 1]) > 0}
+    for hours in (1, 5, 1000):
+        assert sorted(eng.swings(df, **options, block=F.expr(f"unix_seconds(timestamp(ts)) div {3600 * hours}")).collect()) == whole

@@ -103,9 +103,9 @@ def swings(bars: DataFrame, min_prominence: float | None = None, min_distance_ba
         floor = F.greatest(F.lit(1e-8), F.stddev_pop("price").over(everything) * 0.5) if min_prominence is None else F.lit(float(min_prominence))
         found = _extrema(base.withColumn("bar_idx", bar_idx()).withColumn("floor", floor), plateaus)
     elif min_prominence is None:
-        found = blocked_extrema(base, block).join(base.groupBy(*KEYS).agg(F.greatest(F.lit(1e-8), F.stddev_pop("price") * 0.5).alias("floor")), KEYS)
+        found = blocked_extrema(base, block, plateaus).join(base.groupBy(*KEYS).agg(F.greatest(F.lit(1e-8), F.stddev_pop("price") * 0.5).alias("floor")), KEYS)
     else:
-        found = blocked_extrema(base, block).withColumn("floor", F.lit(float(min_prominence)))
+        found = blocked_extrema(base, block, plateaus).withColumn("floor", F.lit(float(min_prominence)))
     if distance > 1:
         found = _thinned(found, distance)
     found = found.where(F.col("prominence") >= F.col("floor"))

@@ -98,8 +98,9 @@ def numbered_blocks(base: DataFrame, block: Column) -> tuple[DataFrame, DataFram
     return turns.join(firsts, [*KEYS, "bno"]), placed
 
 
-def blocked_extrema(bars: DataFrame, block: Column) -> DataFrame:
-    """Local maxima and minima of bars(keys, ts, price) (the middle of a plateau) with their prominence: keys, ts, bar_idx, price, kind, x, prominence.
+def blocked_extrema(bars: DataFrame, block: Column, plateaus: bool = True) -> DataFrame:
+    """Local maxima and minima of bars(keys, ts, price) (the middle of a plateau, or single bars only without plateaus) with their
+    prominence: keys, ts, bar_idx, price, kind, x, prominence.
 
     block must not fall as ts rises within a series, nor be null. No task holds more than a block of bars, whatever the course of the
     series; what runs along a whole series are one row a block. Null keys are left out, null prices must be gone.
@@ -109,6 +110,8 @@ def blocked_extrema(bars: DataFrame, block: Column) -> DataFrame:
     turns = turns.withColumns({"end": F.coalesce(F.lead("idx").over(inside), F.col("later_idx"), F.col("total")) - 1, "next": F.coalesce(F.lead("price").over(inside), F.col("later_price"))})
     x = F.col("price")
     top, bottom = (x > F.col("before")) & (x > F.col("next")), (x < F.col("before")) & (x < F.col("next"))
+    if not plateaus:
+        top, bottom = (e & (F.col("idx") == F.col("end")) for e in (top, bottom))
     turns = turns.withColumns({"kind": F.when(top, "peak").when(bottom, "valley"), "bar_idx": F.floor((F.col("idx") + F.col("end")) / 2)})
     views = F.explode(F.array(*(F.struct(F.lit(s).alias("sign"), F.lit(w).alias("way")) for s, w in VIEWS)))
     seen = turns.select(*KEYS, "ts", "idx", "end", "bar_idx", "bno", "price", "kind", views.alias("view")).select("*", "view.sign", "view.way").drop("view")
@@ -124,6 +127,8 @@ def blocked_extrema(bars: DataFrame, block: Column) -> DataFrame:
     met = asks.join(held, [*VIEW, "block"], "left").withColumn("low", F.least("low", F.filter("held", lambda r: r["records"] > F.col("v"))[0]["after"])).drop("held")
     lows = local.where("open = 0").select(*met.columns).unionByName(met)
     found = lows.groupBy(*KEYS, "kind", "bar_idx", "v").agg(F.max("low").alias("low"), F.first("price").alias("price"), F.first(F.when(F.col("idx") == F.col("end"), F.col("ts"))).alias("ts"))
+    if not plateaus:
+        return found.select(*KEYS, "ts", "bar_idx", "price", "kind", F.col("v").alias("x"), (F.col("v") - F.col("low")).alias("prominence"))
     # the bar in the middle of a plateau is looked up; most extrema are single bars and know theirs
     plateau = found.where("ts is null").drop("ts").join(placed.select(*KEYS, F.col("idx").alias("bar_idx"), "ts"), [*KEYS, "bar_idx"])
     every = found.where("ts is not null").unionByName(plateau)
